@@ -30,3 +30,17 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
 """
+
+op5_line_dedup = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, source, string_split(text, chr(10)) AS l FROM documents),
+o AS (SELECT r, doc_id, source, trim(l[k]) AS line, k FROM (SELECT r, doc_id, source, l, unnest(range(1, len(l) + 1)) AS k FROM d) WHERE trim(l[k]) <> ''),
+b AS (SELECT line, min(doc_id) AS stays FROM o GROUP BY line HAVING count(DISTINCT source) >= 10),
+f AS (SELECT line, stays, min(k) AS stays_k FROM o JOIN b USING (line) WHERE o.doc_id = b.stays GROUP BY line, stays),
+g AS (SELECT r, list(k) AS gone, count(*) AS n FROM o JOIN f USING (line) WHERE NOT (o.doc_id = f.stays AND o.k = f.stays_k) GROUP BY r),
+c AS (
+  SELECT doc_id, len(l) AS n_lines, coalesce(n, 0) AS n_removed,
+    CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(1, len(l) + 1), lambda k: NOT list_contains(gone, k)), lambda k: l[k]), chr(10)) END AS clean
+  FROM d LEFT JOIN g USING (r)
+)
+SELECT doc_id, n_lines, n_removed, length(clean) AS n_chars_kept, sha256(clean) AS text_sha256 FROM c
+"""
