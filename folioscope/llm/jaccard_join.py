@@ -1,20 +1,27 @@
 """N-gram Jaccard join (9): token-combination prefixes over sets of word shingles.
 
-A document is the set of its shingles, as 64-bit hashes. Equal sets are one class, a node. Tokens
-are ordered rare class before frequent class (the shingles that repeat most in the corpus, a list
-of bounded size), by hash within a class. Two sets of Jaccard similarity t or more share a token
-among their first n - ceil(t n) + 1 tokens, and k tokens among k - 1 more. So a rare token of the
-extended prefix is a key by itself; frequent tokens are keys by pairs. A set long enough that
-pairs would be many (``PAIRS_UP_TO``) uses single tokens of either class; sets near that length use
-both, so that any two sets that may link use one scheme in common.
-
-Nodes that share a key are hung on the key's smallest node: as many rows as keys, not pairs. The
-components of those rows are candidate groups, and every link lies within one. A group of up to
-``BLOCK`` nodes is verified as a whole in one task by exact intersection sizes. A larger group is
-first held against one of its nodes, its hub, by as many tasks as it needs; nodes that link with
-the hub need no comparison among themselves. The others (none, in a group of near copies of one
-text) are compared in pairs of blocks with each other and with those hub-linked nodes that the
-triangle inequality of the Jaccard distance leaves. Linked nodes are then joined to components.
+A document is the set of its shingles, as 64-bit hashes (tokens). Equal sets are one class, a node.
+
+1. Rarity. The tokens with the lowest hashes, a fixed share ``TESTED`` of all, are counted over the
+   whole corpus; those of a single node are unique and in no intersection. A set of n tokens links
+   only with sets that hold ceil(t n) of its tokens: with more unique tokens than the others can
+   spare it links with none, and is done. That ends the search for most documents of a corpus.
+2. Keys. Of the others, without their known unique tokens, a prefix is indexed. Tokens are ordered
+   rare class before frequent class (those that repeat most among these documents, a list of
+   bounded size), by hash within a class. Sets that link share one token among their first
+   n - ceil(t n) + 1 (less the unique ones), and two among one more. So a rare token of the
+   extended prefix is a key by itself; frequent tokens are keys by pairs. A set long enough that
+   pairs would be many (``PAIRS_UP_TO``) uses single tokens of either class; sets near that length
+   use both, so that any two sets that may link have one scheme in common. A key holds the class of
+   the length as well, each set standing in its own and the next one.
+3. Groups. Nodes that share a key are hung on the key's smallest node: as many rows as keys, not
+   pairs. The components of those rows are candidate groups, and every link lies within one.
+4. Verification. A group of up to ``BLOCK`` nodes is verified as a whole in one task by exact
+   intersection sizes. A larger group is first held against one of its nodes, its hub, by as many
+   tasks as it needs; nodes that link with the hub need no comparison among themselves. The others
+   (none, in a group of near copies of one text) are compared in pairs of blocks with each other and
+   with those hub-linked nodes that the triangle inequality of the Jaccard distance leaves. Linked
+   nodes are then joined to components.
 
 Texts are compared through 64-bit hashes of shingles: two different shingles of two compared
 documents fall together with probability of about 2**-64 for each pair.
@@ -27,6 +34,7 @@ component are null; extra columns are ignored; an empty table gives an empty res
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -47,6 +55,8 @@ NO_ID = -(1 << 63) + 1
 PAIRS_UP_TO = 160
 BLOCK = 256
 TOKENS_AT_ONCE = 1 << 20
+#: tokens below this hash, a sixth of all, are counted over the whole corpus
+TESTED = -(1 << 63) + (1 << 64) // 6
 MOST_WORDS = 300_000
 
 _MUL = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
@@ -81,10 +91,18 @@ def tokens(text: bytes) -> np.ndarray:
     h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
     width = min(SHINGLE, len(h))
     with np.errstate(over="ignore"):
-        out = np.full(len(h) - width + 1, width, np.uint64)
-        for j in range(width):
-            out = _mix((out + h[j : len(h) - width + 1 + j]) * _MUL[j])
-    return np.unique(out.view(np.int64))
+        out = h[: len(h) - width + 1] * _MUL[0]
+        for j in range(1, width):
+            out += h[j : len(h) - width + 1 + j] * _MUL[j]
+        if width < SHINGLE:
+            out += np.uint64(width)
+    out.sort()
+    if len(out) > 1:
+        keep = np.empty(len(out), bool)
+        keep[0] = True
+        np.not_equal(out[1:], out[:-1], out=keep[1:])
+        out = out[keep]
+    return (out ^ np.uint64(1 << 63)).view(np.int64)  # sorted as signed numbers as well
 
 
 def digest(own: np.ndarray) -> int:
@@ -95,39 +113,37 @@ def digest(own: np.ndarray) -> int:
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row (doc_id, node, n, text_hash) for each document and a row (token, c) for each token that repeats in a bounded stretch."""
-    pending: list[np.ndarray] = []
-    size = 0
-
-    def repeated() -> tuple[np.ndarray, np.ndarray]:
-        values, counts = np.unique(np.concatenate(pending), return_counts=True) if pending else (np.zeros(0, np.int64),) * 2
-        return values[counts > 1], counts[counts > 1]
-
-    def rows(docs: list, nodes: list, ns: list, hashes: list, values: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        d, t = len(docs), len(values)
-        null = lambda k, n: pa.nulls(n, k)
-        columns = [
-            pa.concat_arrays([pa.array(np.zeros(d, bool)), pa.array(np.ones(t, bool))]),
-            pa.concat_arrays([pa.array(docs, pa.int64()), null(pa.int64(), t)]), pa.concat_arrays([pa.array(nodes, pa.int64()), null(pa.int64(), t)]), pa.concat_arrays([pa.array(ns, pa.int64()), null(pa.int64(), t)]),
-            pa.concat_arrays([pa.array(hashes, pa.int64()), null(pa.int64(), t)]),
-            pa.concat_arrays([null(pa.int64(), d), pa.array(values, pa.int64())]), pa.concat_arrays([null(pa.int64(), d), pa.array(counts, pa.int64())]),
-        ]
-        return pa.RecordBatch.from_arrays(columns, names=["of_token", "doc_id", "node", "n", "text_hash", "token", "c"])
-
-    none = np.zeros(0, np.int64)
+    """(doc_id, text, text_hash) -> (doc_id, node, n, text_hash, tested): the set's size and its tested tokens."""
     for batch in batches:
-        nodes, ns = [], []
+        nodes, ns, tested = [], [], []
         for text in batch.column(1).cast(pa.binary()).fill_null(b"").to_pylist():
             own = tokens(text)
             nodes.append(digest(own) if len(own) else None)
             ns.append(len(own))
-            pending.append(own)
-            size += len(own)
-        extra = (none, none)
+            tested.append(own[: np.searchsorted(own, TESTED)] if len(own) > 1 else own[:0])
+        ends = np.concatenate([[0], np.cumsum([len(t) for t in tested])]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *tested])))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(ns, pa.int64()), batch.column(2), lists], names=["doc_id", "node", "n", "text_hash", "tested"])
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text) -> (token, c) for each token that repeats in a bounded stretch of documents."""
+    pending: list[np.ndarray] = []
+
+    def flush() -> pa.RecordBatch:
+        values, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *pending]), return_counts=True)
+        pending.clear()
+        return pa.RecordBatch.from_arrays([pa.array(values[counts > 1]), pa.array(counts[counts > 1])], names=["token", "c"])
+
+    size = 0
+    for batch in batches:
+        for text in batch.column(0).cast(pa.binary()).fill_null(b"").to_pylist():
+            pending.append(tokens(text))
+            size += len(pending[-1])
         if size >= TOKENS_AT_ONCE:
-            extra, pending[:], size = repeated(), [], 0
-        yield rows(batch.column(0).to_pylist(), nodes, ns, batch.column(2).to_pylist(), *extra)
-    yield rows([], [], [], [], *repeated())
+            size = 0
+            yield flush()
+    yield flush()
 
 
 def frequent_class(counted: DataFrame, most: int = MOST_FREQUENT, least: int = LEAST_COUNT) -> np.ndarray:
@@ -148,49 +164,57 @@ def prefix(n: int) -> int:
     return n - -(-OVER * n // UNDER) + 1
 
 
-def keys_of(own: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+def length_class(n: int) -> int:
+    """Sets that link are of the same or of neighbouring classes."""
+    return math.floor(math.log(n) / math.log(UNDER / OVER) + 1e-9)
+
+
+def keys_of(own: np.ndarray, frequent: np.ndarray, unique: np.ndarray | None = None) -> np.ndarray:
     """The keys of a set: rare tokens and pairs of frequent ones, or single tokens if it is long."""
     n = len(own)
     if n < 2:  # it links with no other set
         return own[:0]
+    spare = prefix(n)
+    if unique is not None and len(unique):
+        own = np.setdiff1d(own, unique, assume_unique=True)
+        spare -= n - len(own)
+    if spare <= 0:
+        return own[:0]
     if len(frequent):
         place = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
         common = frequent[place] == own
     else:
-        common = np.zeros(n, bool)
+        common = np.zeros(len(own), bool)
     out = []
-    if n * OVER <= PAIRS_UP_TO * UNDER:  # pairs
-        k = min(n, prefix(n) + 1)
-        rare = own[~common][:k]
-        often = own[common][: k - len(rare)]
+    if n * OVER <= PAIRS_UP_TO * UNDER:  # pairs: of the two tokens shared, one is rare, or both are frequent
+        rare = own[~common][: spare + 1]
+        often = own[common][: spare + 1 - len(rare)]
         out.append(rare)
-        # a set whose extended prefix shares two tokens at least: one of them rare, or a pair of frequent ones
         i, j = np.triu_indices(len(often), 1)
         with np.errstate(over="ignore"):
             out.append(_mix(_mix(often[i].view(np.uint64)) + often[j].view(np.uint64)).view(np.int64))
     if n >= PAIRS_UP_TO * OVER // UNDER:  # single tokens
-        k = prefix(n)
-        rare = own[~common][:k]
-        out += [rare, own[common][: k - len(rare)]]
-    return np.unique(np.concatenate(out))
+        rare = own[~common][:spare]
+        out += [rare, own[common][: spare - len(rare)]]
+    keys = np.unique(np.concatenate(out)).view(np.uint64)
+    c = np.uint64(length_class(n))
+    with np.errstate(over="ignore"):
+        return np.concatenate([_mix(keys + (c + np.uint64(k)) * _MUL[0]) for k in (0, 1)]).view(np.int64)
 
 
-def index_rows(documents: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(key, node) of every document."""
-    sent = documents.sparkSession.sparkContext.broadcast(frequent)  # at most MOST_FREQUENT numbers, 8 MB
+def index_rows(risky: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """(key, node) of (node, text, unique)."""
+    sent = risky.sparkSession.sparkContext.broadcast(frequent)  # at most MOST_FREQUENT numbers, 8 MB
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, nodes = [], []
-            for text in batch.column(0).cast(pa.binary()).drop_null().to_pylist():
-                own = tokens(text)
-                if len(own):
-                    keys.append(keys_of(own, sent.value))
-                    nodes.append(np.full(len(keys[-1]), digest(own), np.int64))
-            none = [np.zeros(0, np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x or none)) for x in (keys, nodes)], names=["key", "node"])
+            keys, nodes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for node, text, unique in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2)):
+                keys.append(keys_of(tokens(text), sent.value, unique.values.to_numpy() if unique.is_valid else None))
+                nodes.append(np.full(len(keys[-1]), node, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, nodes)], names=["key", "node"])
 
-    return documents.select("text").mapInArrow(keyed, "key long, node long")
+    return risky.select("node", "text", "unique").mapInArrow(keyed, "key long, node long")
 
 
 def linked(inter: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -304,12 +328,11 @@ def _held_to_hub(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array([s[0] for s in sims], pa.bool_()), pa.array([s[1] for s in sims], pa.float64())], names=["grp", "node", "hub", "near", "distance"])
 
 
-def links(documents: DataFrame, nodes: DataFrame, groups: DataFrame, block: int = BLOCK) -> DataFrame:
+def links(risky: DataFrame, groups: DataFrame, block: int = BLOCK) -> DataFrame:
     """Links (a, b) between the nodes of each candidate group (node, label); as many as components need."""
     sizes = groups.groupBy("label").agg(F.count("*").alias("size"))
-    members = groups.join(sizes, "label").join(nodes, "node").select(F.col("label").alias("grp"), "size", "node", "id", "text_hash")
-    texts = documents.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text_hash", "text")
-    rows = written(texts.join(members.hint("shuffle_hash"), ["id", "text_hash"]).drop("id", "text_hash"), "candidates")
+    members = groups.join(sizes, "label").select(F.col("label").alias("grp"), "size", "node")
+    rows = written(risky.select("node", "text").join(members.hint("shuffle_hash"), "node"), "candidates")
     small = rows.where(F.col("size") <= block).select("grp", "node", "text")
     columns = ["grp", "node", "text"]
     found = [spread(small, "grp").sortWithinPartitions("grp", "node").mapInArrow(_verified(columns, ["grp"]), "a long, b long")]
@@ -340,25 +363,36 @@ def links(documents: DataFrame, nodes: DataFrame, groups: DataFrame, block: int
     return reduce(DataFrame.unionByName, found)
 
 
+def at_risk(documents: DataFrame, docs: DataFrame, described: DataFrame) -> DataFrame:
+    """(node, text, unique) of the nodes that may link, one row for each; unique: their known unique tokens."""
+    tested = described.where("node is not null").select("node", F.explode("tested").alias("token"))
+    alone = tested.groupBy("token").agg(F.min("node").alias("node"), F.max("node").alias("high")).where("node = high")
+    alone = alone.groupBy("node").agg(F.collect_list("token").alias("unique"))  # bounded by the set itself
+    # a node's text is that of one of its rows, found again by id and hash
+    one = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text_hash")).alias("one")
+    nodes = docs.where("n > 1").groupBy("node").agg(F.max("n").alias("n"), one)
+    spare = F.expr(f"n - div({OVER} * n + {UNDER - 1}, {UNDER}) + 1")
+    nodes = nodes.join(alone, "node", "left").where(F.coalesce(F.size("unique"), F.lit(0)) < spare).select("node", "one.*", "unique")
+    texts = documents.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text_hash", "text")
+    return texts.join(nodes.hint("shuffle_hash"), ["id", "text_hash"]).select("node", "text", "unique")
+
+
 def jaccard_components(documents: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, node (null for an empty set)."""
+    """Per document: doc_id, n_shingles, component_id, text_hash."""
     fail_unless(("doc_id", "text"), documents, "documents")
     small_batches(documents.sparkSession)
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    described = written(documents.mapInArrow(_described, "of_token boolean, doc_id long, node long, n long, text_hash long, token long, c long"), "described")
-    docs = described.where("not of_token").select("doc_id", "node", "n", "text_hash")
-    frequent = frequent_class(described.where("of_token").select("token", "c"))
-    index = written(index_rows(documents, frequent), "index")
+    described = written(documents.mapInArrow(_described, "doc_id long, node long, n long, text_hash long, tested array<long>"), "described")
+    docs = described.select("doc_id", "node", "n", "text_hash")
+    risky = written(at_risk(documents, docs, described), "at-risk")
+    frequent = frequent_class(risky.select("text").mapInArrow(_repeated, "token long, c long"))
+    index = written(index_rows(risky, frequent), "index")
     shared = index.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key", "low")
     stars = index.join(shared, "key").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
-    groups = components(stars, "candidate-groups")
-    # a node's text is that of one of its rows, found again by id and hash
-    one = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text_hash")).alias("one")
-    nodes = docs.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), one).select("node", "doc_id", "copies", "one.*")
-    found = components(links(documents, nodes, groups), "links")
+    found = components(links(risky, components(stars, "candidate-groups")), "links")
+    nodes = docs.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     # only nodes with copies or links need another name than their own id
-    named = nodes.join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = named.where("copies > 1 or label <> node").unionByName(nodes.join(found.where("label = node"), "node").where("copies = 1"))
+    named = nodes.join(found, "node", "left").where("copies > 1 or label is not null").withColumn("label", F.coalesce("label", "node"))
     low = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     names = named.join(low, "label").select("node", "component_id")
     return docs.join(names, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash")

@@ -92,6 +92,9 @@ def test_keys_of_linked_sets_meet():
             inter = len(np.intersect1d(a, b))
             if J.linked(inter, len(a), len(b)) and len(a) > 1 and inter < len(np.union1d(a, b)):
                 assert len(np.intersect1d(J.keys_of(a, frequent), J.keys_of(b, frequent)))
+                only = [np.setdiff1d(x, y) for x, y in ((a, b), (b, a))]
+                some = [x[r.random(len(x)) < 0.5] for x in only]
+                assert len(np.intersect1d(J.keys_of(a, frequent, some[0]), J.keys_of(b, frequent, some[1])))
 
 
 def test_empty_table_and_filter(spark):
