@@ -7,11 +7,14 @@ chunks in order; most chunks repeat, and the memo turns a text into ids at the c
 from __future__ import annotations
 
 import os
+import re
 from pathlib import Path
 
 import numpy as np
 
-MOST_CHUNKS = 400_000
+MOST_CHUNKS = 1_000_000
+#: pre-tokens of a chunk in plain characters: Latin letters that stay single letters in lower case, single digits, runs of signs
+_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-įĲ-ňŊ-ž]+|[0-9]|[!-&(-/:;=?@\\[-`{}~]+")
 
 
 class ChunkMemo(dict):
@@ -32,23 +35,29 @@ class ChunkMemo(dict):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def learn(self, chunks: list[bytes]) -> None:
-        """Encode new chunks: plain ASCII letters many at a time, all others one by one."""
-        if len(self) + len(chunks) > self.most:
-            self.clear()
-        plain = [c for c in chunks if c.isalpha()]
+        """Encode new chunks: those in plain characters many at a time, all others one by one.
+
+        Each pre-token ends in one closing id, and in plain characters their number is known.
+        """
+        plain, numbers = [], []
+        for c in chunks:
+            text = c.decode()
+            found = _PLAIN.findall(text)
+            if sum(map(len, found)) == len(text):
+                plain.append(c)
+                numbers.append(len(found))
+            else:
+                self[c] = self._encode(text).tobytes()
         for k in range(0, len(plain), 4096):
-            part = plain[k : k + 4096]
+            part, upto = plain[k : k + 4096], np.cumsum(numbers[k : k + 4096])
             ids = self._encode(b" ".join(part).decode())
             ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) != len(part):  # a vocabulary without such marks
+            if len(ends) != upto[-1] or ends[-1] != len(ids):  # a vocabulary without such marks
                 self.update((c, self._encode(c.decode()).tobytes()) for c in part)
                 continue
             raw, start = ids.tobytes(), 0
-            for c, end in zip(part, (ends * 4).tolist()):
+            for c, end in zip(part, (ends[upto - 1] * 4).tolist()):
                 self[c], start = raw[start:end], end
-        for c in chunks:
-            if not c.isalpha():
-                self[c] = self._encode(c.decode()).tobytes()
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text (UTF-8 bytes)."""
