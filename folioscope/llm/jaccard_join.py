@@ -14,8 +14,11 @@ A document is the set of its shingles, as 64-bit hashes (tokens). Equal sets are
    pairs would be many (``PAIRS_UP_TO``) uses single tokens of either class; sets near that length
    use both, so that any two sets that may link have one scheme in common. A key holds the class of
    the length as well, each set standing in its own and the next one.
-3. Groups. Nodes that share a key are hung on the key's smallest node: as many rows as keys, not
-   pairs. The components of those rows are candidate groups, and every link lies within one.
+3. Groups. Keys of the same nodes are one bucket. In a bucket of up to ``BUCKET`` nodes, parity bitmaps
+   of the sets tell pairs that cannot link: two bitmaps differ in at most as many bits as the sets do in
+   tokens. The nodes of a bucket that the others connect are hung on their smallest. In a larger
+   bucket all are hung on the smallest node. So a bucket gives as many rows as nodes, not pairs.
+   The components of those rows are candidate groups, and every link lies within one.
 4. Verification. A group of up to ``BLOCK`` nodes is verified as a whole in one task by exact
    intersection sizes. A larger group is first held against one of its nodes, its hub, by as many
    tasks as it needs; nodes that link with the hub need no comparison among themselves. The others
@@ -54,6 +57,8 @@ MOST_FREQUENT, LEAST_COUNT = 1 << 20, 16
 NO_ID = -(1 << 63) + 1
 PAIRS_UP_TO = 160
 BLOCK = 256
+#: nodes of a bucket whose bitmaps are compared with one another
+BUCKET = 1024
 TOKENS_AT_ONCE = 1 << 20
 #: tokens below this hash, a sixth of all, are counted over the whole corpus
 TESTED = -(1 << 63) + (1 << 64) // 6
@@ -203,18 +208,92 @@ def keys_of(own: np.ndarray, frequent: np.ndarray, unique: np.ndarray | None = N
 
 
 def index_rows(risky: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(key, node) of (node, text, unique)."""
+    """(node, n, bitmap, keys) of (node, text, unique)."""
     sent = risky.sparkSession.sparkContext.broadcast(frequent)  # at most MOST_FREQUENT numbers, 8 MB
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, nodes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for node, text, unique in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2)):
-                keys.append(keys_of(tokens(text), sent.value, unique.values.to_numpy() if unique.is_valid else None))
-                nodes.append(np.full(len(keys[-1]), node, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, nodes)], names=["key", "node"])
+            ns, bitmaps, keys = [], [], []
+            for text, unique in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2)):
+                own = tokens(text)
+                ns.append(len(own))
+                bitmaps.append(bitmap(own))
+                keys.append(keys_of(own, sent.value, unique.values.to_numpy() if unique.is_valid else None))
+            ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(bitmaps, pa.binary()), lists], names=["node", "n", "bitmap", "keys"])
+
+    return risky.select("node", "text", "unique").mapInArrow(keyed, "node long, n long, bitmap binary, keys array<long>")
+
+
+def bitmap(own: np.ndarray) -> bytes:
+    """The parity of the tokens at each of a power of two of places, half as many as tokens or more."""
+    bits = 1 << max(8, (len(own) // 2).bit_length())
+    odd = np.bincount((own & (bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def fold(raw: bytes, size: int) -> np.ndarray:
+    """A bitmap of fewer places out of one of more: parities add up."""
+    x = np.frombuffer(raw, np.uint64)
+    while len(x) * 8 > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
+def bucket_edges(nodes: list[int], ns: list[int], bitmaps: list[bytes]) -> list[tuple[int, int]]:
+    """(node, smallest node) for the nodes of a bucket that pairs which may link connect."""
+    size = min(map(len, bitmaps))
+    x, n = np.stack([fold(b, size) for b in bitmaps]), np.array(ns)
+    low = np.arange(len(nodes))
+    for i in range(len(nodes) - 1):
+        # a link has a symmetric difference of (UNDER - OVER) / (UNDER + OVER) of both sizes at most
+        apart = np.bitwise_count(x[i + 1 :] ^ x[i]).sum(1).astype(np.int64)
+        near = np.append(np.flatnonzero(apart * (UNDER + OVER) <= (UNDER - OVER) * (n[i + 1 :] + n[i])) + i + 1, i)
+        if len(near) > 1:
+            roots = np.unique(low[near])
+            if len(roots) > 1:
+                low[np.isin(low, roots[1:])] = roots[0]
+    out = []
+    for root in np.unique(low):
+        own = [nodes[k] for k in np.flatnonzero(low == root)]
+        out += [(node, min(own)) for node in own if node != min(own)]
+    return out
+
+
+def _filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, node, n, bitmap) sorted by key -> (a, b)."""
+    current, held = None, []
+    out: list[tuple[int, int]] = []
 
-    return risky.select("node", "text", "unique").mapInArrow(keyed, "key long, node long")
+    def close() -> None:
+        if len(held) > 1:
+            out.extend(bucket_edges(*map(list, zip(*held))))
+
+    def rows() -> pa.RecordBatch:
+        done, out[:] = list(out), []
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in done], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    for batch in batches:
+        for key, *rest in zip(*(c.to_pylist() for c in batch.columns)):
+            if key != current:
+                close()
+                current, held = key, []
+            held.append(rest)
+        yield rows()
+    close()
+    yield rows()
+
+
+def candidate_edges(index: DataFrame, bitmaps: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """(a, b): edges whose components hold every link. index: (key, node), distinct; bitmaps: (node, n, bitmap)."""
+    facts = [F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members")]
+    shared = index.groupBy("key").agg(*facts).where("low <> high")
+    one = written(shared.groupBy("low", "high", "size", "members").agg(F.min("key").alias("key")), "buckets")
+    small = index.join(one.where(F.col("size") <= bucket).select("key"), "key").join(bitmaps, "node").select("key", "node", "n", "bitmap")
+    edges = spread(small, "key").sortWithinPartitions("key", "node").mapInArrow(_filtered, "a long, b long")
+    large = one.where(F.col("size") > bucket).select("key", "low")
+    return edges.unionByName(index.join(large, "key").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))).distinct()
 
 
 def linked(inter: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -387,9 +466,8 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     risky = written(at_risk(documents, docs, described), "at-risk")
     frequent = frequent_class(risky.select("text").mapInArrow(_repeated, "token long, c long"))
     index = written(index_rows(risky, frequent), "index")
-    shared = index.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key", "low")
-    stars = index.join(shared, "key").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
-    found = components(links(risky, components(stars, "candidate-groups")), "links")
+    edges = candidate_edges(index.select(F.explode("keys").alias("key"), "node"), index.select("node", "n", "bitmap"))
+    found = components(links(risky, components(edges, "candidate-groups")), "links")
     nodes = docs.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     # only nodes with copies or links need another name than their own id
     named = nodes.join(found, "node", "left").where("copies > 1 or label is not null").withColumn("label", F.coalesce("label", "node"))

@@ -76,6 +76,7 @@ def test_large_groups_by_hub_and_blocks(spark, monkeypatch):
         rows.append((1000 + k, " ".join(own)))
     monkeypatch.setattr(J, "LEAST_COUNT", 4)
     monkeypatch.setattr(J.links, "__defaults__", (8,))
+    monkeypatch.setattr(J.candidate_edges, "__defaults__", (30,))
     got = J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
     assert result(got) == brute(rows)
 
@@ -97,6 +98,18 @@ def test_keys_of_linked_sets_meet():
                 assert len(np.intersect1d(J.keys_of(a, frequent, some[0]), J.keys_of(b, frequent, some[1])))
 
 
+def test_bitmaps_never_part_linked_sets():
+    r = np.random.default_rng(2)
+    for n in [2, 10, 200, 1000, 5000]:
+        for _ in range(30):
+            a = np.unique(r.integers(-(1 << 62), 1 << 62, n))
+            b = np.unique(np.concatenate([a[int(r.integers(0, n // 15 + 2)) :], r.integers(-(1 << 62), 1 << 62, int(r.integers(0, n // 15 + 2)))]))
+            if len(b) and J.linked(len(np.intersect1d(a, b)), len(a), len(b)):
+                assert J.bucket_edges([7, 3], [len(a), len(b)], [J.bitmap(a), J.bitmap(b)]) == [(7, 3)]
+    apart = [np.unique(r.integers(-(1 << 62), 1 << 62, 500)) for _ in range(20)]
+    assert J.bucket_edges(list(range(20)), [500] * 20, [J.bitmap(x) for x in apart]) == []
+
+
 def test_empty_table_and_filter(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, component_id int")
     assert J.jaccard_components(empty).collect() == [] and J.one_of_each(empty).collect() == []
