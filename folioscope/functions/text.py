@@ -71,23 +71,22 @@ def retrieval_path(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.translate(trimmed(c), "\\", "/"), r"^(\./)+", ""), r"(?i)\.md$", "")
 
 
+FENCE = r"(?mdU)^[\s&&[^\n]]*(```|~~~).*$"
+
+
 def without_code(text: Column) -> Column:
-    """Text with fenced blocks and inline code blanked; either fence mark closes the other.
+    """Text with fenced blocks and inline code blanked, line by line as it was.
 
-    A fold over the lines; the state is whether a fence is open, the odd backtick of a line blanks the rest of it.
+    Fence lines cut the text into pieces, every second one of which is code; either mark closes the other.
+    Backticks cut a line in the same way, so an odd one blanks the rest of its line.
     """
-    def step(acc: Column, line: Column) -> Column:
-        fence = line.rlike(r"(?U)^\s*(```|~~~)")
-        parts = F.split(line, "`", -1)
-        blanked = F.array_join(F.transform(parts, lambda p, k: F.when(k % 2 == 1, F.regexp_replace(p, "(?s).", " ")).otherwise(p)), " ")
-        opened = acc["fence"]
-        return F.struct(
-            F.when(fence, ~opened).otherwise(opened).alias("fence"),
-            F.array_append(acc["out"], F.when(fence | opened, F.lit("")).otherwise(blanked)).alias("out"),
-        )
-
-    start = F.struct(F.lit(False).alias("fence"), F.array().cast("array<string>").alias("out"))
-    return F.aggregate(lines(text), start, step, lambda acc: F.array_join(acc["out"], "\n"))
+    def plain(line: Column) -> Column:
+        parts = F.transform(F.split(line, "`", -1), lambda p, k: F.when(k % 2 == 1, F.repeat(F.lit(" "), F.char_length(p))).otherwise(p))
+        return F.when(line.contains("`"), F.array_join(parts, " ")).otherwise(line)
+
+    pieces = F.split(F.regexp_replace(text, "\r\n", "\n"), FENCE, -1)
+    clean = F.transform(pieces, lambda p, k: F.when(k % 2 == 1, F.regexp_replace(p, r"[^\n]+", "")).otherwise(F.array_join(F.transform(F.split(p, "\n", -1), plain), "\n")))
+    return F.array_join(clean, "")
 
 
 WIKI_LINK = r"\[\[([^\]|]+)(?:\|([^\]]+))?\]\]"

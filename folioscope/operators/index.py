@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
+from folioscope.plans.tables import written
 
 from . import chunking, fts
 
@@ -68,9 +70,13 @@ def orphans(relations_: DataFrame, evidence: DataFrame, entities_: DataFrame, me
     return relations_.join(evidence, relations_["id"] == evidence["relation_id"], "left_anti"), entities_.join(mentions, entities_["id"] == mentions["entity_id"], "left_anti")
 
 
-def build(pages: DataFrame, chunk_chars: int = chunking.DEFAULT_CHARS) -> dict[str, DataFrame]:
-    """All tables of the index over pages, lazily; entities and relations derive from the mentions."""
+def build(pages: DataFrame, chunk_chars: int = chunking.DEFAULT_CHARS, write_chunks: bool = False) -> dict[str, DataFrame]:
+    """All tables of the index over pages; entities and relations derive from the mentions.
+
+    Lazily, or with the chunks written first, so that the tables made of them do not cut the pages again.
+    """
     chunks = chunking.chunks(pages, chunk_chars)
+    chunks = written(chunks, "chunks") if write_chunks else chunks
     documents = pages.drop("text").withColumns({"indexed_at": F.unix_timestamp(), "status": F.lit("indexed")})
     return derived({"documents": documents, "chunks": chunks, "wiki_links": wiki_links(pages), "entity_mentions": chunking.mentions(chunks), "postings": fts.postings(chunks)})
 
@@ -125,7 +131,7 @@ class Index:
         generation = f"generation-{uuid.uuid4().hex}"
         if forced:
             removed = self.spark.read.parquet(f"{self.folder}/{meta['generation']}/documents").count() if meta else 0
-            tables, counts = build(pages, chunk_chars), {"updated": 0, "unchanged": 0, "removed": removed}
+            tables, counts = build(pages, chunk_chars, True), {"updated": 0, "unchanged": 0, "removed": removed}
             counts["added"] = -1
         else:
             old = {t: self.spark.read.parquet(f"{self.folder}/{meta['generation']}/{t}") for t in TABLES}
@@ -134,15 +140,19 @@ class Index:
             if not counts["added"] + counts["updated"] + counts["removed"]:
                 steps.unpersist()
                 return counts | {"scanned": counts["unchanged"], **meta["rows"]}
-            fresh = build(pages.join(steps.where("status in ('added', 'updated')").select("id"), "id", "left_semi"), chunk_chars)
+            fresh = build(pages.join(steps.where("status in ('added', 'updated')").select("id"), "id", "left_semi"), chunk_chars, True)
             gone = steps.where("status in ('updated', 'removed')").select(F.col("id").alias("gone_id"))
             tables = {}
             for t in TABLES:
                 of = F.col(OF_DOCUMENT[t]) if t in OF_DOCUMENT else F.regexp_replace("chunk_id", r":chunk:\d+$", "")
                 tables[t] = old[t].join(gone, of == F.col("gone_id"), "left_anti").unionByName(fresh[t].select(*old[t].columns))
-        for t in TABLES:
+
+        def store(t: str) -> int:
             tables[t].write.parquet(f"{self.folder}/{generation}/{t}")
-        rows = {t: self.spark.read.parquet(f"{self.folder}/{generation}/{t}").count() for t in TABLES}
+            return self.spark.read.parquet(f"{self.folder}/{generation}/{t}").count()
+
+        with ThreadPoolExecutor(len(TABLES)) as pool:  # jobs of a few stages each; together they fill the cluster
+            rows = dict(zip(TABLES, pool.map(store, TABLES)))
         if counts.get("added") == -1:
             counts["added"] = rows["documents"]
         self._point({"generation": generation, "schema_version": SCHEMA_VERSION, "indexer": INDEXER_VERSION, "chunk_chars": chunk_chars, "rows": rows})
