@@ -15,7 +15,7 @@ from folioscope.operators import answer, graph, index, overview, rag, search, sp
 from folioscope.plans.tables import session
 from folioscope.sources import tree
 
-INDEX = ".wiki/index"
+INDEX = f"{tree.INDEX_FOLDER}/index"
 
 
 def parser() -> argparse.ArgumentParser:

@@ -1,4 +1,4 @@
-"""Settings of the commands: an optional wiki.yaml of flat sections, environment, defaults."""
+"""Settings of the commands: an optional folioscope.yaml of flat sections, environment, defaults."""
 
 from __future__ import annotations
 
@@ -26,7 +26,7 @@ def parse(text: str) -> dict[str, str]:
             continue
         m = re.fullmatch(r"(\s*)([A-Za-z_][\w-]*):\s*(.*?)\s*", line)
         if not m:
-            raise ValueError(f"wiki.yaml, line {n}: not a setting")
+            raise ValueError(f"folioscope.yaml, line {n}: not a setting")
         if not m[1]:
             section = m[2]
         value = m[3].strip("\"'")
@@ -37,7 +37,7 @@ def parse(text: str) -> dict[str, str]:
 
 def load(path: str | None = None) -> Config:
     """A missing file gives the defaults; the environment fills what the file leaves open."""
-    file = Path(path or "wiki.yaml")
+    file = Path(path or "folioscope.yaml")
     found = parse(file.read_text(encoding="utf-8")) if file.exists() else {}
     get = lambda key, env=None: found.get(f"ask.{key}") or (os.environ.get(env) if env else None)
     return Config(get("provider") or "extractive", get("endpoint", "OPENAI_BASE_URL"), get("model", "OPENAI_MODEL"), get("api_key", "OPENAI_API_KEY"), float(get("timeout") or 30), found.get("rag.embedding", "none"))

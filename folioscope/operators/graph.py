@@ -174,7 +174,7 @@ def export(pages: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
 def dot(node_rows: list, edge_rows: list) -> str:
     """The graph in DOT; dangling targets are dashed."""
     esc = lambda s: s.replace("\\", "\\\\").replace('"', '\\"')
-    out = ["digraph wiki {"]
+    out = ["digraph pages {"]
     out += [f'  "{esc(n["name"])}" [label="{esc(n["title"])}"];' for n in node_rows]
     for target in sorted({e["target"] for e in edge_rows if not e["resolved"]}):
         out.append(f'  "{esc(target)}" [style=dashed];')

@@ -255,8 +255,8 @@ def test_commands(spark, root, capsys, monkeypatch):
 
 def test_config_and_seed(tmp_path):
     assert config.load(str(tmp_path / "none")) == config.Config(endpoint=os.environ.get("OPENAI_BASE_URL"), model=os.environ.get("OPENAI_MODEL"), api_key=os.environ.get("OPENAI_API_KEY"))
-    (tmp_path / "wiki.yaml").write_text('ask:\n  provider: openai\n  timeout: 5\nrag:\n  embedding: "local-hash"\n')
-    c = config.load(str(tmp_path / "wiki.yaml"))
+    (tmp_path / "folioscope.yaml").write_text('ask:\n  provider: openai\n  timeout: 5\nrag:\n  embedding: "local-hash"\n')
+    c = config.load(str(tmp_path / "folioscope.yaml"))
     assert (c.answer_provider, c.timeout, c.embedding) == ("openai", 5.0, "local-hash")
     with pytest.raises(ValueError, match="line 1"):
         config.parse("- x")
