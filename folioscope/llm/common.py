@@ -3,11 +3,23 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: what a worker process remembers between tasks, by operator
+_remembered: dict[str, Callable[[], None]] = {}
+
+
+def remember(name: str, forget: Callable[[], None]) -> None:
+    """To be called as a task starts: worker processes serve one operator after another, and only the
+    operator at work keeps its memos; those of all others are emptied."""
+    for other in [k for k in _remembered if k != name]:
+        _remembered.pop(other)()
+    _remembered[name] = forget
+
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())

@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, components, fail_unless, small_batches, spread, written
+from .common import LOWER_BYTES, components, fail_unless, remember, small_batches, spread, written
 
 SHINGLE = 3
 #: similarity as a fraction
@@ -88,6 +88,10 @@ class Words(dict):
 _words = Words()
 
 
+def at_work() -> None:
+    remember("shingles", _words.clear)
+
+
 def tokens(text: bytes) -> np.ndarray:
     """The sorted distinct hashes (int64) of a text's shingles."""
     words = text.translate(LOWER_BYTES).split()
@@ -119,6 +123,7 @@ def digest(own: np.ndarray) -> int:
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, text_hash) -> (doc_id, node, n, text_hash, tested): the set's size and its tested tokens."""
+    at_work()
     for batch in batches:
         nodes, ns, tested = [], [], []
         for text in batch.column(1).cast(pa.binary()).fill_null(b"").to_pylist():
@@ -133,6 +138,7 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text) -> (token, c) for each token that repeats in a bounded stretch of documents."""
+    at_work()
     pending: list[np.ndarray] = []
 
     def flush() -> pa.RecordBatch:
@@ -212,6 +218,7 @@ def index_rows(risky: DataFrame, frequent: np.ndarray) -> DataFrame:
     sent = risky.sparkSession.sparkContext.broadcast(frequent)  # at most MOST_FREQUENT numbers, 8 MB
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work()
         for batch in batches:
             ns, bitmaps, keys = [], [], []
             for text, unique in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2)):
@@ -363,6 +370,7 @@ def _verified(columns: list[str], group: list[str]):
     """mapInArrow over rows sorted by group: the links found in each group of (node, text[, trusted])."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work()
         current, nodes, texts, trusted = None, [], [], []
         out: list[tuple[int, int]] = []
 
@@ -394,6 +402,7 @@ def _verified(columns: list[str], group: list[str]):
 
 def _held_to_hub(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(grp, node, text, hub, hub_text) -> (grp, node, hub, similarity)."""
+    at_work()
     kept: dict[int, np.ndarray] = {}
     for batch in batches:
         sims = []

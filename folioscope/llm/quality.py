@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fail_unless
+from .common import fail_unless, remember
 from .labelled import SAMPLE_ROWS, sample, scored
 
 BITS = 16
@@ -115,7 +115,8 @@ def fit(texts: list[bytes], grades: np.ndarray) -> Ordinal:
 
 
 def _rate(model: Ordinal, texts: list[bytes]) -> np.ndarray:
-    """Expected grade and tail probability of the highest grade but none, by text."""
+    """Expected grade and tail probability of the asked grade, by text."""
+    remember("quality", _shapes.clear)
     tails = model.tails(texts) if len(model.grades) > 1 else np.zeros((len(texts), 0))
     gaps = np.diff(np.array(model.grades, float)) if len(model.grades) > 1 else np.zeros(0)
     base = float(model.grades[0]) if model.grades else 0.0

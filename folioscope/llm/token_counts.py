@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fail_unless, small_batches
+from .common import fail_unless, remember, small_batches
 
 LEAF = 16
 GROWN = 8
@@ -59,6 +59,7 @@ _counters: dict[int, Counter] = {}
 
 
 def counter(ranks: bytes, pattern: str) -> Counter:
+    remember("token counts", _counters.clear)
     key = hash((ranks, pattern))
     if key not in _counters:
         _counters.clear()

@@ -12,7 +12,9 @@ from pathlib import Path
 
 import numpy as np
 
-MOST_CHUNKS = 1_000_000
+from .common import remember
+
+MOST_CHUNKS = 600_000
 #: pre-tokens of a chunk in plain characters: Latin letters that stay single letters in lower case, single digits, runs of signs
 _PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-įĲ-ňŊ-ž]+|[0-9]|[!-&(-/:;=?@\\[-`{}~]+")
 
@@ -86,6 +88,7 @@ _memos: dict[int, ChunkMemo] = {}
 
 def memo(tokenizer_json: str) -> ChunkMemo:
     """One memo for each tokenizer and worker process; it outlives the task."""
+    remember("token ids", _memos.clear)
     key = hash(tokenizer_json)
     if key not in _memos:
         _memos.clear()
