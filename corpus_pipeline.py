@@ -23,7 +23,10 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked documents stays."""
+    """One document of each group of linked documents stays.
+
+    Links are those of op9_jaccard_join, as the test of the stages asks; one_of_each takes others too.
+    """
     return jaccard_join.one_of_each(docs)
 
 

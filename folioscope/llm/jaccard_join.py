@@ -30,7 +30,7 @@ Texts are compared through 64-bit hashes of shingles: two different shingles of
 documents fall together with probability of about 2**-64 for each pair.
 
 Defined cases: null, empty and blank texts have the empty set, n_shingles 0, are linked with
-nothing, and form components of their own; a text of fewer than three words is one shingle; repeated
+nothing, and form components of their own; a text of fewer words than a shingle is one shingle; repeated
 rows link with each other; a null id is ignored as a component's name, unless all ids of the
 component are null; extra columns are ignored; an empty table gives an empty result.
 """
@@ -39,7 +39,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +68,22 @@ MOST_WORDS = 300_000
 _MUL = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
+class Likeness(NamedTuple):
+    """What links two texts: words of a shingle, and the least similarity as a fraction."""
+
+    shingle: int = SHINGLE
+    over: int = OVER
+    under: int = UNDER
+
+
+OWN = Likeness()
+
+
+def _factor(j: int) -> np.uint64:
+    """The odd number that the j-th word of a shingle is multiplied with."""
+    return _MUL[j] if j < len(_MUL) else np.uint64(pow(int(_MUL[1]), j, 1 << 64))
+
+
 def _mix(z: np.ndarray) -> np.ndarray:
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -92,18 +109,18 @@ def at_work() -> None:
     remember("shingles", _words.clear)
 
 
-def tokens(text: bytes) -> np.ndarray:
+def tokens(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
     """The sorted distinct hashes (int64) of a text's shingles."""
     words = text.translate(LOWER_BYTES).split()
     if not words:
         return np.zeros(0, np.int64)
     h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    width = min(SHINGLE, len(h))
+    width = min(shingle, len(h))
     with np.errstate(over="ignore"):
         out = h[: len(h) - width + 1] * _MUL[0]
         for j in range(1, width):
-            out += h[j : len(h) - width + 1 + j] * _MUL[j]
-        if width < SHINGLE:
+            out += h[j : len(h) - width + 1 + j] * _factor(j)
+        if width < shingle:
             out += np.uint64(width)
     out.sort()
     if len(out) > 1:
@@ -121,13 +138,13 @@ def digest(own: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63)
 
 
-def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _described(batches: Iterator[pa.RecordBatch], shingle: int = SHINGLE) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, text_hash) -> (doc_id, node, n, text_hash, tested): the set's size and its tested tokens."""
     at_work()
     for batch in batches:
         nodes, ns, tested = [], [], []
         for text in batch.column(1).cast(pa.binary()).fill_null(b"").to_pylist():
-            own = tokens(text)
+            own = tokens(text, shingle)
             nodes.append(digest(own) if len(own) else None)
             ns.append(len(own))
             tested.append(own[: np.searchsorted(own, TESTED)] if len(own) > 1 else own[:0])
@@ -136,7 +153,7 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(ns, pa.int64()), batch.column(2), lists], names=["doc_id", "node", "n", "text_hash", "tested"])
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _repeated(batches: Iterator[pa.RecordBatch], shingle: int = SHINGLE) -> Iterator[pa.RecordBatch]:
     """(text) -> (token, c) for each token that repeats in a bounded stretch of documents."""
     at_work()
     pending: list[np.ndarray] = []
@@ -149,7 +166,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
     for batch in batches:
         for text in batch.column(0).cast(pa.binary()).fill_null(b"").to_pylist():
-            pending.append(tokens(text))
+            pending.append(tokens(text, shingle))
             size += len(pending[-1])
         if size >= TOKENS_AT_ONCE:
             size = 0
@@ -170,22 +187,22 @@ def frequent_class(counted: DataFrame, most: int = MOST_FREQUENT, least: int = L
     return np.sort(chosen.to_numpy())
 
 
-def prefix(n: int) -> int:
+def prefix(n: int, like: Likeness = OWN) -> int:
     """How many first tokens hold one token in common with any set that links."""
-    return n - -(-OVER * n // UNDER) + 1
+    return n - -(-like.over * n // like.under) + 1
 
 
-def length_class(n: int) -> int:
+def length_class(n: int, like: Likeness = OWN) -> int:
     """Sets that link are of the same or of neighbouring classes."""
-    return math.floor(math.log(n) / math.log(UNDER / OVER) + 1e-9)
+    return math.floor(math.log(n) / math.log(like.under / like.over) + 1e-9)
 
 
-def keys_of(own: np.ndarray, frequent: np.ndarray, unique: np.ndarray | None = None) -> np.ndarray:
+def keys_of(own: np.ndarray, frequent: np.ndarray, unique: np.ndarray | None = None, like: Likeness = OWN) -> np.ndarray:
     """The keys of a set: rare tokens and pairs of frequent ones, or single tokens if it is long."""
     n = len(own)
     if n < 2:  # it links with no other set
         return own[:0]
-    spare = prefix(n)
+    spare = prefix(n, like)
     if unique is not None and len(unique):
         own = np.setdiff1d(own, unique, assume_unique=True)
         spare -= n - len(own)
@@ -197,23 +214,23 @@ def keys_of(own: np.ndarray, frequent: np.ndarray, unique: np.ndarray | None = N
     else:
         common = np.zeros(len(own), bool)
     out = []
-    if n * OVER <= PAIRS_UP_TO * UNDER:  # pairs: of the two tokens shared, one is rare, or both are frequent
+    if n * like.over <= PAIRS_UP_TO * like.under:  # pairs: of the two tokens shared, one is rare, or both are frequent
         rare = own[~common][: spare + 1]
         often = own[common][: spare + 1 - len(rare)]
         out.append(rare)
         i, j = np.triu_indices(len(often), 1)
         with np.errstate(over="ignore"):
             out.append(_mix(_mix(often[i].view(np.uint64)) + often[j].view(np.uint64)).view(np.int64))
-    if n >= PAIRS_UP_TO * OVER // UNDER:  # single tokens
+    if n >= PAIRS_UP_TO * like.over // like.under:  # single tokens
         rare = own[~common][:spare]
         out += [rare, own[common][: spare - len(rare)]]
     keys = np.unique(np.concatenate(out)).view(np.uint64)
-    c = np.uint64(length_class(n))
+    c = np.uint64(length_class(n, like))
     with np.errstate(over="ignore"):
         return np.concatenate([_mix(keys + (c + np.uint64(k)) * _MUL[0]) for k in (0, 1)]).view(np.int64)
 
 
-def index_rows(risky: DataFrame, frequent: np.ndarray) -> DataFrame:
+def index_rows(risky: DataFrame, frequent: np.ndarray, like: Likeness = OWN) -> DataFrame:
     """(node, n, bitmap, keys) of (node, text, unique)."""
     sent = risky.sparkSession.sparkContext.broadcast(frequent)  # at most MOST_FREQUENT numbers, 8 MB
 
@@ -222,10 +239,10 @@ def index_rows(risky: DataFrame, frequent: np.ndarray) -> DataFrame:
         for batch in batches:
             ns, bitmaps, keys = [], [], []
             for text, unique in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2)):
-                own = tokens(text)
+                own = tokens(text, like.shingle)
                 ns.append(len(own))
                 bitmaps.append(bitmap(own))
-                keys.append(keys_of(own, sent.value, unique.values.to_numpy() if unique.is_valid else None))
+                keys.append(keys_of(own, sent.value, unique.values.to_numpy() if unique.is_valid else None, like))
             ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(bitmaps, pa.binary()), lists], names=["node", "n", "bitmap", "keys"])
@@ -248,15 +265,15 @@ def fold(raw: bytes, size: int) -> np.ndarray:
     return x
 
 
-def bucket_edges(nodes: list[int], ns: list[int], bitmaps: list[bytes]) -> list[tuple[int, int]]:
+def bucket_edges(nodes: list[int], ns: list[int], bitmaps: list[bytes], like: Likeness = OWN) -> list[tuple[int, int]]:
     """(node, smallest node) for the nodes of a bucket that pairs which may link connect."""
     size = min(map(len, bitmaps))
     x, n = np.stack([fold(b, size) for b in bitmaps]), np.array(ns)
     low = np.arange(len(nodes))
     for i in range(len(nodes) - 1):
-        # a link has a symmetric difference of (UNDER - OVER) / (UNDER + OVER) of both sizes at most
+        # a link has a symmetric difference of (under - over) / (under + over) of both sizes at most
         apart = np.bitwise_count(x[i + 1 :] ^ x[i]).sum(1).astype(np.int64)
-        near = np.append(np.flatnonzero(apart * (UNDER + OVER) <= (UNDER - OVER) * (n[i + 1 :] + n[i])) + i + 1, i)
+        near = np.append(np.flatnonzero(apart * (like.under + like.over) <= (like.under - like.over) * (n[i + 1 :] + n[i])) + i + 1, i)
         if len(near) > 1:
             roots = np.unique(low[near])
             if len(roots) > 1:
@@ -268,14 +285,14 @@ def bucket_edges(nodes: list[int], ns: list[int], bitmaps: list[bytes]) -> list[
     return out
 
 
-def _filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _filtered(batches: Iterator[pa.RecordBatch], like: Likeness = OWN) -> Iterator[pa.RecordBatch]:
     """(key, node, n, bitmap) sorted by key -> (a, b)."""
     current, held = None, []
     out: list[tuple[int, int]] = []
 
     def close() -> None:
         if len(held) > 1:
-            out.extend(bucket_edges(*map(list, zip(*held))))
+            out.extend(bucket_edges(*map(list, zip(*held)), like))
 
     def rows() -> pa.RecordBatch:
         done, out[:] = list(out), []
@@ -292,19 +309,19 @@ def _filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows()
 
 
-def candidate_edges(index: DataFrame, bitmaps: DataFrame, bucket: int = BUCKET) -> DataFrame:
+def candidate_edges(index: DataFrame, bitmaps: DataFrame, like: Likeness, bucket: int = BUCKET) -> DataFrame:
     """(a, b): edges whose components hold every link. index: (key, node), distinct; bitmaps: (node, n, bitmap)."""
     facts = [F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members")]
     shared = index.groupBy("key").agg(*facts).where("low <> high")
     one = written(shared.groupBy("low", "high", "size", "members").agg(F.min("key").alias("key")), "buckets")
     small = index.join(one.where(F.col("size") <= bucket).select("key"), "key").join(bitmaps, "node").select("key", "node", "n", "bitmap")
-    edges = spread(small, "key").sortWithinPartitions("key", "node").mapInArrow(_filtered, "a long, b long")
+    edges = spread(small, "key").sortWithinPartitions("key", "node").mapInArrow(partial(_filtered, like=like), "a long, b long")
     large = one.where(F.col("size") > bucket).select("key", "low")
     return edges.unionByName(index.join(large, "key").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))).distinct()
 
 
-def linked(inter: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    return UNDER * inter >= OVER * (n + m - inter)
+def linked(inter: np.ndarray, n: np.ndarray, m: np.ndarray, like: Likeness = OWN) -> np.ndarray:
+    return like.under * inter >= like.over * (n + m - inter)
 
 
 def _matrix(sets: list[np.ndarray]) -> np.ndarray:
@@ -328,14 +345,14 @@ def _matrix(sets: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def link_block(nodes: list[int], texts: list[bytes], trusted: list[bool] | None = None) -> list[tuple[int, int]]:
+def link_block(nodes: list[int], texts: list[bytes], trusted: list[bool] | None = None, like: Likeness = OWN) -> list[tuple[int, int]]:
     """(node, smallest node reachable within the block) for the nodes of a block that link.
 
     trusted nodes are known to be linked with each other already.
     """
     sets, ids, known = [], [], []
     for k, (node, text) in enumerate(zip(nodes, texts)):
-        own = tokens(text)
+        own = tokens(text, like.shingle)
         if not len(own):
             continue
         sets.append(own)
@@ -344,7 +361,7 @@ def link_block(nodes: list[int], texts: list[bytes], trusted: list[bool] | None
     if len(sets) < 2:
         return []
     n = np.array([len(s) for s in sets], np.int64)
-    near = linked(_matrix(sets) if len(sets) > 2 else np.array([[n[0], x := len(np.intersect1d(*sets, assume_unique=True))], [x, n[1]]]), n[:, None], n[None, :])
+    near = linked(_matrix(sets) if len(sets) > 2 else np.array([[n[0], x := len(np.intersect1d(*sets, assume_unique=True))], [x, n[1]]]), n[:, None], n[None, :], like)
     parent = list(range(len(sets)))
 
     def find(i: int) -> int:
@@ -366,7 +383,7 @@ def link_block(nodes: list[int], texts: list[bytes], trusted: list[bool] | None
     return [(x, low) for own in groups.values() if len(own) > 1 for low in [min(own)] for x in own if x != low]
 
 
-def _verified(columns: list[str], group: list[str]):
+def _verified(columns: list[str], group: list[str], like: Likeness):
     """mapInArrow over rows sorted by group: the links found in each group of (node, text[, trusted])."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,7 +393,7 @@ def _verified(columns: list[str], group: list[str]):
 
         def flush() -> None:
             if len(nodes) > 1:
-                out.extend(link_block(nodes, texts, trusted))
+                out.extend(link_block(nodes, texts, trusted, like))
 
         for batch in batches:
             keys = list(zip(*(batch.column(columns.index(c)).to_pylist() for c in group)))
@@ -400,7 +417,7 @@ def _verified(columns: list[str], group: list[str]):
     return verify
 
 
-def _held_to_hub(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _held_to_hub(batches: Iterator[pa.RecordBatch], like: Likeness = OWN) -> Iterator[pa.RecordBatch]:
     """(grp, node, text, hub, hub_text) -> (grp, node, hub, similarity)."""
     at_work()
     kept: dict[int, np.ndarray] = {}
@@ -409,29 +426,29 @@ def _held_to_hub(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, hub, hub_text in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
             if hub not in kept:
                 kept.clear()
-                kept[hub] = tokens(hub_text.encode())
-            own, of = tokens((text or "").encode()), kept[hub]
+                kept[hub] = tokens(hub_text.encode(), like.shingle)
+            own, of = tokens((text or "").encode(), like.shingle), kept[hub]
             inter = len(np.intersect1d(own, of, assume_unique=True))
-            sims.append((bool(linked(inter, len(own), len(of))), 1 - inter / (len(own) + len(of) - inter)))
+            sims.append((bool(linked(inter, len(own), len(of), like)), 1 - inter / (len(own) + len(of) - inter)))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array([s[0] for s in sims], pa.bool_()), pa.array([s[1] for s in sims], pa.float64())], names=["grp", "node", "hub", "near", "distance"])
 
 
-def links(risky: DataFrame, groups: DataFrame, block: int = BLOCK) -> DataFrame:
+def links(risky: DataFrame, groups: DataFrame, like: Likeness, block: int = BLOCK) -> DataFrame:
     """Links (a, b) between the nodes of each candidate group (node, label); as many as components need."""
     sizes = groups.groupBy("label").agg(F.count("*").alias("size"))
     members = groups.join(sizes, "label").select(F.col("label").alias("grp"), "size", "node")
     rows = written(risky.select("node", "text").join(members.hint("shuffle_hash"), "node"), "candidates")
     small = rows.where(F.col("size") <= block).select("grp", "node", "text")
     columns = ["grp", "node", "text"]
-    found = [spread(small, "grp").sortWithinPartitions("grp", "node").mapInArrow(_verified(columns, ["grp"]), "a long, b long")]
+    found = [spread(small, "grp").sortWithinPartitions("grp", "node").mapInArrow(_verified(columns, ["grp"], like), "a long, b long")]
     large = rows.where(F.col("size") > block).select("grp", "node", "text")
     hubs = large.join(large.groupBy("grp").agg(F.min("node").alias("node")), ["grp", "node"])
     hubs = hubs.select("grp", F.col("node").alias("hub"), F.col("text").alias("hub_text")).dropDuplicates(["hub"])
     if not large.isEmpty():
-        held = large.join(hubs, "grp").select("grp", "node", "text", "hub", "hub_text").mapInArrow(_held_to_hub, "grp long, node long, hub long, near boolean, distance double")
+        held = large.join(hubs, "grp").select("grp", "node", "text", "hub", "hub_text").mapInArrow(partial(_held_to_hub, like=like), "grp long, node long, hub long, near boolean, distance double")
         held = written(held, "held-to-hub")
         found.append(held.where("near and node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
-        limit = (UNDER - OVER) / UNDER + 1e-9
+        limit = (like.under - like.over) / like.under + 1e-9
         # a far node may link with a node near the hub only within twice the distance of a link
         counts = held.where("not near").groupBy("grp").agg(F.count("*").alias("far"), F.min("distance").alias("nearest"))
         part = held.join(counts, "grp").where(~F.col("near") | (F.col("distance") + limit >= F.col("nearest")) & (F.lit(2 * limit) >= F.col("nearest")))
@@ -447,11 +464,11 @@ def links(risky: DataFrame, groups: DataFrame, block: int = BLOCK) -> DataFrame:
         pairs = part.select("grp", "node", "near", F.explode(F.when(F.col("near"), near_far).otherwise(F.concat(far_far, far_near))).alias("pair"))
         pairs = pairs.select("grp", "node", F.col("near").alias("trusted"), "pair.*").join(large.select("node", "text"), "node").select("grp", "kind", "x", "y", "node", "text", "trusted")
         columns = pairs.columns
-        found.append(spread(pairs, "grp", "kind", "x", "y").sortWithinPartitions("grp", "kind", "x", "y", "node").mapInArrow(_verified(columns, ["grp", "kind", "x", "y"]), "a long, b long"))
+        found.append(spread(pairs, "grp", "kind", "x", "y").sortWithinPartitions("grp", "kind", "x", "y", "node").mapInArrow(_verified(columns, ["grp", "kind", "x", "y"], like), "a long, b long"))
     return reduce(DataFrame.unionByName, found)
 
 
-def at_risk(documents: DataFrame, docs: DataFrame, described: DataFrame) -> DataFrame:
+def at_risk(documents: DataFrame, docs: DataFrame, described: DataFrame, like: Likeness) -> DataFrame:
     """(node, text, unique) of the nodes that may link, one row for each; unique: their known unique tokens."""
     tested = described.where("node is not null").select("node", F.explode("tested").alias("token"))
     alone = tested.groupBy("token").agg(F.min("node").alias("node"), F.max("node").alias("high")).where("node = high")
@@ -459,24 +476,24 @@ def at_risk(documents: DataFrame, docs: DataFrame, described: DataFrame) -> Data
     # a node's text is that of one of its rows, found again by id and hash
     one = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text_hash")).alias("one")
     nodes = docs.where("n > 1").groupBy("node").agg(F.max("n").alias("n"), one)
-    spare = F.expr(f"n - div({OVER} * n + {UNDER - 1}, {UNDER}) + 1")
+    spare = F.expr(f"n - div({like.over} * n + {like.under - 1}, {like.under}) + 1")
     nodes = nodes.join(alone, "node", "left").where(F.coalesce(F.size("unique"), F.lit(0)) < spare).select("node", "one.*", "unique")
     texts = documents.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text_hash", "text")
     return texts.join(nodes.hint("shuffle_hash"), ["id", "text_hash"]).select("node", "text", "unique")
 
 
-def jaccard_components(documents: DataFrame) -> DataFrame:
+def jaccard_components(documents: DataFrame, like: Likeness = OWN) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, text_hash."""
     fail_unless(("doc_id", "text"), documents, "documents")
     small_batches(documents.sparkSession)
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    described = written(documents.mapInArrow(_described, "doc_id long, node long, n long, text_hash long, tested array<long>"), "described")
+    described = written(documents.mapInArrow(partial(_described, shingle=like.shingle), "doc_id long, node long, n long, text_hash long, tested array<long>"), "described")
     docs = described.select("doc_id", "node", "n", "text_hash")
-    risky = written(at_risk(documents, docs, described), "at-risk")
-    frequent = frequent_class(risky.select("text").mapInArrow(_repeated, "token long, c long"))
-    index = written(index_rows(risky, frequent), "index")
-    edges = candidate_edges(index.select(F.explode("keys").alias("key"), "node"), index.select("node", "n", "bitmap"))
-    found = components(links(risky, components(edges, "candidate-groups")), "links")
+    risky = written(at_risk(documents, docs, described, like), "at-risk")
+    frequent = frequent_class(risky.select("text").mapInArrow(partial(_repeated, shingle=like.shingle), "token long, c long"))
+    index = written(index_rows(risky, frequent, like), "index")
+    edges = candidate_edges(index.select(F.explode("keys").alias("key"), "node"), index.select("node", "n", "bitmap"), like)
+    found = components(links(risky, components(edges, "candidate-groups"), like), "links")
     nodes = docs.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     # only nodes with copies or links need another name than their own id
     named = nodes.join(found, "node", "left").where("copies > 1 or label is not null").withColumn("label", F.coalesce("label", "node"))
@@ -485,12 +502,12 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     return docs.join(names, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash")
 
 
-def one_of_each(documents: DataFrame) -> DataFrame:
+def one_of_each(documents: DataFrame, like: Likeness = OWN) -> DataFrame:
     """The documents that name their component, with all their columns.
 
     Of repeated rows one stays. Rows without an id go if their component has a name, else stay.
     """
-    found = written(jaccard_components(documents), "components-of-documents")
+    found = written(jaccard_components(documents, like), "components-of-documents")
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     gone = found.where("not (doc_id <=> component_id)").select(key.alias("__id"), F.col("text_hash").alias("__hash")).distinct()
     same = (key == gone["__id"]) & (F.xxhash64("text") == gone["__hash"])

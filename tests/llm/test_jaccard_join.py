@@ -128,3 +128,38 @@ def test_components(spark):
             if a in parent and b in parent:
                 parent[a] = parent[b] = min(parent[a], parent[b])
     assert got == parent
+
+
+def brute_of(rows, width, over):
+    """Component ids by shingles of ``width`` words and a similarity of ``over`` hundredths."""
+    words = [(t or "").lower().split() for _, t in rows]
+    sets = [{tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set() for w in words]
+    low = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and low[i] != low[j] and 100 * len(sets[i] & sets[j]) >= over * len(sets[i] | sets[j]):
+                low = [min(low[i], low[j]) if x in (low[i], low[j]) else x for x in low]
+    return sorted((rows[k][0], len(sets[k]), rows[low[k]][0]) for k in range(len(rows)))
+
+
+def test_another_width_and_similarity(spark, monkeypatch):
+    rows = corpus(4, 130)
+    base = [f"w{k}" for k in range(100)]
+    r = random.Random(6)
+    # a block replaced: below 0.9 at three words, above 0.8 at five
+    rows += [(2000, " ".join(base)), (2001, " ".join([*base[:93], *(f"y{k}" for k in range(7))]))]
+    for k in range(60):
+        own = list(base)
+        for _ in range(r.choice([1, 2, 3])):
+            own[r.randrange(100)] = f"x{r.randrange(9999)}"
+        rows.append((3000 + k, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    like = J.Likeness(5, 80, 100)
+    want = brute_of(rows, 5, 80)
+    assert result(J.jaccard_components(df, like)) == sorted(want, key=str)
+    assert {i for i, _, c in want if i == c} == {x.doc_id for x in J.one_of_each(df, like).collect()}
+    monkeypatch.setattr(J.links, "__defaults__", (8,))
+    monkeypatch.setattr(J.candidate_edges, "__defaults__", (30,))
+    assert result(J.jaccard_components(df, like)) == sorted(want, key=str)
+    two = df.where("doc_id in (2000, 2001)")
+    assert (J.one_of_each(two).count(), J.one_of_each(two, like).count()) == (2, 1)
