@@ -6,6 +6,10 @@ threshold stay; lines clearly above it are boilerplate; for those near it the di
 counted exactly. Of a boilerplate line the first occurrence of the corpus stays (smallest id,
 then smallest place), all others are removed from their documents.
 
+Passages, lines of more than ``PASSAGE`` words, are no matter of sites: without_passages removes each that
+stands in two documents, all but its first occurrence. It is meant for documents that are no near
+copies of one another, since near copies share most of their passages.
+
 DataFrame functions only. What is shuffled are digests; the texts move once, to meet the places of
 their removed lines.
 
@@ -30,17 +34,22 @@ SKETCH = 10
 NEAR = 1.25
 #: one removal list is dealt out by so many salts, since one line may stand in a third of all rows
 SALTS = 32
+#: a line of more words (runs between white space) is a passage
+PASSAGE = 50
 
 
 def lines_of(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _occurrences(documents: DataFrame) -> DataFrame:
-    """(id, text_hash, at, site, line): one row for each line that is not blank, line being its digest."""
+def _occurrences(documents: DataFrame, longer: int = 0) -> DataFrame:
+    """(id, text_hash, at, site, line): one row for each line of more than ``longer`` words, line being its digest."""
     site = F.coalesce(F.col("source").cast("string"), F.lit("\x00"))
     rows = documents.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_hash"), site.alias("site"), F.posexplode(lines_of(F.col("text"))).alias("at", "line"))
-    return rows.where(F.trim("line") != "").withColumn("line", F.substring(F.unhex(F.sha2(F.trim("line"), 256)), 1, 16))
+    rows = rows.where(F.trim("line") != "")
+    if longer:  # so many words have as many characters and the spaces between
+        rows = rows.where((F.char_length("line") > 2 * longer) & (F.size(F.split(F.trim(F.regexp_replace("line", "\\s+", " ")), " ")) > longer))
+    return rows.withColumn("line", F.substring(F.unhex(F.sha2(F.trim("line"), 256)), 1, 16))
 
 
 def spread_of_lines(rows: DataFrame, sites: int = SITES) -> DataFrame:
@@ -57,11 +66,23 @@ def spread_of_lines(rows: DataFrame, sites: int = SITES) -> DataFrame:
     return sure.unionByName(near.join(exact, "line").select("line", "sites", F.lit(True).alias("exact"), "id", "at"))
 
 
+def passages_of(rows: DataFrame) -> DataFrame:
+    """(line, id, at) of the lines that stand in two documents, id and at being those of the occurrence that stays."""
+    document = F.struct("id", "text_hash")
+    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "at")).alias("first")
+    found = rows.groupBy("line").agg(F.min(document).alias("low"), F.max(document).alias("high"), first)
+    return found.where(~F.col("low").eqNullSafe(F.col("high"))).select("line", "first.id", "first.at")
+
+
 def marked(documents: DataFrame, sites: int = SITES) -> DataFrame:
     """documents with __gone, the places of lines to remove (null for none)."""
     fail_unless(("doc_id", "text", "source"), documents, "documents")
     rows = written(_occurrences(documents), "line-digests")
-    spread = written(spread_of_lines(rows, sites), "boilerplate")
+    return _with_places(documents, rows, written(spread_of_lines(rows, sites), "boilerplate"))
+
+
+def _with_places(documents: DataFrame, rows: DataFrame, spread: DataFrame) -> DataFrame:
+    """documents with __gone, the places in rows of the lines of spread but for the occurrence that stays."""
     salted = spread.select("line", F.col("id").alias("stays_id"), F.col("at").alias("stays_at"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     hit = rows.withColumn("salt", F.pmod(F.xxhash64("id", "at"), F.lit(SALTS)).cast("int")).join(salted, ["line", "salt"])
     hit = hit.where(~(F.col("id").eqNullSafe(F.col("stays_id")) & (F.col("at") == F.col("stays_at"))))
@@ -89,7 +110,21 @@ def without_boilerplate(documents: DataFrame, sites: int = SITES) -> DataFrame:
 
     A document that had text and lost all of it is dropped: each of its lines stands in another one.
     """
-    out = marked(documents, sites).withColumn("__clean", cleaned_text())
+    return _cleaned(documents, marked(documents, sites))
+
+
+def without_passages(documents: DataFrame, longer: int = PASSAGE) -> DataFrame:
+    """documents without the lines of more than ``longer`` words that stand in an earlier document or place too.
+
+    Columns and emptied documents as in without_boilerplate.
+    """
+    fail_unless(("doc_id", "text", "source"), documents, "documents")
+    rows = written(_occurrences(documents, longer), "passage-digests")
+    return _cleaned(documents, _with_places(documents, rows, written(passages_of(rows), "passages")))
+
+
+def _cleaned(documents: DataFrame, marks: DataFrame) -> DataFrame:
+    out = marks.withColumn("__clean", cleaned_text())
     out = out.where(F.col("__gone").isNull() | (F.trim(F.regexp_replace("__clean", "\\s+", " ")) != ""))
     counted = {"n_chars": F.char_length("__clean").cast(documents.schema["n_chars"].dataType)} if "n_chars" in documents.columns else {}
     return out.withColumns({"text": F.col("__clean"), **counted}).select(*documents.columns)

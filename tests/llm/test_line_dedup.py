@@ -62,3 +62,20 @@ def test_no_python_on_the_path(spark):
     df = spark.createDataFrame(corpus(2), "doc_id long, text string, source string")
     plan = L.report(df)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_passages_of_two_documents(spark):
+    passage = " ".join(f"w{k}" for k in range(51))
+    fifty = " ".join(f"v{k}" for k in range(50))
+    rows = [
+        (1, f"one\n{passage}\n{fifty}", "s", 9), (2, f"two\n  {passage}\n{fifty}", "s", 9), (3, f"{passage}\nthree\n{passage}", "t", 9), (4, passage, "t", 9),
+        (5, f"own {passage}\nfive\nown {passage}", "t", 9), (6, f"six {passage}", "u", 9), (6, f"six {passage}", "u", 9), (7, None, None, None), (None, f"none\n{passage}", "s", 9),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in L.without_passages(df).collect()), key=str)
+    gone = {2: f"two\n{fifty}", 3: "three", None: "none"}
+    assert got == sorted(((i, gone.get(i, t)) for i, t, _, _ in rows if i != 4), key=str)
+    many = [(k, f"line {k}\n{passage}", "hot", 0) for k in range(500)]
+    texts = [r.text for r in L.without_passages(spark.createDataFrame(many, df.schema)).collect()]
+    assert len(texts) == 500 and sum(passage in t for t in texts) == 1
+    assert L.without_passages(df.limit(0)).collect() == []
