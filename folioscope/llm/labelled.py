@@ -9,12 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, written
 
 #: rows of labels that a classifier is fitted on, at most; a documented parameter of each
 SAMPLE_ROWS = 4000
-#: characters of a text of the sample that are sent to the driver, at most; scoring reads whole texts
-SAMPLE_CHARS = 40_000
+#: bytes of text from which on no further row is taken into the sample; texts are never cut
+SAMPLE_BYTES = 160_000_000
 FOLDS = 5
 
 
@@ -23,17 +23,30 @@ def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS))
 
 
-def sample(documents: DataFrame, labels: DataFrame, label: str, most: int = SAMPLE_ROWS, held_out: bool = True) -> tuple[list[bytes], np.ndarray]:
-    """Texts and labels of at most ``most`` labelled rows, the first by a hash of the id.
+def sample(documents: DataFrame, labels: DataFrame, label: str, most: int = SAMPLE_ROWS, held_out: bool = True, most_bytes: int = SAMPLE_BYTES) -> tuple[list[bytes], np.ndarray]:
+    """Whole texts and labels of at most ``most`` labelled rows, the first by a hash of the id.
 
-    Rows of the held-out fold are left out. The chosen ids are few, by the bound, and broadcast.
+    Rows of the held-out fold are left out. The chosen ids are few, by the bound, and broadcast. Where the
+    texts are very long, rows are taken in the same order until they hold ``most_bytes``, so that the driver
+    holds no more than that and one text.
     """
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label is not null")
     if held_out:
         rows = rows.where(fold(F.col("doc_id")) != 0)
     chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most)
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring("text", 1, SAMPLE_CHARS).alias("text")).where("text is not null")
-    got = texts.join(F.broadcast(chosen), "doc_id").select("text", "label").limit(2 * most).toArrow()
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
+    place = ["order", "doc_id", "label", "hash"]
+    got = texts.join(F.broadcast(chosen), "doc_id").select("text", "label", "doc_id", F.xxhash64("doc_id").alias("order"), F.xxhash64("text").alias("hash"))
+    got = written(got.limit(2 * most), "labelled-sample")
+    rows = got.select(*place, F.octet_length("text").alias("size")).orderBy(*place).collect()  # numbers only, 2 * most rows
+    held, end = 0, None
+    for row in rows:
+        if held >= most_bytes:
+            break
+        held, end = held + row["size"], row
+    if end is not None and end is not rows[-1]:
+        got = got.where(F.struct(*place) <= F.struct(*(F.lit(end[c]).cast(got.schema[c].dataType).alias(c) for c in place)))
+    got = got.select("text", "label").toArrow()
     table = sorted(zip(got["text"].to_pylist(), got["label"].to_pylist()))
     return [t.encode() for t, _ in table], np.array([y for _, y in table], np.int64)
 

@@ -167,3 +167,14 @@ def test_license_rules(spark):
     got = sorted((r.doc_id, r.licenses, r.n_matches) for r in license_scan.license_scan(df).collect())
     assert got == sorted((i, names, n) for i, _, names, n in rows)
     assert license_scan.license_scan(df.limit(0)).collect() == []
+
+
+def test_the_sample_holds_whole_texts(spark):
+    long = "clean words " * 5000 + "idiot"
+    rows = [(k, f"{long} {k}") for k in range(40)]
+    df = spark.createDataFrame([*rows, rows[3]], "doc_id long, text string")
+    labels = labels_of(spark, [(k, 1, k % 2) for k in range(40)])
+    every, y = labelled.sample(df, labels, "toxic", held_out=False)
+    assert sorted(every) == sorted(t.encode() for _, t in [*rows, rows[3]]) and y.sum() == 21
+    few, _ = labelled.sample(df, labels, "toxic", held_out=False, most_bytes=200_000)
+    assert len(few) == 4 and set(few) <= set(every)
