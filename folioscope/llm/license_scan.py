@@ -4,7 +4,7 @@ A text is cut into sentences, each normalised to its lower-cased letters and dig
 among the sentences of known licences; what is known becomes an identifier. The sequence of
 identifiers, with their places, is matched against ordered rules: a rule fits if its sentences follow
 one another with at most ``GAP`` other sentences between. A rule inside a longer one that fits
-(same places) is not reported beside it.
+(same places) is not reported beside it. An SPDX-License-Identifier line names its licences itself.
 
 Sentences are cut twice, at sentence ends with line breaks as spaces (wrapped licence texts) and at
 line breaks too (a notice under an unfinished line); what either cut recognises counts once.
@@ -27,6 +27,11 @@ from .common import LOWER_BYTES, fail_unless, small_batches
 
 GAP = 1
 # The wording of public licences and of customary notices.
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+)
 RULES: dict[str, list[tuple[str, ...]]] = {
     "Apache-2.0": [
         ("Licensed under the Apache License, Version 2.0.",),
@@ -41,6 +46,40 @@ RULES: dict[str, list[tuple[str, ...]]] = {
             "You may obtain a copy of the License at",
         ),
     ],
+    "AGPL-3.0": [
+        ("This work is licensed under the GNU Affero General Public License, version 3.",),
+        ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",),
+    ],
+    "LGPL-2.1": [
+        ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",),
+    ],
+    "LGPL-3.0": [
+        ("This work is licensed under the GNU Lesser General Public License, version 3.",),
+        ("This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",),
+        ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",),
+    ],
+    "GPL-2.0": [
+        ("This work is licensed under the GNU General Public License, version 2.",),
+        ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",),
+        ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",),
+    ],
+    "MPL-2.0": [
+        ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
+        ("Licensed under the Mozilla Public License, Version 2.0.",),
+        ("Licensed under the Mozilla Public License 2.0.",),
+    ],
+    "Unlicense": [
+        ("This is free and unencumbered software released into the public domain.",),
+        (
+            "This is free and unencumbered software released into the public domain.",
+            "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        ),
+    ],
+    "CC0-1.0": [
+        ("Licensed under CC0 1.0.",),
+        ("This work is licensed under CC0 1.0.",),
+        ("To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.",),
+    ],
     "MIT": [
         ("Released under the MIT License.",),
         ("Licensed under the MIT License.",),
@@ -60,20 +99,39 @@ RULES: dict[str, list[tuple[str, ...]]] = {
     "CC-BY-4.0": [("Licensed under CC BY 4.0.",), ("This work is licensed under a Creative Commons Attribution 4.0 International License.",)],
     "CC-BY-SA-4.0": [("Licensed under CC BY-SA 4.0.",)],
     "ISC": [("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",)],
+    "BSD-2-Clause": [_BSD[:2], _BSD],
     "BSD-3-Clause": [
-        (
-            "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-            "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
-        )
+        ("Licensed under the BSD 3-Clause License.",),
+        (*_BSD, "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+        # a holder's name with a full stop cuts the sentence in two
+        (*_BSD, "Neither the name of X Inc.", "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ],
 }
+#: identifiers of SPDX lines and the names that they are reported by
+SPDX = {n.lower(): n for n in RULES} | {f"{n.lower()}{end}": n for n in RULES if "GPL" in n for end in ("-only", "-or-later", "+")}
 _SIGNS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in LOWER_BYTES)
 _WRAPPED = re.compile(rb"(?<=[.!?:;])\s+|\n\s*\n\s*")
 _LINES = re.compile(rb"(?<=[.!?:;])\s+|\s*\n\s*")
 
 
+_SPDX_LINE = re.compile(rb"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+() \t-]+)")
+_SPDX_NAME = re.compile(rb"(?<![A-Za-z0-9.+-])[A-Za-z0-9][A-Za-z0-9.+-]*")
+#: the holder in the endorsement clause
+_HOLDER = re.compile(rb"neither the names? of .+?(?= (?:n?or) the names of its contributors |$)")
+
+
 def normalised(sentence: bytes) -> bytes:
-    return b" ".join(sentence.translate(_SIGNS).split())
+    form = b" ".join(sentence.translate(_SIGNS).split())
+    return _HOLDER.sub(b"neither the name of x", form, count=1) if form.startswith(b"neither the name") else form
+
+
+def spdx(text: bytes) -> Iterator[tuple[str, int, int]]:
+    """(licence, start, end) for the known identifiers of SPDX lines; unknown ones and exceptions are passed over."""
+    if b"SPDX-License-Identifier:" in text:
+        for line in _SPDX_LINE.finditer(text):
+            for m in _SPDX_NAME.finditer(text, line.start(1), line.end(1)):
+                if name := SPDX.get(m[0].decode().lower()):
+                    yield name, m.start(), m.end()
 
 
 def sentences(text: bytes, cut: re.Pattern) -> Iterator[tuple[int, int, bytes]]:
@@ -88,7 +146,8 @@ def sentences(text: bytes, cut: re.Pattern) -> Iterator[tuple[int, int, bytes]]:
 class Rules:
     """Sentence identifiers and the rules over them."""
 
-    def __init__(self, rules: dict[str, list[tuple[str, ...]]]):
+    def __init__(self, rules: dict[str, list[tuple[str, ...]]], spdx: bool = True):
+        self.spdx = spdx
         self.known: dict[bytes, int] = {}
         self.by_first: dict[int, list[tuple[str, tuple[int, ...]]]] = {}
         for name, own in sorted(rules.items()):
@@ -128,6 +187,7 @@ class Rules:
                         found.add((name, start, stop))
         kept = [m for m in found if not any(o != m and o[1] <= m[1] and m[2] <= o[2] and (o[1], o[2]) != (m[1], m[2]) for o in found)]
         places = {(r[2], r[3]): r[4] for r in rows}
+        kept += spdx(text) if self.spdx else ()
         return [v for _, v in sorted(places.items())], sorted(kept, key=lambda m: (m[1], m[2], m[0]))
 
 
@@ -135,7 +195,7 @@ def license_scan(documents: DataFrame, rules: dict[str, list[tuple[str, ...]]] |
     """Per document: doc_id, n_sentences known, n_matches, licenses (sorted names joined by commas), spans (byte places)."""
     fail_unless(("doc_id", "text"), documents, "documents")
     small_batches(documents.sparkSession)
-    table = Rules(rules or RULES)
+    table = Rules(rules or RULES, spdx=not rules)
     sent = documents.sparkSession.sparkContext.broadcast(table)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

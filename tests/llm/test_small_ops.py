@@ -178,3 +178,29 @@ def test_the_sample_holds_whole_texts(spark):
     assert sorted(every) == sorted(t.encode() for _, t in [*rows, rows[3]]) and y.sum() == 21
     few, _ = labelled.sample(df, labels, "toxic", held_out=False, most_bytes=200_000)
     assert len(few) == 4 and set(few) <= set(every)
+
+
+def test_more_licenses_and_spdx_lines(spark):
+    two = (
+        "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n"
+        "1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n"
+        "2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n"
+    )
+    end = "may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n"
+    gpl = "This program is free software{} you can redistribute it and/or modify\nit under the terms of the GNU {} as published by\nthe Free Software Foundation{} either version {} of the License, or\n(at your option) any later version.\n"
+    texts = {
+        "BSD-2-Clause": [two, two[: two.index("2. R")], "# SPDX-License-Identifier: BSD-2-Clause"],
+        "BSD-3-Clause": [f"{two}\n3. Neither the name of {x} nor the names of its\n   contributors {end}" for x in ("the copyright holder", "Some Company", "Some Company Inc.")],
+        "GPL-2.0": [gpl.format(";", "General Public License", ";", 2), "// SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0\n"],
+        "GPL-3.0": [gpl.format(":", "General Public License", ",", 3) + "\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."],
+        "AGPL-3.0": [gpl.format(":", "Affero General Public License", ",", 3)],
+        "LGPL-3.0": [gpl.format(":", "Lesser General Public License", ",", 3)],
+        "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy"],
+        "Unlicense": ["This is free and unencumbered software released into the public domain.\n"],
+        "CC0-1.0": ["/* SPDX-License-Identifier: CC0-1.0 */\nx"],
+        "Apache-2.0,MIT": ["x\n// SPDX-License-Identifier: (MIT OR Apache-2.0)\ny"],
+        "": ["SPDX-License-Identifier: Other-1.0", "MIT", "Neither the name of MIT nor the names of its contributors " + end],
+    }
+    rows = [(names, t) for names, own in texts.items() for t in own]
+    got = license_scan.license_scan(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()
+    assert {rows[r.doc_id]: r.licenses for r in got} == {x: x[0] for x in rows}
