@@ -18,6 +18,7 @@ empty result.
 
 from __future__ import annotations
 
+import re
 import zlib
 from dataclasses import dataclass
 
@@ -33,6 +34,7 @@ PLACES = 1 << BITS
 MOST_WORDS = 300_000
 PENALTY, STEPS = 3e-5, 400
 _SHAPE = bytes(b"A"[0] if 65 <= b <= 90 else b"a"[0] if 97 <= b <= 122 or b >= 128 else b"0"[0] if 48 <= b <= 57 else b for b in range(256))
+_RUN = re.compile(rb"(.)\1+", re.DOTALL)
 
 
 class Shapes(dict):
@@ -41,8 +43,7 @@ class Shapes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= MOST_WORDS:
             self.clear()
-        shape = word[:64].translate(_SHAPE)
-        short = bytes(c for k, c in enumerate(shape) if not k or c != shape[k - 1])
+        short = _RUN.sub(rb"\1", word.translate(_SHAPE))
         out = self[word] = (zlib.crc32(b"w" + word.lower()) % PLACES) << 32 | zlib.crc32(b"s" + short)
         return out
 

@@ -31,19 +31,39 @@ from .labelled import SAMPLE_ROWS, fold, sample, scored
 BITS, WIDTH = 17, 8
 PLACES = 1 << BITS
 STRETCH = 8
+#: bytes of a word; a longer one is cut into pieces that share so many bytes, four characters at least
+PIECE, SHARED = 64, 16
 GRAMS = (3, 4, 5)
 MOST_WORDS = 300_000
 EPOCHS, BATCH, RATE = 8, 2048, 0.08
 _SIGNS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in LOWER_BYTES)
 
 
+def pieces(word: bytes) -> list[bytes]:
+    """A long word as overlapping pieces of whole characters; each of its n-grams is in one."""
+    out, start = [], 0
+    while len(word) - start > PIECE:
+        end = _boundary(word, start + PIECE)
+        out.append(word[start:end])
+        start = _boundary(word, end - SHARED)
+    return [*out, word[start:]]
+
+
+def _boundary(word: bytes, at: int) -> int:
+    """The last place up to ``at`` where a character begins; characters have four bytes at most."""
+    return next((k for k in range(at, at - 4, -1) if word[k] & 0xC0 != 0x80), at)
+
+
 def words_of(text: bytes) -> list[bytes]:
-    return text.translate(_SIGNS).split()
+    words = text.translate(_SIGNS).split()
+    if max(map(len, words), default=0) <= PIECE:
+        return words
+    return [p for w in words for p in pieces(w)]
 
 
 def places_of(word: bytes) -> list[int]:
-    """The hashed n-grams of a word, over characters; very long words count by their first 64 bytes."""
-    w = f"<{word[:64].decode('utf-8', 'ignore')}>"
+    """The hashed n-grams of a word, over characters."""
+    w = f"<{word.decode('utf-8', 'ignore')}>"
     grams = {w, *(w[k : k + n] for n in GRAMS for k in range(len(w) - n + 1))}
     return sorted(zlib.crc32(g.encode()) % PLACES for g in grams)
 

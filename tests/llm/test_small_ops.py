@@ -204,3 +204,24 @@ def test_more_licenses_and_spdx_lines(spark):
     rows = [(names, t) for names, own in texts.items() for t in own]
     got = license_scan.license_scan(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()
     assert {rows[r.doc_id]: r.licenses for r in got} == {x: x[0] for x in rows}
+
+
+def test_long_words_count_whole():
+    r = random.Random(8)
+    for alphabet in ("abc", "é日🙂a"):
+        for n in (1, 20, 63, 64, 65, 66, 200, 999):
+            word = "".join(r.choices(alphabet, k=n))
+            cut = [p.decode() for p in toxicity.pieces(word.encode())]
+            assert all(len(p.encode()) <= 64 for p in cut) and (len(cut) == 1) == (len(word.encode()) <= 64)
+            assert {word[k : k + 5] for k in range(len(word) - 4)} <= {p[k : k + 5] for p in cut for k in range(len(p) - 4)}
+    plain = ["".join(r.choices("fghijklm", k=5)) for _ in range(200)]
+    texts, labels = [], np.arange(400) % 2
+    for y in labels:
+        texts.append(" ".join(r.choices(plain, k=20) + ["stupid"] * y).encode())
+    model = toxicity.fit(texts, labels)
+    glued = "".join(r.choices(plain, k=30)).encode()
+    assert model.highest(glued + b"stupid") > model.highest(glued)
+    assert toxicity.words_of(b"a" * 64) == [b"a" * 64] and toxicity.words_of(b"") == []
+    tails = {tuple(quality.features(b"a" * 64 + end)[0]) for end in (b"b", b"B")}
+    shapes = [quality._shapes[b"a" * 64 + end] & 0xFFFFFFFF for end in (b"b", b"B")]
+    assert len(tails) == 2 and shapes[0] != shapes[1] and shapes[0] == zlib.crc32(b"sa")
