@@ -1,6 +1,7 @@
 """Line dedup (5): distinct-site spread of lines, removal of cross-site boilerplate.
 
-Lines are compared by the digest of their trimmed text. A HyperLogLog sketch of the sites of each
+Lines are compared by the digest of their trimmed text: the report of the query trims spaces alone, as its
+SQL does; the filters trim all ASCII white space, so that pages with CRLF and LF line ends meet. A HyperLogLog sketch of the sites of each
 line is aggregated, merging what each task has sketched. Lines whose estimate is clearly below the
 threshold stay; lines clearly above it are boilerplate; for those near it the distinct sites are
 counted exactly. Of a boilerplate line the first occurrence of the corpus stays (smallest id,
@@ -36,20 +37,22 @@ NEAR = 1.25
 SALTS = 32
 #: a line of more words (runs between white space) is a passage
 PASSAGE = 50
+#: what the filters trim
+WHITE = " \t\n\r\v\f"
 
 
 def lines_of(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _occurrences(documents: DataFrame, longer: int = 0) -> DataFrame:
-    """(id, text_hash, at, site, line): one row for each line of more than ``longer`` words, line being its digest."""
+def _occurrences(documents: DataFrame, longer: int = 0, white: str = " ") -> DataFrame:
+    """(id, text_hash, at, site, line): one row for each line of more than ``longer`` words, line being its digest without the ``white`` around it."""
     site = F.coalesce(F.col("source").cast("string"), F.lit("\x00"))
     rows = documents.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_hash"), site.alias("site"), F.posexplode(lines_of(F.col("text"))).alias("at", "line"))
-    rows = rows.where(F.trim("line") != "")
+    rows = rows.withColumn("line", F.trim("line", F.lit(white))).where("line <> ''")
     if longer:  # so many words have as many characters and the spaces between
-        rows = rows.where((F.char_length("line") > 2 * longer) & (F.size(F.split(F.trim(F.regexp_replace("line", "\\s+", " ")), " ")) > longer))
-    return rows.withColumn("line", F.substring(F.unhex(F.sha2(F.trim("line"), 256)), 1, 16))
+        rows = rows.where((F.char_length("line") > 2 * longer) & (F.size(F.split("line", "\\s+")) > longer))
+    return rows.withColumn("line", F.substring(F.unhex(F.sha2("line", 256)), 1, 16))
 
 
 def spread_of_lines(rows: DataFrame, sites: int = SITES) -> DataFrame:
@@ -74,10 +77,10 @@ def passages_of(rows: DataFrame) -> DataFrame:
     return found.where(~F.col("low").eqNullSafe(F.col("high"))).select("line", "first.id", "first.at")
 
 
-def marked(documents: DataFrame, sites: int = SITES) -> DataFrame:
+def marked(documents: DataFrame, sites: int = SITES, white: str = " ") -> DataFrame:
     """documents with __gone, the places of lines to remove (null for none)."""
     fail_unless(("doc_id", "text", "source"), documents, "documents")
-    rows = written(_occurrences(documents), "line-digests")
+    rows = written(_occurrences(documents, white=white), "line-digests")
     return _with_places(documents, rows, written(spread_of_lines(rows, sites), "boilerplate"))
 
 
@@ -110,7 +113,7 @@ def without_boilerplate(documents: DataFrame, sites: int = SITES) -> DataFrame:
 
     A document that had text and lost all of it is dropped: each of its lines stands in another one.
     """
-    return _cleaned(documents, marked(documents, sites))
+    return _cleaned(documents, marked(documents, sites, WHITE))
 
 
 def without_passages(documents: DataFrame, longer: int = PASSAGE) -> DataFrame:
@@ -119,7 +122,7 @@ def without_passages(documents: DataFrame, longer: int = PASSAGE) -> DataFrame:
     Columns and emptied documents as in without_boilerplate.
     """
     fail_unless(("doc_id", "text", "source"), documents, "documents")
-    rows = written(_occurrences(documents, longer), "passage-digests")
+    rows = written(_occurrences(documents, longer, WHITE), "passage-digests")
     return _cleaned(documents, _with_places(documents, rows, written(passages_of(rows), "passages")))
 
 

@@ -79,3 +79,14 @@ def test_passages_of_two_documents(spark):
     texts = [r.text for r in L.without_passages(spark.createDataFrame(many, df.schema)).collect()]
     assert len(texts) == 500 and sum(passage in t for t in texts) == 1
     assert L.without_passages(df.limit(0)).collect() == []
+
+
+def test_filters_trim_all_white_space(spark):
+    ends = ["", "\r", "\t", " \r", "\f"]
+    rows = [(k, f"own {k}\r\n{'	' * (k % 2)}boiler{ends[k % 5]}\n\r\n\t", f"s{k}") for k in range(L.SITES)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in L.without_boilerplate(df).collect()}
+    assert got == {k: t if not k else f"own {k}\r\n\r\n\t" for k, t, _ in rows}
+    passage = " ".join(f"w{k}" for k in range(51))
+    two = spark.createDataFrame([(1, f"a\n{passage}\r", "s"), (2, f"b\n{passage}", "s"), (3, f"c\n{' '.join(passage.split()[:50])}  \r", "s")], df.schema)
+    assert sorted(len(r.text.split()) for r in L.without_passages(two).collect()) == [1, 51, 52]
