@@ -122,7 +122,8 @@ def retrieval_edges(pages: DataFrame, links: DataFrame) -> DataFrame:
     return rows.join(known, "name").where("a <> b").select("a", "b").distinct()
 
 
-def entity_list(entities: DataFrame, mentions: DataFrame, query: str | None = None, kind: str | None = None, limit: int = 50) -> DataFrame:
+def entity_list(entities: DataFrame, mentions: DataFrame, query: str | None = None, kind: str | None = None, limit: int | None = 50) -> DataFrame:
+    """Entities by number of mentions: 1 to 500 of them as the limit says, all without one."""
     out = entities
     if query:
         out = out.where(F.col("canonical_name").rlike(T.like_pattern(query)))
@@ -130,7 +131,8 @@ def entity_list(entities: DataFrame, mentions: DataFrame, query: str | None = No
         out = out.where(F.col("entity_type") == kind)
     counts = mentions.groupBy(F.col("entity_id").alias("id")).agg(F.count("*").alias("mentions"))
     rows = out.join(counts, "id", "left").select("id", "canonical_name", "entity_type", "confidence", F.coalesce("mentions", F.lit(0)).alias("mentions"))
-    return rows.orderBy(F.desc("mentions"), "entity_type", "canonical_name", "id").limit(max(1, min(500, limit)))
+    rows = rows.orderBy(F.desc("mentions"), "entity_type", "canonical_name", "id")
+    return rows if limit is None else rows.limit(max(1, min(500, limit)))
 
 
 def resolve_entity(entities: DataFrame, query: str) -> str:

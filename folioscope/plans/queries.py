@@ -131,7 +131,7 @@ def mentions_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     mentions = written(mentions_of(spark, sf_dir), "mentions")
-    return graph.entity_list(index.entities(mentions), mentions, limit=500)
+    return graph.entity_list(index.entities(mentions), mentions, limit=None)
 
 
 @query

@@ -92,6 +92,20 @@ def test_links_and_graph(spark, built):
     assert graph.retrieval_edges(pages, links).count() == 2
 
 
+def test_entity_list_without_a_limit(spark, monkeypatch):
+    from folioscope.plans import queries
+
+    rows = [(f"e{k:04}", f"Name_{k}", "identifier", 1.0) for k in range(700)]
+    entities = spark.createDataFrame(rows, "id string, canonical_name string, entity_type string, confidence double")
+    mentions = spark.createDataFrame([(r[0],) for r in rows] + [("e0650",)], "entity_id string")
+    every = graph.entity_list(entities, mentions, limit=None).collect()
+    assert len(every) == 700 and (every[0].id, every[0].mentions) == ("e0650", 2)
+    assert graph.entity_list(entities, mentions, limit=900).count() == 500 and graph.entity_list(entities, mentions).count() == 50
+    monkeypatch.setattr(queries, "mentions_of", lambda *_: mentions)
+    monkeypatch.setattr(queries.index, "entities", lambda _: entities)
+    assert queries.entities(spark, "").count() == 700
+
+
 def test_entities_and_neighbours(spark, built):
     listed = graph.entity_list(built["entities"], built["entity_mentions"], "cache").collect()
     assert [(r.canonical_name, r.mentions) for r in listed] == [("Cache_Key", 2)]
