@@ -1,13 +1,14 @@
-"""Shared helpers: the shared folder, written intermediate tables, components, safe columns."""
+"""Shared helpers: bounded batches, free names, components; the shared folder is that of the engine."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.plans.tables import shared_folder, table, written  # noqa: F401
+
 #: what a worker process remembers between tasks, by operator
 _remembered: dict[str, Callable[[], None]] = {}
 
@@ -25,33 +26,27 @@ LOWER = UPPER.lower()
 LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one below the warehouse."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    return folder.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df to the shared folder and read it again.
-
-    Readers of the table survive the loss of any executor, which a cache or local checkpoint does not.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: what one Arrow batch holds at most, since texts may be very long
+BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound what one Arrow batch holds, since texts may be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of the session, alike for every operator; a lower bound of the caller stays."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        set_to = int(spark.conf.get(key).rstrip("b"))
+        if not 0 < set_to <= most:
+            spark.conf.set(key, str(most))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as no column of df needs."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def ascii_lower(text: Column) -> Column:

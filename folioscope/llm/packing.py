@@ -6,8 +6,10 @@ of bounded size, each packed by best-fit decreasing. Dual feasible functions (Fe
 2001: the u^(k) family and the threshold functions of Martello and Toth) give a lower bound on the
 number of sequences of a partition; a partition that meets its bound is certified, it stays as it
 is. Partitions with a gap keep their full sequences and exchange the pieces of all others: these
-are dealt anew among fewer partitions and packed again, until the bound is met or one partition is
-left, whose few open sequences are the loss.
+are dealt anew among fewer partitions and packed again, until the bound is met, one partition is
+left, or a round has settled less than a tenth of its pieces. What is packed last stays as it is:
+some sequences of it may not be certified. ``certificate`` tells the number of sequences of a whole
+packing and the bound for it.
 
 Defined cases: null text is empty; an empty document is one piece of length 1 (its closing id);
 repeated rows are packed once each; ties in length are broken by id and piece; extra columns are
@@ -88,10 +90,12 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """The best of the dual feasible functions: no packing of lengths has fewer bins."""
-    if not len(lengths):
-        return 0
-    counts = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    """No packing of lengths has fewer bins."""
+    return bound_of_counts(np.bincount(lengths, minlength=capacity + 1).astype(np.int64), capacity)
+
+
+def bound_of_counts(counts: np.ndarray, capacity: int) -> int:
+    """The best of the dual feasible functions, of the number of pieces of each length up to capacity."""
     sizes = np.arange(capacity + 1, dtype=np.int64)
     best = -(-int((counts * sizes).sum()) // capacity)
     # thresholds e <= capacity / 2: above capacity - e a whole bin, between e and that the length itself, below e nothing
@@ -156,6 +160,17 @@ def pack(cut: DataFrame, capacity: int = SEQUENCE, per_partition: int = PIECES_P
     return reduce(DataFrame.unionByName, done)
 
 
+def certificate(packed: DataFrame, capacity: int = SEQUENCE) -> tuple[int, int]:
+    """How many sequences a packing has, and the lower bound of any packing of its pieces.
+
+    A histogram of lengths, capacity numbers at most, is all that reaches the driver.
+    """
+    counts = np.zeros(capacity + 1, np.int64)
+    for r in packed.groupBy("length").agg(F.count("*").alias("n")).collect():
+        counts[r["length"]] = r["n"]
+    return packed.where(F.col("offset") == 0).count(), bound_of_counts(counts, capacity)
+
+
 def best_fit_packing(documents: DataFrame, tokenizer_path: str | None = None, capacity: int = SEQUENCE) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of documents."""
     cut = written(pieces(documents, read_tokenizer(tokenizer_path), capacity), "pieces")

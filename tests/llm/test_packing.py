@@ -20,9 +20,29 @@ def brute_ids(text):
 
 
 def test_memo_gives_the_tokenizers_ids():
-    memo = T.ChunkMemo(T.read_tokenizer(), most=40)  # small, so that it is emptied on the way
-    for text, ids in zip(TEXTS, memo.ids([t.encode() for t in TEXTS])):
-        assert ids == brute_ids(text)[:-1].tobytes(), text
+    memo = T.ChunkMemo(T.read_tokenizer(), most_bytes=4000)  # small, so that generations turn on the way
+    letters = [chr(n) * k + "x" for n in range(0xC0, 0x180) for k in (1, 2)]
+    for _ in range(2):
+        texts = [*TEXTS, " ".join(letters), *(f"a{c}B {c}, {c}'s" for c in map(chr, range(33, 127)))]
+        for text, ids in zip(texts, memo.ids([t.encode() for t in texts])):
+            assert ids == brute_ids(text)[:-1].tobytes(), text
+    assert memo.old and memo.pieces.old
+    other = T.ChunkMemo(TOKENIZER.to_str().replace('"NFC"', '"NFD"'))
+    assert not other.by_pieces and memo.by_pieces
+    assert other.ids([b"caf\xc3\xa9"]) == [np.array(other.tokenizer.encode("caf\xe9", add_special_tokens=False).ids, "<u4").tobytes()]
+
+
+def test_memo_is_bounded():
+    memo = T.ChunkMemo(T.read_tokenizer(), most_bytes=1 << 20)
+    for k in range(20):
+        memo.ids([" ".join(f"w{n}" for n in range(k * 1000, k * 1000 + 1000)).encode()])
+        for g in (memo, memo.pieces):
+            assert len(g) + len(g.old) <= 2 * (g.half // T.ENTRY + 1000)
+
+
+def test_a_very_long_word(spark):
+    text = "y" * 5_000_000
+    assert T.ChunkMemo(T.read_tokenizer()).ids([text.encode()])[0] == brute_ids(text)[:-1].tobytes()
 
 
 @settings(max_examples=60, deadline=None)
@@ -82,14 +102,16 @@ def check(rows, packed, capacity):
 def test_packing_round_trip(spark):
     rows = [*enumerate(TEXTS), (100, None), *((200 + i, "word one two " * (i % 97)) for i in range(300))]
     df = spark.createDataFrame([(i, t, 1, "c") for i, t in rows], "doc_id long, text string, part int, bin string")
-    n = check(rows, P.best_fit_packing(df).collect(), P.SEQUENCE)
-    assert n == -(-sum(len(brute_ids(t)) for _, t in rows) // P.SEQUENCE)
+    packed = P.best_fit_packing(df)
+    n = check(rows, packed.collect(), P.SEQUENCE)
+    assert n == -(-sum(len(brute_ids(t)) for _, t in rows) // P.SEQUENCE) and P.certificate(packed) == (n, n)
     cut = P.pieces(df, T.read_tokenizer(), 64)
     check(rows, P.pack(cut, 64, per_partition=50).collect(), 64)  # many rounds of exchange
 
 
 def test_empty_and_repeated(spark):
-    assert P.best_fit_packing(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+    none = P.best_fit_packing(spark.createDataFrame([], "doc_id long, text string"))
+    assert none.collect() == [] and P.certificate(none) == (0, 0)
     got = P.best_fit_packing(spark.createDataFrame([(1, "a"), (1, "a"), (None, None)], "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.length) for r in got) == [(0, 1), (1, 2), (1, 2)] and sorted(r.offset for r in got) == [0, 2, 4]
 
