@@ -1,17 +1,24 @@
-"""Exact dedup (10): a minimal perfect hash over the distinct digests, byte-checked lookups.
+"""Exact dedup (10): a minimal perfect hash over the distinct digests of history, byte-checked lookups.
 
-History is the set of distinct digests, each with its winner (largest id) and group size. It is
+History is a table of distinct digests, each with its winner (largest id) and group size. It is
 dealt into shards by digest; each shard becomes one minimal perfect hash (hash and displace) whose
-slots hold the full digest and the winner's locator. Rows are routed to the shard of their digest
-and looked up; the slot's 32 bytes are compared, since a perfect hash sends nonmembers to some slot
-as well. Members take the slot's winner; nonmembers are grouped among themselves.
+slots hold the full digest, the winner's locator and the size. The distinct digests of the arrivals
+are routed to their shards and looked up; the slot's 32 bytes are compared, since a perfect hash
+sends nonmembers to some slot as well. Members are repeats of history: the slot's winner and size are
+merged with those of the arrivals. Nonmembers form groups of their own.
 
-Shards are of bounded size and a shard that many rows ask for is copied, so that a digest held by
-a third of all rows is looked up by many tasks.
+What is then known, history with its merged slots and the new groups, becomes the next index, and
+each row takes its winner from the slot of its digest. Shards are of bounded size and a shard that
+many rows ask for is copied, so that a digest held by a third of all rows is looked up by many tasks.
+
+``exact_dedup`` judges arrivals against a history; ``dedup`` judges one table of documents, of which the
+older half by id (up to the middle of the least and the greatest id) is the history and the rest,
+rows without an id among them, the arrivals.
 
 Defined cases: null text counts as empty; empty texts form one group; a null id never wins over
 another id; repeated rows are rows of the group like any other (all rows with the winning id are
-kept); extra columns are ignored; an empty table gives an empty result.
+kept); extra columns are ignored; an empty table, an empty history and no arrivals give what the
+other side has, or an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +32,6 @@ from .common import ascii_lower, fail_unless, written
 
 DIGESTS_PER_SHARD = 4096
 ROWS_PER_LOOKUP = 2048
-MOST_SHARDS = 1 << 20
 KEYS_PER_BUCKET = 4
 SEEDS = 1 << 16
 
@@ -101,8 +107,11 @@ INDEX_SCHEMA = "shard long, n long, shift binary, digests binary, locators binar
 
 
 def build_index(history: DataFrame, name: str = "mph") -> DataFrame:
-    """The written index of history (digest binary(32), keep_id long, group_size long; digests distinct)."""
-    shards = max(1, min(MOST_SHARDS, -(-history.count() // DIGESTS_PER_SHARD)))
+    """The written index of history (digest binary(32), keep_id long, group_size long; digests distinct).
+
+    One row for each shard of about ``DIGESTS_PER_SHARD`` digests, however many there are.
+    """
+    shards = max(1, -(-history.count() // DIGESTS_PER_SHARD))
     dealt = history.withColumn("shard", F.pmod(F.xxhash64("digest"), F.lit(shards)))
     index = dealt.groupBy("shard").applyInArrow(_build, INDEX_SCHEMA)
     return written(index.withColumn("shards", F.lit(shards)), name)
@@ -120,22 +129,26 @@ def _lookup(key: tuple, asked: pa.Table, index: pa.Table) -> pa.Table:
         member = (full[at] == digests).all(axis=1)
         keep, size = np.frombuffer(row["locators"], "<i8")[at], np.frombuffer(row["sizes"], "<i8")[at]
         known = np.frombuffer(row["known"], np.uint8)[at] > 0
-    return pa.table({"doc_id": asked["doc_id"], "digest": asked["digest"], "member": pa.array(member), "keep_id": pa.array(keep, mask=~(member & known)), "group_size": pa.array(size, mask=~member)})
+    out = asked.drop_columns(["shard", "copy"])
+    for name, column in (("member", pa.array(member)), ("keep_id", pa.array(keep, mask=~(member & known))), ("group_size", pa.array(size, mask=~member))):
+        out = out.append_column(name, column)
+    return out
 
 
 def lookup(rows: DataFrame, index: DataFrame) -> DataFrame:
-    """Rows (doc_id, digest) with member, keep_id and group_size; the last two null for nonmembers."""
+    """Rows (digest and other columns) with member, keep_id and group_size; the last two null for nonmembers."""
     first = index.select("shards").first()
     if first is None:
-        return rows.select("doc_id", "digest", F.lit(False).alias("member"), F.lit(None).cast("long").alias("keep_id"), F.lit(None).cast("long").alias("group_size"))
-    dealt = rows.select("doc_id", "digest", F.pmod(F.xxhash64("digest"), F.lit(first[0])).alias("shard"))
-    # how many rows ask for each shard: at most MOST_SHARDS rows, joined, not collected
+        return rows.withColumns({"member": F.lit(False), "keep_id": F.lit(None).cast("long"), "group_size": F.lit(None).cast("long")})
+    # the place of a row among its file's rows parts equal rows as well; it is the same whenever a task runs again
+    dealt = rows.withColumns({"shard": F.pmod(F.xxhash64("digest"), F.lit(first[0])), "place": F.xxhash64(F.monotonically_increasing_id())})
+    # how many rows ask for each shard: one row a shard, joined, not collected
     asked = dealt.groupBy("shard").agg(F.count("*").alias("c")).select("shard", F.ceil(F.col("c") / ROWS_PER_LOOKUP).alias("copies"))
-    dealt = dealt.join(asked, "shard").withColumn("copy", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.col("copies")))
+    dealt = dealt.join(asked, "shard").withColumn("copy", F.pmod("place", F.col("copies"))).select("shard", "copy", *rows.columns)
     copies = index.join(asked, "shard").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
-    dealt = dealt.select("shard", "copy", "doc_id", "digest")
     copies = copies.select("shard", "copy", "n", "shift", "digests", "locators", "known", "sizes")
-    return dealt.groupBy("shard", "copy").cogroup(copies.groupBy("shard", "copy")).applyInArrow(_lookup, "doc_id long, digest binary, member boolean, keep_id long, group_size long")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return dealt.groupBy("shard", "copy").cogroup(copies.groupBy("shard", "copy")).applyInArrow(_lookup, f"{schema}, member boolean, keep_id long, group_size long")
 
 
 def digests(documents: DataFrame) -> DataFrame:
@@ -150,18 +163,46 @@ def summarise(rows: DataFrame) -> DataFrame:
     return rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
 
 
-def exact_dedup(documents: DataFrame, index: DataFrame | None = None) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, from_history.
+def merged(history: DataFrame, arrivals: DataFrame) -> DataFrame:
+    """(digest, keep_id, group_size, arrived) of history after arrivals (both of distinct digests).
 
-    Without an index the documents' own distinct digests are the history. With one, members are
-    repeats of history (kept only if the locator is their own id); nonmembers group separately.
+    The arrivals' digests are looked up in the index of history; arrived tells ``repeat`` (a member),
+    ``new`` (a nonmember) and null (no arrival has the digest).
     """
+    asked = arrivals.select("digest", F.col("keep_id").alias("own_id"), F.col("group_size").alias("own_size"))
+    found = written(lookup(asked, build_index(history)), "arrived")
+    repeats = found.where("member").select("digest", F.greatest("keep_id", "own_id").alias("keep_id"), (F.col("group_size") + F.col("own_size")).alias("group_size"), F.lit("repeat").alias("arrived"))
+    new = found.where("not member").select("digest", F.col("own_id").alias("keep_id"), F.col("own_size").alias("group_size"), F.lit("new").alias("arrived"))
+    untouched = history.join(repeats.select("digest"), "digest", "left_anti").select("digest", "keep_id", "group_size", F.lit(None).cast("string").alias("arrived"))
+    return untouched.unionByName(repeats).unionByName(new)
+
+
+def _judged(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows (doc_id, digest, arrival) with the winners of known (digest, keep_id, group_size, arrived)."""
+    # a size carries the mark of a member of history in its sign; nonmembers are positive
+    marked = known.select("digest", "keep_id", F.when(F.col("arrived") == "repeat", -F.col("group_size")).otherwise(F.col("group_size")).alias("group_size"))
+    found = lookup(rows, build_index(written(marked, "known"), "mph-next"))
+    repeat = F.col("arrival") & (F.col("group_size") < 0)
+    return found.select("doc_id", "keep_id", F.abs("group_size").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), repeat.alias("from_history"))
+
+
+def exact_dedup(documents: DataFrame, history: DataFrame) -> DataFrame:
+    """One row per arriving document: doc_id, keep_id, group_size, kept, text_sha256, from_history.
+
+    history: (digest, keep_id, group_size) of distinct digests, as ``summarise`` gives them. Winners and
+    sizes are those of history and arrivals together; from_history marks repeats of history.
+    """
+    rows = written(digests(documents).withColumn("arrival", F.lit(True)), "digests")
+    history = written(history.select("digest", "keep_id", "group_size"), "history")
+    return _judged(rows, merged(history, summarise(rows)))
+
+
+def dedup(documents: DataFrame) -> DataFrame:
+    """The columns of exact_dedup for all rows of documents, the older half by id being the history."""
     rows = written(digests(documents), "digests")
-    if index is None:
-        index = build_index(summarise(rows))
-    found = written(lookup(rows, index), "looked-up")
-    members = found.where("member")
-    fresh = found.where("not member").select("doc_id", "digest")
-    fresh = fresh.join(summarise(fresh), "digest").select("doc_id", "digest", F.lit(False).alias("member"), "keep_id", "group_size")
-    out = members.unionByName(fresh)
-    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), F.col("member").alias("from_history"))
+    ends = rows.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    # one row; halves first, since the sum of two ids may pass what a long holds
+    middle = ends.select(F.floor(F.col("low") / 2 + F.col("high") / 2).alias("middle")).first()["middle"]
+    rows = rows.withColumn("arrival", F.col("doc_id").isNull() | (F.col("doc_id") > F.lit(middle)) if middle is not None else F.lit(True))
+    history = written(summarise(rows.where("not arrival")), "history")
+    return _judged(rows, merged(history, summarise(rows.where("arrival"))))

@@ -47,7 +47,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("from_history")
+    return exact_dedup.dedup(table(spark, sf_dir, "documents")).drop("from_history")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
