@@ -3,15 +3,17 @@
 A text is cut into sentences, each normalised to its lower-cased letters and digits and looked up
 among the sentences of known licences; what is known becomes an identifier. The sequence of
 identifiers, with their places, is matched against ordered rules: a rule fits if its sentences follow
-one another with at most ``GAP`` other sentences between. A rule inside a longer one that fits
-(same places) is not reported beside it. An SPDX-License-Identifier line names its licences itself.
+one another with at most ``GAP`` other sentences between. Every choice of sentences is considered
+(from the last sentence of a rule to its first, each keeps the earliest end that can be reached), so a
+match is found wherever there is one: one for each place at which the rule can begin, the shortest. A rule
+inside a longer one that fits is not reported beside it. An SPDX-License-Identifier line names its licences itself.
 
 Sentences are cut twice, at sentence ends with line breaks as spaces (wrapped licence texts) and at
 line breaks too (a notice under an unfinished line); what either cut recognises counts once.
 
 Defined cases: null, empty and blank texts have no sentences; repeated notices count as one licence
-with several matches; ties between rules of the same places are all reported; repeated rows are
-scanned once each; extra columns are ignored; an empty table gives an empty result.
+with several matches; ties between rules of the same places are all reported; very long texts, sentences
+and runs of white space take time in proportion to their length; repeated rows are scanned once each; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,12 +34,30 @@ _BSD = (
     "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
 )
+_MIT_GRANT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so'
+_MIT_NOTICE = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+_MIT_DISCLAIMER = (
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.',
+    "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+)
+_BSD_DISCLAIMER = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+)
+_BSD_ENDORSE = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_ISC_GRANT = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+_ISC_DISCLAIMER = (
+    'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
+    "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+)
+_HOPE = "is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
 RULES: dict[str, list[tuple[str, ...]]] = {
     "Apache-2.0": [
         ("Licensed under the Apache License, Version 2.0.",),
         (
             'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
-            "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+            "You may obtain a copy of the License at",
+            "http://www.apache.org/licenses/LICENSE-2.0",
             'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
             "See the License for the specific language governing permissions and limitations under the License.",
         ),
@@ -65,6 +85,10 @@ RULES: dict[str, list[tuple[str, ...]]] = {
     ],
     "MPL-2.0": [
         ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
+        (
+            "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+            "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+        ),
         ("Licensed under the Mozilla Public License, Version 2.0.",),
         ("Licensed under the Mozilla Public License 2.0.",),
     ],
@@ -74,6 +98,15 @@ RULES: dict[str, list[tuple[str, ...]]] = {
             "This is free and unencumbered software released into the public domain.",
             "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
         ),
+        (
+            "This is free and unencumbered software released into the public domain.",
+            "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+            "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain.",
+            "We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors.",
+            "We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.",
+            'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.',
+            "IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+        ),
     ],
     "CC0-1.0": [
         ("Licensed under CC0 1.0.",),
@@ -87,7 +120,26 @@ RULES: dict[str, list[tuple[str, ...]]] = {
             'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
             "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
         ),
+        (f"{_MIT_GRANT}, subject to the following conditions:", _MIT_NOTICE, *_MIT_DISCLAIMER),
+    ],
+    "MIT-0": [(f"{_MIT_GRANT}.", *_MIT_DISCLAIMER)],
+    "Zlib": [
+        (
+            "This software is provided 'as-is', without any express or implied warranty.",
+            "In no event will the authors be held liable for any damages arising from the use of this software.",
+            "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+            "The origin of this software must not be misrepresented; you must not claim that you wrote the original software.",
+            "If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.",
+            "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.",
+            "This notice may not be removed or altered from any source distribution.",
+        ),
+    ],
+    "BSL-1.0": [
+        ("Distributed under the Boost Software License, Version 1.0.",),
+        ('Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:',),
     ],
+    "WTFPL": [("Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.",)],
+    "EPL-2.0": [("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",)],
     "GPL-3.0": [
         ("This work is licensed under the GNU General Public License, version 3.",),
         (
@@ -98,11 +150,13 @@ RULES: dict[str, list[tuple[str, ...]]] = {
     "CC-BY-NC-4.0": [("Licensed under CC BY-NC 4.0.",)],
     "CC-BY-4.0": [("Licensed under CC BY 4.0.",), ("This work is licensed under a Creative Commons Attribution 4.0 International License.",)],
     "CC-BY-SA-4.0": [("Licensed under CC BY-SA 4.0.",)],
-    "ISC": [("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",)],
-    "BSD-2-Clause": [_BSD[:2], _BSD],
+    "ISC": [("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",), (f"{_ISC_GRANT}, provided that the above copyright notice and this permission notice appear in all copies.", *_ISC_DISCLAIMER)],
+    "0BSD": [(f"{_ISC_GRANT}.", *_ISC_DISCLAIMER)],
+    "BSD-2-Clause": [_BSD[:2], _BSD, (*_BSD, *_BSD_DISCLAIMER)],
     "BSD-3-Clause": [
         ("Licensed under the BSD 3-Clause License.",),
         (*_BSD, "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+        (*_BSD, _BSD_ENDORSE, *_BSD_DISCLAIMER),
         # a holder's name with a full stop cuts the sentence in two
         (*_BSD, "Neither the name of X Inc.", "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ],
@@ -111,7 +165,7 @@ RULES: dict[str, list[tuple[str, ...]]] = {
 SPDX = {n.lower(): n for n in RULES} | {f"{n.lower()}{end}": n for n in RULES if "GPL" in n for end in ("-only", "-or-later", "+")}
 _SIGNS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in LOWER_BYTES)
 _WRAPPED = re.compile(rb"(?<=[.!?:;])\s+|\n\s*\n\s*")
-_LINES = re.compile(rb"(?<=[.!?:;])\s+|\s*\n\s*")
+_LINES = re.compile(rb"(?<=[.!?:;])\s+|\n\s*")
 
 
 _SPDX_LINE = re.compile(rb"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+() \t-]+)")
@@ -137,10 +191,10 @@ def spdx(text: bytes) -> Iterator[tuple[str, int, int]]:
 def sentences(text: bytes, cut: re.Pattern) -> Iterator[tuple[int, int, bytes]]:
     """Start, end and normal form of each sentence."""
     start = 0
-    for m in cut.finditer(text):
-        yield start, m.start(), normalised(text[start : m.start()])
-        start = m.end()
-    yield start, len(text), normalised(text[start:])
+    for end, following in [*((m.start(), m.end()) for m in cut.finditer(text)), (len(text), len(text))]:
+        sentence = text[start:end].rstrip()
+        yield start, start + len(sentence), normalised(sentence)
+        start = following
 
 
 class Rules:
@@ -169,26 +223,37 @@ class Rules:
                         out.setdefault((cut is _LINES, n), (n, start, end, known))
         return [(lines, *v) for (lines, _), v in sorted(out.items())]
 
+    def ends(self, at: dict[int, tuple[int, int, int]], ids: tuple[int, ...]) -> dict[int, int]:
+        """For the number of each sentence at which a rule can begin, that of the earliest one at which it can end.
+
+        at: number -> (start, end, identifier) of the sentences that are known.
+        """
+        places: dict[int, list[int]] = {}
+        for n, (_, _, known) in at.items():
+            places.setdefault(known, []).append(n)
+        best = {n: n for n in places.get(ids[-1], ())}
+        for want in ids[-2::-1]:
+            best = {n: min(after) for n in places.get(want, ()) if (after := [best[m] for m in range(n + 1, n + 2 + GAP) if m in best])}
+        return best
+
     def matches(self, text: bytes) -> tuple[list[int], list[tuple[str, int, int]]]:
         """Identifiers in order of place, and (licence, start, end) of the rules that fit, longest ones only."""
         rows = self.recognised(text)
         found = set()
         for lines in (False, True):
-            own = [r[1:] for r in rows if r[0] is lines]
-            for i, (n, start, end, known) in enumerate(own):
-                for name, ids in self.by_first.get(known, ()):
-                    at, last, stop = i, n, end
-                    for want in ids[1:]:
-                        at = next((j for j in range(at + 1, len(own)) if own[j][0] <= last + 1 + GAP and own[j][3] == want), -1)
-                        if at < 0:
-                            break
-                        last, stop = own[at][0], own[at][2]
-                    else:
-                        found.add((name, start, stop))
-        kept = [m for m in found if not any(o != m and o[1] <= m[1] and m[2] <= o[2] and (o[1], o[2]) != (m[1], m[2]) for o in found)]
-        places = {(r[2], r[3]): r[4] for r in rows}
+            at = {n: (start, end, known) for cut, n, start, end, known in rows if cut is lines}
+            for first in sorted({known for _, _, known in at.values()}):
+                for name, ids in self.by_first.get(first, ()):
+                    found.update((name, at[n][0], at[m][1]) for n, m in self.ends(at, ids).items())
+        # by start, then the longer first: what an earlier one reaches beyond lies inside it
+        kept, reach, place = [], -1, None
+        for m in sorted(found, key=lambda m: (m[1], -m[2], m[0])):
+            if m[1:] == place or m[2] > reach:
+                kept.append(m)
+                reach, place = m[2], m[1:]
+        known_at = {(r[2], r[3]): r[4] for r in rows}
         kept += spdx(text) if self.spdx else ()
-        return [v for _, v in sorted(places.items())], sorted(kept, key=lambda m: (m[1], m[2], m[0]))
+        return [v for _, v in sorted(known_at.items())], sorted(kept, key=lambda m: (m[1], m[2], m[0]))
 
 
 def license_scan(documents: DataFrame, rules: dict[str, list[tuple[str, ...]]] | None = None) -> DataFrame:
