@@ -133,52 +133,101 @@ class Tree:
             self.sums[node] = self.sums[2 * node] + self.sums[2 * node + 1]
 
 
+#: characters behind an edit that are scanned at first, and those at the end of what is looked at that a piece must not reach
+AHEAD, MARGIN = 256, 8
+
+
+class Edited:
+    """A tree and its text under edits from the end to the start.
+
+    What stands behind the last edit is kept in parts, the nearest last, so that many edits of a long
+    text cost what they change and not the text each time.
+    """
+
+    def __init__(self, tree: Tree, text: str, count: Counter):
+        self.tree, self.count, self.ahead, self.upto, self.parts = tree, count, text, len(text), []
+
+    def text(self) -> str:
+        return self.ahead[: self.upto] + "".join(reversed(self.parts))
+
+    def _next(self, n: int) -> tuple[str, bool]:
+        """The next n characters behind the place reached, and whether they are all."""
+        out, size = [], 0
+        for part in reversed(self.parts):
+            out.append(part[: n - size])
+            size += len(out[-1])
+            if size >= n:
+                break
+        return "".join(out), size == sum(map(len, self.parts)) if len(self.parts) <= len(out) else False
+
+    def edit(self, start: int, end: int, new: str) -> int:
+        """Let text[start:end] become new; the number of pre-tokens encoded. Edits come in falling order of start."""
+        start = max(0, min(start, self.upto))
+        end = max(start, min(end, self.upto))
+        self.parts += [p for p in (self.ahead[end : self.upto], new) if p]
+        self.upto = start
+        tree, shift = self.tree, len(new) - (end - start)
+        first, at = tree.find(start)
+        while first and tree.leaves[first - 1, 0] >= 0:  # one leaf of context that holds characters
+            first -= 1
+            at -= int(tree.leaves[first, 0])
+            if tree.leaves[first, 0]:
+                break
+        n = AHEAD + len(new)
+        while True:
+            behind, whole = self._next(n)
+            found, last = self._scan(first, at, self.ahead[at:start] + behind, end, shift, whole)
+            if found is not None:
+                break
+            n *= 4
+        slots = last - first + 1
+        own = np.array(found, np.int64).reshape(-1, 3)
+        if len(own) > GROWN * LEAF * slots:
+            self.tree = Tree(np.concatenate([tree.leaves[:first], np.add.reduceat(own, np.arange(0, len(own), LEAF)), tree.leaves[last + 1 :]]))
+            return len(own)
+        bounds = np.linspace(0, len(own), slots + 1).astype(int)
+        for k in range(slots):
+            tree.put(first + k, own[bounds[k] : bounds[k + 1]].sum(0))
+        return len(own)
+
+    def _scan(self, first: int, at: int, window: str, end: int, shift: int, whole: bool) -> tuple[list | None, int]:
+        """Pre-tokens from ``at`` to an old leaf boundary behind the edit or the end; none if the window is too short."""
+        tree = self.tree
+        # the leaf whose end, moved by the edit, is the next place where old and new may agree
+        last, old_end, position = first, at + int(tree.leaves[first, 0]), at
+        found: list[tuple[int, int, int]] = []
+        safe = len(window) if whole else len(window) - MARGIN
+
+        def advance(limit: int) -> None:
+            nonlocal last, old_end
+            while last + 1 < tree.n and (old_end < end or old_end + shift < limit):
+                last += 1
+                old_end += int(tree.leaves[last, 0])
+
+        advance(at)
+        for m in self.count.pattern.finditer(window):
+            if old_end >= end and position == old_end + shift and position > at:
+                return found, last
+            if m.end() > safe:  # what stands behind the window might make this piece another one
+                return None, last
+            found.append((m.end() - m.start(), self.count.count(m.group()), 1))
+            position = at + m.end()
+            advance(position)
+        if not whole:
+            return None, last
+        return found, last if position < at + len(window) else tree.n - 1
+
+
 def edit(tree: Tree, text: str, start: int, end: int, new: str, count: Counter) -> tuple[Tree, str, int]:
     """The tree and the text after text[start:end] became new, and how many pre-tokens were encoded."""
-    start = max(0, min(start, len(text)))
-    end = max(start, min(end, len(text)))
-    out = text[:start] + new + text[end:]
-    shift = len(new) - (end - start)
-    first, at = tree.find(start)
-    while first and tree.leaves[first - 1, 0] >= 0:  # one leaf of context that holds characters
-        first -= 1
-        at -= int(tree.leaves[first, 0])
-        if tree.leaves[first, 0]:
-            break
-    # the leaf whose end, moved by the edit, is the next place where old and new may agree
-    last, old_end = first, at + int(tree.leaves[first, 0])
-    found: list[tuple[int, int, int]] = []
-    position = at
-
-    def advance(limit: int) -> None:
-        nonlocal last, old_end
-        while last + 1 < tree.n and (old_end < end or old_end + shift < limit):
-            last += 1
-            old_end += int(tree.leaves[last, 0])
-
-    advance(at)
-    for m in count.pattern.finditer(out, at):
-        if position >= out.__len__() or (old_end >= end and position == old_end + shift and position > at):
-            break
-        piece = m.group()
-        found.append((len(piece), count.count(piece), 1))
-        position = m.end()
-        advance(position)
-    if position >= len(out):
-        last = tree.n - 1
-    slots = last - first + 1
-    own = np.array(found, np.int64).reshape(-1, 3)
-    if len(own) > GROWN * LEAF * slots:
-        leaves = np.concatenate([tree.leaves[:first], np.add.reduceat(own, np.arange(0, len(own), LEAF)), tree.leaves[last + 1 :]])
-        return Tree(leaves), out, len(own)
-    bounds = np.linspace(0, len(own), slots + 1).astype(int)
-    for k in range(slots):
-        tree.put(first + k, own[bounds[k] : bounds[k + 1]].sum(0))
-    return tree, out, len(own)
+    own = Edited(tree, text, count)
+    n = own.edit(start, end, new)
+    return own.tree, own.text(), n
 
 
 #: what is redacted, and by what: mail addresses, network addresses, telephone numbers
-REDACTED = re.compile(r"(?P<MAIL>[\w.+-]+@[\w-]+(?:\.[\w-]+)+)|(?P<ADDRESS>\b\d{1,3}(?:\.\d{1,3}){3}\b)|(?P<PHONE>\+\d[\d ().-]{6,}\d)")
+#: a mail address begins where a run of its characters does; runs of letters and digits are tried at one length alone, so that time is linear
+REDACTED = re.compile(r"(?P<MAIL>(?<![\w.+-])[\w.+-]++@[\w-]++(?:\.[\w-]++)+)|(?P<ADDRESS>\b\d{1,3}(?:\.\d{1,3}){3}\b)|(?P<PHONE>\+\d[\d ().-]{6,}\d)")
 
 
 def redactions(text: str) -> list[tuple[int, int, str]]:
@@ -211,10 +260,10 @@ def edited(trees: DataFrame, edits: Callable[[str], Iterable[tuple[int, int, str
             for doc_id, text, raw in zip(*(c.to_pylist() for c in batch.columns)):
                 text, tree = text or "", Tree.load(raw)
                 pieces, before, todo, encoded = int(tree.sums[1, 2]), tree.tokens, sorted(edits(text), reverse=True), 0
+                own = Edited(tree, text, count)
                 for start, end, new in todo:
-                    tree, text, n = edit(tree, text, start, end, new, count)
-                    encoded += n
-                rows.append((doc_id, pieces, before, len(todo), encoded, tree.tokens))
+                    encoded += own.edit(start, end, new)
+                rows.append((doc_id, pieces, before, len(todo), encoded, own.tree.tokens))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 6, names=names)
 
     return trees.mapInArrow(apply, ", ".join(f"{n} long" for n in names))
