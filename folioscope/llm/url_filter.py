@@ -1,7 +1,9 @@
 """URL filters (2): host-suffix and path-prefix expressions, hash prefixes, full digests, precedence.
 
 Each url becomes its host's suffixes at dots times its path's prefixes: those that end at a slash,
-and for rules whose path does not end in one, those of the rules' path lengths. An expression's
+and for rules whose path does not end in one, those of the rules' path lengths. Suffixes of more labels
+and prefixes of more characters than any rule has fit none, and are not made: an url has at most as many
+expressions as the longest rule allows, however long it is. An expression's
 SHA-256 has a short prefix on which it is equi-joined with the rules; the full digest confirms.
 Of the rules that fit, the longest wins (host and path together; of equals the longer host).
 
@@ -45,11 +47,15 @@ def prepared(rules: DataFrame) -> DataFrame:
     return one.select(F.substring(full, 1, 2 * PREFIX_BYTES).alias("prefix"), full.alias("full"), "rule_host", "rule_path", "rule_verdict")
 
 
-def expressions(lengths: list[int]) -> Column:
-    """All expressions of the columns host and path; ``lengths`` are those of rule paths without a final slash."""
-    labels = F.split("host", "\\.", -1)
+def expressions(lengths: list[int], most_labels: int, longest: int) -> Column:
+    """All expressions of the columns host and path that a rule may have.
+
+    ``lengths`` are those of rule paths without a final slash, ``most_labels`` the labels of the rule host
+    with most of them, ``longest`` the length of the longest rule path: longer suffixes and prefixes fit no rule.
+    """
+    labels = F.split(F.substring_index("host", ".", most_labels and -most_labels), "\\.", -1)
     hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    parts = F.split("path", "/", -1)
+    parts = F.split(F.substring("path", 1, longest), "/", -1)
     ending = F.transform(F.filter(F.sequence(F.lit(1), F.size(parts)), lambda k: k < F.size(parts)), lambda k: F.concat(F.array_join(F.slice(parts, 1, k), "/"), F.lit("/")))
     other = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.char_length("path"))
     paths = F.array_union(ending, F.transform(other, lambda n: F.substring(F.col("path"), F.lit(1), n)))
@@ -62,9 +68,10 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = ALLOW, broadca
     fail_unless(("page_id", "url"), pages, "pages")
     rules = prepared(rules)
     lengths = sorted(r["n"] for r in rules.where(~F.col("rule_path").endswith("/")).select(F.char_length("rule_path").alias("n")).distinct().collect())
+    most = rules.agg(F.max(F.size(F.split("rule_host", "\\.", -1))).alias("labels"), F.max(F.char_length("rule_path")).alias("path")).first()
     host, path = host_and_path(F.col("url"))
     split = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
-    rows = split.select("page_id", "url", F.explode(expressions(lengths)).alias("expression")).withColumn("digest", digest(F.col("expression"))).withColumn("prefix", F.substring("digest", 1, 2 * PREFIX_BYTES))
+    rows = split.select("page_id", "url", F.explode(expressions(lengths, most["labels"] or 0, most["path"] or 0)).alias("expression")).withColumn("digest", digest(F.col("expression"))).withColumn("prefix", F.substring("digest", 1, 2 * PREFIX_BYTES))
     if fits_broadcast(rules, broadcast_rules):
         fits = rows.join(F.broadcast(rules), "prefix")
     else:

@@ -1,6 +1,8 @@
 """Token counts, URL filters, quality, toxicity, licence scans."""
 
 import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -86,6 +88,12 @@ def test_url_filter_against_brute_force(spark):
         got = sorted(((r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_filter.url_filter(pages, spark.createDataFrame(own, "host string, path string, verdict string"), broadcast_rules=broadcast).collect()), key=str)
         unique = {(h.lower(), p): v for h, p, v in own}
         assert got == sorted(((r.page_id, *judge(r.url, [(h, p, v) for (h, p), v in unique.items()])) for r in pages.collect()), key=str)
+    none = spark.createDataFrame([], "host string, path string, verdict string")
+    assert {r.verdict for r in url_filter.url_filter(pages, none).collect()} == {"allow"}
+    long = spark.createDataFrame([(1, "http://example.com/en/" + "s/" * 100_000), (2, "http://" + "a." * 100_000 + "net/fr/" + "x" * 1_000_000)], "page_id long, url string")
+    began = time.perf_counter()
+    assert sorted((r.page_id, r.rule) for r in url_filter.url_filter(long, url_filter.standing_rules(spark)).collect()) == [(1, "example.com/en/"), (2, "net/fr/")]
+    assert time.perf_counter() - began < 20
     assert url_filter.url_filter(pages.limit(0), url_filter.standing_rules(spark)).collect() == []
 
 
@@ -225,3 +233,81 @@ def test_long_words_count_whole():
     tails = {tuple(quality.features(b"a" * 64 + end)[0]) for end in (b"b", b"B")}
     shapes = [quality._shapes[b"a" * 64 + end] & 0xFFFFFFFF for end in (b"b", b"B")]
     assert len(tails) == 2 and shapes[0] != shapes[1] and shapes[0] == zlib.crc32(b"sa")
+
+
+def test_many_edits_of_a_long_text():
+    r = random.Random(4)
+    pieces = ["word", " and", "  ", "\n\n", "12", "don'", "'ll", "é", "日本語", "!?", " ", "'", "s", "\t", "🙂", " " * 300, "x" * 700]
+    for size in (3, 40, 3000):
+        text = "".join(r.choices(pieces, k=size))
+        places = sorted(r.sample(range(len(text) + 1), min(len(text), 60)))
+        edits = [(a, b, "".join(r.choices(pieces, k=r.choice([0, 1, 3])))) for a, b in zip(places[::2], places[1::2])]
+        own, out = token_counts.Edited(token_counts.Tree.of(text, COUNT), text, COUNT), text
+        for a, b, new in sorted(edits, reverse=True):
+            own.edit(a, b, new)
+            out = out[:a] + new + out[b:]
+        assert own.text() == out and own.tree.tokens == len(COUNT.encoding.encode_ordinary(out)) and own.tree.sums[1, 0] == len(out)
+
+
+def test_redaction_takes_linear_time():
+    began = time.perf_counter()
+    for text in ("a" * 5_000_000, "+1" * 2_500_000, "+1 " + "(" * 5_000_000, "a.b@c" * 1_000_000, "1." * 2_500_000, "+1 2 " * 1_000_000):
+        token_counts.redactions(text)
+    assert time.perf_counter() - began < 10
+    found = lambda t: [(t[a:b], n) for a, b, n in token_counts.redactions(t)[:-1]]
+    assert found("x +1 (743) 555-3824, y +12345678 +1234567 a.b+c@d.e-f.org.") == [("+1 (743) 555-3824", "[PHONE]"), ("+12345678", "[PHONE]"), ("a.b+c@d.e-f.org", "[MAIL]")]
+
+
+def test_a_long_text_with_many_redactions():
+    text = "write to a.b@c.org or call +1 (743) 555-3824 today. " * 20_000
+    began = time.perf_counter()
+    own = token_counts.Edited(token_counts.Tree.of(text, COUNT), text, COUNT)
+    for a, b, new in reversed(token_counts.redactions(text)):
+        own.edit(a, b, new)
+    assert time.perf_counter() - began < 30
+    assert own.tree.tokens == len(COUNT.encoding.encode_ordinary(own.text()))
+
+
+def test_license_rules_against_brute_force(monkeypatch):
+    """Random rules over sentences of one letter; every choice of places is tried."""
+    r = random.Random(6)
+
+    def fits(text, rule, i):
+        """Ends of the rule begun at sentence i."""
+        if text[i] != rule[0]:
+            return set()
+        ends = {i}
+        for want in rule[1:]:
+            ends = {m for n in ends for m in range(n + 1, min(len(text), n + 2 + license_scan.GAP)) if text[m] == want}
+        return ends
+
+    for _ in range(300):
+        rules = {f"L{k}": [tuple(r.choices("abc", k=r.randrange(1, 5)))] for k in range(4)}
+        text = r.choices("abcz", k=r.randrange(12))
+        own = license_scan.Rules({n: [tuple(f"say {x}." for x in rule) for rule in v] for n, v in rules.items()}, spdx=False)
+        got = {(n, a // 7, b // 7) for n, a, b in own.matches(" ".join(f"say {x}." for x in text).encode())[1]}
+        every = {(n, i, min(e)) for n, (rule,) in rules.items() for i in range(len(text)) if (e := fits(text, rule, i))}
+        assert got == {m for m in every if not any(o[1] <= m[1] and m[2] <= o[2] and o[1:] != m[1:] for o in every)}
+    # the first next sentence leads nowhere, the second one does
+    own = license_scan.Rules({"X": [("say a.", "say b.", "say c.")]}, spdx=False)
+    assert [m[0] for m in own.matches(b"say a. say b. say b. zz. say c.")[1]] == ["X"]
+
+
+def test_license_scan_takes_linear_time():
+    own = license_scan.Rules(license_scan.RULES)
+    began = time.perf_counter()
+    for text in (b" " * 1_000_000, b"\n" * 1_000_000, b" \n" * 500_000, b"a" * 5_000_000, b"Released under the MIT License. " * 30_000, b"Neither the name of " + b"x " * 500_000):
+        own.matches(text)
+    assert time.perf_counter() - began < 20
+
+
+def test_whole_license_texts():
+    wrapped = lambda t: re.sub(r"(.{50,60}) ", r"\1\n", t)
+    own = license_scan.Rules(license_scan.RULES)
+    for name, rules in license_scan.RULES.items():
+        for rule in rules:
+            found = {m[0] for m in own.matches(("An own line\n\n" + wrapped("\n\n".join(rule)) + "\n").encode())[1]}
+            assert name in found, (name, rule[0][:60])
+    for name in ("MIT", "MIT-0", "BSD-3-Clause", "BSD-2-Clause", "ISC", "0BSD", "Unlicense", "Zlib"):
+        longest = max(license_scan.RULES[name], key=len)
+        assert {m[0] for m in own.matches(wrapped("\n\n".join(longest)).encode())[1]} == {name}
