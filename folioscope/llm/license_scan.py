@@ -12,7 +12,7 @@ Sentences are cut twice, at sentence ends with line breaks as spaces (wrapped li
 line breaks too (a notice under an unfinished line); what either cut recognises counts once.
 
 Defined cases: null, empty and blank texts have no sentences; repeated notices count as one licence
-with several matches; ties between rules of the same places are all reported; very long texts, sentences
+with several matches; of rules of the same places those of most sentences are reported, all of them; very long texts, sentences
 and runs of white space take time in proportion to their length; repeated rows are scanned once each; extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -244,16 +244,16 @@ class Rules:
             at = {n: (start, end, known) for cut, n, start, end, known in rows if cut is lines}
             for first in sorted({known for _, _, known in at.values()}):
                 for name, ids in self.by_first.get(first, ()):
-                    found.update((name, at[n][0], at[m][1]) for n, m in self.ends(at, ids).items())
+                    found.update((at[n][0], -at[m][1], -len(ids), name) for n, m in self.ends(at, ids).items())
         # by start, then the longer first: what an earlier one reaches beyond lies inside it
         kept, reach, place = [], -1, None
-        for m in sorted(found, key=lambda m: (m[1], -m[2], m[0])):
-            if m[1:] == place or m[2] > reach:
-                kept.append(m)
-                reach, place = m[2], m[1:]
+        for start, end, size, name in sorted(found):
+            if (start, end, size) == place or -end > reach:
+                kept.append((name, start, -end))
+                reach, place = -end, (start, end, size)
         known_at = {(r[2], r[3]): r[4] for r in rows}
         kept += spdx(text) if self.spdx else ()
-        return [v for _, v in sorted(known_at.items())], sorted(kept, key=lambda m: (m[1], m[2], m[0]))
+        return [v for _, v in sorted(known_at.items())], sorted(set(kept), key=lambda m: (m[1], m[2], m[0]))
 
 
 def license_scan(documents: DataFrame, rules: dict[str, list[tuple[str, ...]]] | None = None) -> DataFrame:
