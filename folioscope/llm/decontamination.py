@@ -1,41 +1,53 @@
-"""Benchmark decontamination (7): prefix-filtered containment of item windows in documents.
+"""Benchmark decontamination (7): prefix-filtered containment join of item windows and documents.
 
 Every 13 consecutive words of a benchmark item are a window (an item of fewer words is one window).
 A window is a set of three-word shingles that a document must contain all of, so its prefix of one
-shingle is necessary: the rarest one, by counts over all documents. Documents are searched for
-prefix shingles only; where one stands, its place in the window gives the only possible start, the
-window must fit between the document's ends, and then its words are compared one by one.
+shingle is necessary: the rarest one, by counts over all documents. Windows whose rarest shingle
+stands in no document are done.
 
-The index is sent to the tasks in blocks of bounded size; a larger benchmark takes one pass over
-the documents for each block, and what the passes mark is united. Nothing is shuffled but counts.
+The documents' shingles are equi-joined with the prefixes. A task sends on only shingles that a bitmap
+of the wanted ones lets through (of bounded size; what it lets through wrongly the join drops), each
+with its place and the words around it. The prefix's place in the window gives the only possible
+start, the window must fit between the document's ends, and then its words are compared. Documents
+are read twice, for the counts and for the join, whatever the size of the benchmark. Prefixes up to
+``BROADCAST_ROWS`` are broadcast, a checked size; beyond, both sides are dealt out by shingle and a salt,
+so that a shingle in a third of all documents is many keys.
 
 Defined cases: null and empty texts have no words (n_words 0, not contaminated); items without
 words or without an id match nothing; items that share an id count once; repeated rows are judged
-once each; extra columns are ignored, or kept by ``decontaminate``; without items nothing is hit;
-an empty documents table gives an empty result.
+once each; extra columns are ignored, or kept by ``decontaminate``, whatever their names; without items
+nothing is hit; an empty documents table gives an empty result.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from itertools import repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, fail_unless, small_batches, written
+from .common import LOWER_BYTES, fail_unless, fits_broadcast, free_names, remember, small_batches, written
+from .jaccard_join import NO_ID, Words, _factor
 
 WINDOW = 13
 SHINGLE = 3
-#: words of the items in one block of the index; about 100 MB in a task at most
-WORDS_PER_BLOCK = 400_000
 #: contaminated if this many times the hit words reach the words
 SHARE = 20
 WORD_BYTES = bytes(LOWER_BYTES[b] if chr(b).isalnum() and b < 128 or b >= 128 else 32 for b in range(256))
-CANDIDATES_AT_ONCE = 1 << 17
+#: rows of a table that may be broadcast, some 30 MB
+BROADCAST_ROWS = 200_000
+SALTS = 32
+#: the bitmap: places for each wanted shingle, and the logarithms of its least and greatest size (16 MB)
+PLACES_EACH, LEAST_BITS, MOST_BITS = 64, 16, 27
+#: item words that are sent to the tasks; beyond, all words of documents are hashed
+MOST_VOCABULARY = 500_000
+COUNTED_AT_ONCE = 1 << 20
+
+_words = Words()
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -43,211 +55,218 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(WORD_BYTES).split()
 
 
-class Index:
-    """The windows of a block of items, and the shingles they are made of."""
-
-    def __init__(self, items: list[tuple[int, bytes]], window: int = WINDOW):
-        vocabulary: dict[bytes, int] = {}
-        self.items = sorted({i for i, _ in items})
-        number = {i: k for k, i in enumerate(self.items)}
-        windows: dict[tuple[int, ...], set[int]] = {}
-        for item_id, text in items:
-            ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text)]
-            for k in range(max(1, len(ids) - window + 1) if ids else 0):
-                windows.setdefault(tuple(ids[k : k + window]), set()).add(number[item_id])
-        self.vocabulary, self.base = vocabulary, len(vocabulary) + 1
-        self.windows = [np.array(w, np.int64) for w in windows]
-        self.owners = [np.array(sorted(o), np.int64) for o in windows.values()]
-        #: for each width of a shingle, the sorted keys of the windows' shingles
-        self.shingles = {k: np.unique(np.concatenate([self.keys(w, k) for w in own])) for k in (1, 2, SHINGLE) if (own := [w for w in self.windows if self.width(w) == k])}
-
-    @staticmethod
-    def width(window: np.ndarray) -> int:
-        return min(SHINGLE, len(window))
-
-    def keys(self, ids: np.ndarray, k: int) -> np.ndarray:
-        """Keys of the shingles of k words; equal just where the words are."""
-        out = ids[: max(0, len(ids) - k + 1)].copy()
-        for j in range(1, k):
-            out = out * self.base + ids[j : len(ids) - k + 1 + j]
-        return out
+def hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+
+
+def keys(h: np.ndarray, k: int, at: np.ndarray) -> np.ndarray:
+    """The hashes (uint64) of the shingles of k words at the places ``at``."""
+    with np.errstate(over="ignore"):
+        out = np.full(len(at), k, np.uint64)
+        for j in range(k):
+            out += h[at + j] * _factor(j)
+    return out
 
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int64, len(words))
 
-    def found(self, ids: np.ndarray, k: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where in a document which of the known keys stand."""
-        within = ids > 0
-        at = within[: max(0, len(ids) - k + 1)].copy()
+def _windows(window: int):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remember("benchmark words", _words.clear)
+        for batch in batches:
+            rows: list[tuple] = []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+                words = words_of(text)
+                k = min(SHINGLE, len(words))
+                own = keys(hashes(words), k, np.arange(len(words) - k + 1)).view(np.int64).tolist() if words else []
+                for start in range(max(1, len(words) - window + 1) if words else 0):
+                    n = min(window, len(words))
+                    rows.append((item, b" ".join(words[start : start + n]).decode("utf-8", "replace"), n, own[start : start + n - k + 1]))
+            columns = list(zip(*rows)) or [()] * 4
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["item_id", "window", "length", "shingles"])
+
+    return cut
+
+
+def windows_of(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(item_id, window, length, shingles) of every item; a window is its words joined by spaces."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null")
+    return items.mapInArrow(_windows(window), "item_id string, window string, length int, shingles array<long>").distinct()
+
+
+class Wanted(NamedTuple):
+    """What a task looks for: a bitmap over shingles, their widths, and the words of items, if they are few."""
+
+    bitmap: np.ndarray
+    bits: int
+    widths: tuple[int, ...]
+    vocabulary: dict[bytes, int] | None
+
+    def hashed(self, words: list[bytes]) -> np.ndarray:
+        """The words' hashes; 0 for a word of no item."""
+        return hashes(words) if self.vocabulary is None else np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.uint64, len(words))
+
+    def standing(self, h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and hashes of the shingles of k words that may be wanted."""
+        within = h != 0
+        at = within[: max(0, len(h) - k + 1)].copy()
         for j in range(1, k):
-            at &= within[j : len(ids) - k + 1 + j]
+            at &= within[j : len(h) - k + 1 + j]
         at = np.flatnonzero(at)
-        if not len(at) or not len(known):
-            return at[:0], at[:0]
-        keys = ids[at].copy()
-        for j in range(1, k):
-            keys = keys * self.base + ids[at + j]
-        place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-        same = known[place] == keys
-        return at[same], place[same]
-
-    def anchor(self, counts: dict[int, np.ndarray]) -> None:
-        """Choose each window's prefix: its shingle of the lowest count (the first of equals)."""
-        chosen: dict[int, dict[int, list[tuple[int, int]]]] = {}
-        for n, w in enumerate(self.windows):
-            k = self.width(w)
-            keys = self.keys(w, k)
-            offset = int(np.argmin(counts[k][np.searchsorted(self.shingles[k], keys)]))
-            chosen.setdefault(k, {}).setdefault(int(keys[offset]), []).append((n, offset))
-        self.anchors = {}
-        for k, by_key in chosen.items():
-            known = np.array(sorted(by_key), np.int64)
-            lists = [by_key[x] for x in known.tolist()]
-            starts = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
-            flat = np.array([x for own in lists for x in own], np.int64).reshape(-1, 2)
-            self.anchors[k] = known, starts, flat[:, 0], flat[:, 1]
-        self.lengths = np.array([len(w) for w in self.windows], np.int64)
-        self.matrix = np.zeros((len(self.windows), max(self.lengths, default=0)), np.int64)
-        for n, w in enumerate(self.windows):
-            self.matrix[n, : len(w)] = w
-
-    def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The starts and the numbers of all windows that occur in a document."""
-        starts, numbers = [], []
-        for k, (known, first, window, offset) in self.anchors.items():
-            at, place = self.found(ids, k, known)
-            many = first[place + 1] - first[place]
-            ends = np.cumsum(many)
-            low = 0
-            while low < len(at):
-                high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + CANDIDATES_AT_ONCE, "right")))
-                reps = many[low:high]
-                entry = np.repeat(first[place[low:high]] - np.concatenate([[0], np.cumsum(reps)[:-1]]), reps) + np.arange(int(reps.sum()))
-                start, number = np.repeat(at[low:high], reps) - offset[entry], window[entry]
-                fits = (start >= 0) & (start + self.lengths[number] <= len(ids))  # positional and length bounds
-                start, number = start[fits], number[fits]
-                for length in np.unique(self.lengths[number]).tolist():
-                    own = self.lengths[number] == length
-                    s, n = start[own], number[own]
-                    for j in range(length):
-                        same = ids[s + j] == self.matrix[n, j]
-                        s, n = s[same], n[same]
-                    starts.append(s)
-                    numbers.append(n)
-                low = high
-        none = np.zeros(0, np.int64)
-        return np.concatenate([none, *starts]), np.concatenate([none, *numbers])
-
-
-def blocks(benchmark: DataFrame, words_per_block: int = WORDS_PER_BLOCK) -> Iterator[list[tuple[int, bytes]]]:
-    """Items (id, text) in blocks of bounded size, read through an iterator, never all at once."""
-    block, size = [], 0
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null").orderBy("item_id", "text")
-    for row in items.toLocalIterator():
-        text = row["text"].encode()
-        n = len(words_of(text))
-        if block and size + n > words_per_block:
-            yield block
-            block, size = [], 0
-        if n:
-            block.append((row["item_id"], text))
-            size += n
-    if block:
-        yield block
-
-
-def shingle_counts(documents: DataFrame, index: Index) -> dict[int, np.ndarray]:
-    """How often each shingle of the index stands in all documents; as many numbers as the index has shingles."""
-    sent = documents.sparkSession.sparkContext.broadcast(index)
+        own = keys(h, k, at)
+        high, low = own >> np.uint64(64 - self.bits), own & np.uint64((1 << self.bits) - 1)
+        one, six, last = np.uint64(1), np.uint64(6), np.uint64(63)
+        found = (self.bitmap[high >> six] >> (high & last)) & (self.bitmap[low >> six] >> (low & last)) & one
+        keep = found.astype(bool)
+        return at[keep], own[keep].view(np.int64)
+
+
+def wanted(shingles: DataFrame, widths: tuple[int, ...], vocabulary: dict[bytes, int] | None) -> Wanted:
+    """The bitmap of shingles (shingle long); at most 2**21 numbers of 64 places reach the driver."""
+    bits = max(LEAST_BITS, min(MOST_BITS, (PLACES_EACH * shingles.count()).bit_length()))
+    high, low = F.shiftrightunsigned("shingle", 64 - bits), F.col("shingle").bitwiseAND((1 << bits) - 1)
+    places = shingles.select(F.explode(F.array(high, low)).alias("place"))
+    by_word = places.groupBy(F.shiftrightunsigned("place", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place").bitwiseAND(63).cast("int"))).alias("own")).toArrow()
+    bitmap = np.zeros(1 << (bits - 6), np.uint64)
+    bitmap[by_word["word"].to_numpy()] = by_word["own"].to_numpy().view(np.uint64)
+    return Wanted(bitmap, bits, widths, vocabulary)
+
+
+def vocabulary_of(windows: DataFrame, most: int = MOST_VOCABULARY) -> dict[bytes, int] | None:
+    """The hashes of the words of items, unless they are too many to be sent."""
+    words = windows.select(F.explode(F.split("window", " ", -1)).alias("word")).distinct().limit(most + 1).toArrow()["word"]
+    if len(words) > most:
+        return None
+    own = words.cast(pa.binary()).to_pylist()
+    return dict(zip(own, hashes(own).tolist()))
+
+
+def shingle_counts(documents: DataFrame, sought: Wanted) -> DataFrame:
+    """(shingle, c): how often the shingles that may be wanted stand in all documents."""
+    sent = documents.sparkSession.sparkContext.broadcast(sought)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
-        totals = {k: np.zeros(len(known), np.int64) for k, known in own.shingles.items()}
-        for batch in batches:
-            for text in batch.column(0).cast(pa.binary()).fill_null(b"").to_pylist():
-                ids = own.ids(words_of(text))
-                for k, known in own.shingles.items():
-                    totals[k] += np.bincount(own.found(ids, k, known)[1], minlength=len(known))
-        for k, total in totals.items():
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k), pa.int32()), pa.array(at), pa.array(total[at])], names=["k", "at", "n"])
-
-    rows = documents.select("text").mapInArrow(count, "k int, at long, n long").groupBy("k", "at").agg(F.sum("n").alias("n"))
-    totals = {k: np.zeros(len(known), np.int64) for k, known in index.shingles.items()}
-    for r in rows.toLocalIterator():
-        totals[r["k"]][r["at"]] = r["n"]
-    return totals
-
+        remember("benchmark words", _words.clear)
+        own, pending, size = sent.value, [], 0
 
-def _scan(documents: DataFrame, index: Index) -> DataFrame:
-    """documents with the hits of one more block added to __spans (start, end pairs) and __items."""
-    sent = documents.sparkSession.sparkContext.broadcast(index)
-    text_at = documents.columns.index("text")
+        def flush() -> pa.RecordBatch:
+            values, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *pending]), return_counts=True)
+            pending.clear()
+            return pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts)], names=["shingle", "c"])
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
         for batch in batches:
-            spans, items = [], []
-            for text, old_spans, old_items in zip(batch.column(text_at).cast(pa.binary()).fill_null(b"").to_pylist(), *(batch.column(batch.num_columns - k).to_pylist() for k in (2, 1))):
-                start, number = own.hits(own.ids(words_of(text)))
-                spans.append(old_spans + np.stack([start, start + own.lengths[number]], 1).astype("<i8").tobytes() if len(start) else old_spans)
-                owners = np.unique(np.concatenate([own.owners[n] for n in np.unique(number)])) if len(start) else ()
-                items.append(sorted({*old_items, *(own.items[o] for o in owners)}))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(spans, pa.binary()), pa.array(items, pa.list_(pa.string()))], names=batch.schema.names)
+            for text in batch.column(0).cast(pa.binary()).fill_null(b"").to_pylist():
+                h = own.hashed(words_of(text))
+                for k in own.widths:
+                    pending.append(own.standing(h, k)[1])
+                    size += len(pending[-1])
+            if size >= COUNTED_AT_ONCE:
+                size = 0
+                yield flush()
+        yield flush()
 
-    return documents.mapInArrow(scan, documents.schema)
+    return documents.select("text").mapInArrow(count, "shingle long, c long").groupBy("shingle").agg(F.sum("c").alias("c"))
 
 
-def scanned(documents: DataFrame, benchmark: DataFrame, words_per_block: int = WORDS_PER_BLOCK) -> DataFrame:
-    """documents with __spans and __items, the windows that occur and the items they are of."""
-    fail_unless(("doc_id", "text"), documents, "documents")
-    fail_unless(("item_id", "text"), benchmark, "benchmark")
-    small_batches(documents.sparkSession)
-    out = documents.withColumns({"__spans": F.lit(b""), "__items": F.array().cast("array<string>")})
-    for n, block in enumerate(blocks(benchmark, words_per_block)):
-        index = Index(block)
-        index.anchor(shingle_counts(documents, index))
-        out = _scan(written(out, "scanned") if n else out, index)
-    return out
+def prefixes(windows: DataFrame, counts: DataFrame) -> DataFrame:
+    """(shingle, place, window, length): each window's shingle of the lowest count (the first of equals), if it stands anywhere."""
+    rows = windows.select("window", "length", F.posexplode("shingles").alias("place", "shingle"))
+    rows = rows.join(counts, "shingle", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    best = rows.groupBy("window").agg(F.min(F.struct("c", "place", "shingle")).alias("best"), F.first("length").alias("length"))
+    return best.where("best.c > 0").select(F.col("best.shingle").alias("shingle"), F.col("best.place").alias("place"), "window", "length")
 
 
-def covered(spans: bytes, n: int) -> int:
-    """How many of n words lie in any of the spans."""
-    if not spans:
-        return 0
-    edges = np.frombuffer(spans, "<i8").reshape(-1, 2)
-    depth = np.bincount(edges[:, 0], minlength=n + 1) - np.bincount(edges[:, 1], minlength=n + 1)
-    return int((np.cumsum(depth)[:n] > 0).sum())
+_FOUND = "id long, hash long, n_words long, found array<struct<shingle: long, at: int, before: int, words: string>>"
 
 
-def _judged(found: DataFrame, share: int) -> DataFrame:
-    text_at = found.columns.index("text")
+def described(documents: DataFrame, sought: Wanted, window: int = WINDOW) -> DataFrame:
+    """(id, hash, n_words, found) of (id, hash, text): the shingles that may be wanted, their places, and the words around them."""
+    sent = documents.sparkSession.sparkContext.broadcast(sought)
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remember("benchmark words", _words.clear)
+        own = sent.value
+        kind = pa.list_(pa.struct([("shingle", pa.int64()), ("at", pa.int32()), ("before", pa.int32()), ("words", pa.string())]))
         for batch in batches:
-            texts = batch.column(text_at).cast(pa.binary()).fill_null(b"").to_pylist()
-            spans, items = (batch.column(batch.num_columns - k).to_pylist() for k in (2, 1))
-            n_words = [len(words_of(t)) for t in texts]
-            n_hit = [covered(s, n) for s, n in zip(spans, n_words)]
-            digests = [hashlib.sha256(",".join(i).encode()).hexdigest() for i in items]
-            bad = [h > 0 and share * h >= n for h, n in zip(n_hit, n_words)]
-            columns = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(i) for i in items], pa.int64()), pa.array(digests, pa.string()), pa.array(bad, pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *columns], names=[*batch.schema.names[:-2], *JUDGED])
-
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema.fields[:-2])
-    return found.mapInArrow(judge, f"{kept}, __n_words long, __n_hit long, __n_items long, __items_sha256 string, __contaminated boolean")
-
-
-JUDGED = ("__n_words", "__n_hit", "__n_items", "__items_sha256", "__contaminated")
-
-
-def contamination(documents: DataFrame, benchmark: DataFrame, share: int = SHARE) -> DataFrame:
+            n_words, found = [], []
+            for text in batch.column(2).cast(pa.binary()).fill_null(b"").to_pylist():
+                words = words_of(text)
+                h, rows = own.hashed(words), []
+                for k in own.widths:
+                    for at, shingle in zip(*(x.tolist() for x in own.standing(h, k))):
+                        low = max(0, at - window + k)
+                        rows.append({"shingle": shingle, "at": at, "before": at - low, "words": b" ".join(words[low : at + window]).decode("utf-8", "replace")})
+                n_words.append(len(words))
+                found.append(rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(found, kind)], names=["id", "hash", "n_words", "found"])
+
+    return documents.mapInArrow(scan, _FOUND)
+
+
+def hits(scanned: DataFrame, prefix: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(id, hash, start, end, window): the windows that occur in a document, verified word by word."""
+    rows = scanned.select("id", "hash", "n_words", F.explode("found").alias("f")).select("id", "hash", "n_words", "f.*")
+    if fits_broadcast(prefix, broadcast_rows):
+        pairs = rows.join(F.broadcast(prefix), "shingle")
+    else:
+        copies = prefix.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        pairs = rows.withColumn("salt", F.pmod(F.xxhash64("id", "hash", "at"), F.lit(SALTS)).cast("int")).join(copies.hint("shuffle_hash"), ["shingle", "salt"])
+    start = F.col("at") - F.col("place")
+    pairs = pairs.where((start >= 0) & (start + F.col("length") <= F.col("n_words")) & (F.col("before") >= F.col("place")))
+    same = F.array_join(F.slice(F.split("words", " ", -1), F.col("before") - F.col("place") + 1, F.col("length")), " ") == F.col("window")
+    return pairs.where(same).select("id", "hash", start.cast("long").alias("start"), (start + F.col("length")).cast("long").alias("end"), "window")
+
+
+def covered(spans: Column) -> Column:
+    """How many places lie in any of the spans (array of struct<start, end>)."""
+    none = F.struct(F.lit(0).cast("long").alias("upto"), F.lit(0).cast("long").alias("n"))
+    step = lambda acc, s: F.struct(F.greatest(acc["upto"], s["end"]).alias("upto"), (acc["n"] + F.greatest(F.lit(0).cast("long"), s["end"] - F.greatest(acc["upto"], s["start"]))).alias("n"))
+    return F.aggregate(F.array_sort(spans), none, step, lambda acc: acc["n"])
+
+
+def _key(documents: DataFrame) -> list[Column]:
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("hash")]
+
+
+def judged(documents: DataFrame, benchmark: DataFrame, share: int = SHARE, broadcast_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(id, hash, n_words) of all documents, and (id, hash, n_hit, items, contaminated) of those that are hit; both written."""
+    fail_unless(("doc_id", "text"), documents, "documents")
+    fail_unless(("item_id", "text"), benchmark, "benchmark")
+    small_batches(documents.sparkSession)
+    windows = written(windows_of(benchmark), "windows")
+    widths = tuple(sorted(r["k"] for r in windows.select(F.least("length", F.lit(SHINGLE)).alias("k")).distinct().collect()))
+    vocabulary = vocabulary_of(windows)
+    single = windows.dropDuplicates(["window"]).select("window", "length", "shingles")
+    counts = shingle_counts(documents, wanted(single.select(F.explode("shingles").alias("shingle")).distinct(), widths, vocabulary))
+    prefix = written(prefixes(single, counts), "prefixes")
+    rows = documents.select(*_key(documents), "text")
+    scanned = written(described(rows, wanted(prefix.select("shingle").distinct(), widths, vocabulary)), "scanned")
+    found = hits(scanned.where(F.size("found") > 0), prefix, broadcast_rows)
+    spans = found.groupBy("id", "hash").agg(F.collect_set(F.struct("start", "end")).alias("spans"), F.collect_set("window").alias("windows"))
+    spans = written(spans, "spans")
+    owners = windows.select("window", "item_id").distinct()
+    items = spans.select("id", "hash", F.explode("windows").alias("window")).join(owners, "window").groupBy("id", "hash").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    hit = spans.select("id", "hash", covered(F.col("spans")).alias("n_hit")).join(items, ["id", "hash"])
+    words = scanned.select("id", "hash", F.col("n_words").alias("of")).where(F.size("found") > 0).distinct()
+    hit = hit.join(words, ["id", "hash"]).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("of"))).drop("of")
+    return scanned.select("id", "hash", "n_words"), written(hit, "hit")
+
+
+def contamination(documents: DataFrame, benchmark: DataFrame, share: int = SHARE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    slim = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = _judged(scanned(slim, benchmark), share)
-    return out.select("doc_id", *(F.col(c).alias(c[2:]) for c in JUDGED))
+    rows, hit = judged(documents, benchmark, share, broadcast_rows)
+    hit = hit.select("id", "hash", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+    out = rows.join(F.broadcast(hit) if fits_broadcast(hit, broadcast_rows) else hit.hint("shuffle_hash"), ["id", "hash"], "left")
+    return out.select(
+        F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
+        F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), F.coalesce("contaminated", F.lit(False)).alias("contaminated"),
+    )
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, share: int = SHARE) -> DataFrame:
+def decontaminate(documents: DataFrame, benchmark: DataFrame, share: int = SHARE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
-    return _judged(scanned(documents, benchmark), share).where("not __contaminated").drop(*JUDGED)
+    _, hit = judged(documents, benchmark, share, broadcast_rows)
+    id_, hash_ = free_names(documents, "id", "hash")
+    gone = hit.where("contaminated").select(F.col("id").alias(id_), F.col("hash").alias(hash_))
+    gone = F.broadcast(gone) if fits_broadcast(gone, broadcast_rows) else gone.hint("shuffle_hash")
+    own = documents.withColumns({id_: _key(documents)[0], hash_: _key(documents)[1]})
+    return own.join(gone, [id_, hash_], "left_anti").select(*documents.columns)

@@ -2,8 +2,6 @@ import hashlib
 import random
 import re
 
-import numpy as np
-
 from folioscope.llm import decontamination as D
 
 
@@ -52,12 +50,16 @@ def test_against_brute_force(spark):
     assert D.decontaminate(d, b).columns == d.columns
 
 
-def test_several_blocks_give_the_same(spark):
+def test_prefixes_that_are_not_broadcast_and_words_that_are_not_sent(spark, monkeypatch):
     docs, items = case(2)
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    whole, parts = D.scanned(d, b), D.scanned(d, b, words_per_block=60)
-    key = lambda df: sorted((r.doc_id, str(r.text), D.covered(r["__spans"], len(words(r.text))), r["__items"]) for r in df.collect())
-    assert key(whole) == key(parts)
+    assert result(D.contamination(d, b, broadcast_rows=3)) == brute(docs, items)
+    assert sorted(r.doc_id for r in D.decontaminate(d, b, broadcast_rows=3).collect()) == sorted(r[0] for r in brute(docs, items) if not r[-1])
+    # a bitmap that lets nearly all through, and no vocabulary
+    monkeypatch.setattr(D, "LEAST_BITS", 6)
+    monkeypatch.setattr(D, "MOST_BITS", 6)
+    monkeypatch.setattr(D.vocabulary_of, "__defaults__", (3,))
+    assert result(D.contamination(d, b)) == brute(docs, items)
 
 
 def test_no_items_no_documents(spark):
@@ -66,12 +68,15 @@ def test_no_items_no_documents(spark):
     assert D.contamination(d.limit(0), spark.createDataFrame([(1, "a")], "item_id long, text string")).collect() == []
 
 
-def test_a_frequent_shingle_in_a_very_long_text():
-    index = D.Index([("1", b"a " * 40), ("2", b"a b " * 20)])
-    index.anchor({k: np.ones(len(v), np.int64) for k, v in index.shingles.items()})
-    ids = index.ids([b"a"] * 50_000)
-    start, number = index.hits(ids)
-    assert len(start) == 50_000 - 12 and set(number.tolist()) == {0}
+def test_a_frequent_shingle_in_a_very_long_text(spark):
+    docs = [(1, "a " * 50_000), (2, "b a"), (None, "a " * 13), (None, None)]
+    items = [(1, "a " * 40), (2, "a b " * 20)]
+    d = spark.createDataFrame([(i, t, i, "x", 0) for i, t in docs], "doc_id long, text string, id long, hash string, found int")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id if r.n_words else "none": (r.n_words, r.n_hit, r.n_items, r.contaminated) for r in D.contamination(d, b).collect()}
+    assert got == {1: (50_000, 50_000, 1, True), 2: (2, 0, 0, False), None: (13, 13, 1, True), "none": (0, 0, 0, False)}
+    kept = D.decontaminate(d, b)
+    assert kept.columns == d.columns and sorted((r.doc_id or 0, r.text) for r in kept.collect() if r.text) == [(2, "b a")]
 
 
 def test_words():
