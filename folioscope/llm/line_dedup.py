@@ -16,8 +16,8 @@ their removed lines.
 
 Defined cases: null text has no lines and stays null; empty and blank lines are never boilerplate;
 a null site is a site of its own; repeated rows are occurrences like any other (a row is told apart
-by its id and its text; rows equal in both keep or lose the same lines); extra columns are kept; an
-empty table gives an empty result.
+by its id and its text; rows equal in both keep or lose the same lines); extra columns are kept, whatever
+their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fail_unless, written
+from .common import fail_unless, fits_broadcast, free_names, written
 
 #: sites on which a line must stand to be boilerplate
 SITES = 10
@@ -33,8 +33,8 @@ SITES = 10
 SKETCH = 10
 #: estimates within this factor of the threshold are counted exactly; over six standard errors
 NEAR = 1.25
-#: one removal list is dealt out by so many salts, since one line may stand in a third of all rows
-SALTS = 32
+#: so many lines to remove are broadcast, some 10 MB; beyond, they are dealt out by so many salts, since one line may stand in a third of all rows
+BROADCAST_LINES, SALTS = 100_000, 32
 #: a line of more words (runs between white space) is a passage
 PASSAGE = 50
 #: what the filters trim
@@ -77,33 +77,39 @@ def passages_of(rows: DataFrame) -> DataFrame:
     return found.where(~F.col("low").eqNullSafe(F.col("high"))).select("line", "first.id", "first.at")
 
 
-def marked(documents: DataFrame, sites: int = SITES, white: str = " ") -> DataFrame:
-    """documents with __gone, the places of lines to remove (null for none)."""
+def marked(documents: DataFrame, sites: int = SITES, white: str = " ") -> tuple[DataFrame, str]:
+    """documents with one more column, the places of lines to remove (null for none), and its name."""
     fail_unless(("doc_id", "text", "source"), documents, "documents")
     rows = written(_occurrences(documents, white=white), "line-digests")
     return _with_places(documents, rows, written(spread_of_lines(rows, sites), "boilerplate"))
 
 
-def _with_places(documents: DataFrame, rows: DataFrame, spread: DataFrame) -> DataFrame:
-    """documents with __gone, the places in rows of the lines of spread but for the occurrence that stays."""
-    salted = spread.select("line", F.col("id").alias("stays_id"), F.col("at").alias("stays_at"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    hit = rows.withColumn("salt", F.pmod(F.xxhash64("id", "at"), F.lit(SALTS)).cast("int")).join(salted, ["line", "salt"])
+def _with_places(documents: DataFrame, rows: DataFrame, spread: DataFrame, broadcast_lines: int = BROADCAST_LINES) -> tuple[DataFrame, str]:
+    """documents with the places in rows of the lines of spread but for the occurrence that stays, and the column's name."""
+    lines = spread.select("line", F.col("id").alias("stays_id"), F.col("at").alias("stays_at"))
+    if fits_broadcast(lines, broadcast_lines):
+        hit = rows.join(F.broadcast(lines), "line")
+    else:
+        salted = lines.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        hit = rows.withColumn("salt", F.pmod(F.xxhash64("id", "at"), F.lit(SALTS)).cast("int")).join(salted.hint("shuffle_hash"), ["line", "salt"])
     hit = hit.where(~(F.col("id").eqNullSafe(F.col("stays_id")) & (F.col("at") == F.col("stays_at"))))
-    gone = hit.groupBy(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_set("at").alias("__gone"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
-    return documents.join(gone.hint("shuffle_hash"), same, "left").drop("__id", "__hash")
+    gone_at, id_, hash_ = free_names(documents, "gone", "of_id", "of_hash")
+    gone = hit.groupBy(F.col("id").alias(id_), F.col("text_hash").alias(hash_)).agg(F.collect_set("at").alias(gone_at))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(hash_))
+    return documents.join(gone.hint("shuffle_hash"), same, "left").drop(id_, hash_), gone_at
 
 
-def cleaned_text() -> Column:
-    kept = F.filter(lines_of(F.col("text")), lambda line, at: ~F.array_contains(F.col("__gone"), at))
-    return F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+def cleaned_text(gone_at: str) -> Column:
+    kept = F.filter(lines_of(F.col("text")), lambda line, at: ~F.array_contains(F.col(gone_at), at))
+    return F.when(F.col(gone_at).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
 
 
 def report(documents: DataFrame, sites: int = SITES) -> DataFrame:
     """Per document: doc_id, n_lines, n_removed, n_chars_kept, text_sha256 of the cleaned text."""
     slim = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source")
-    return marked(slim, sites).withColumn("clean", cleaned_text()).select(
-        "doc_id", F.coalesce(F.size(lines_of(F.col("text"))), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"),
+    marks, gone_at = marked(slim, sites)
+    return marks.withColumn("clean", cleaned_text(gone_at)).select(
+        "doc_id", F.coalesce(F.size(lines_of(F.col("text"))), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size(gone_at), F.lit(0)).cast("long").alias("n_removed"),
         F.char_length("clean").cast("long").alias("n_chars_kept"), F.sha2("clean", 256).alias("text_sha256"),
     )
 
@@ -113,7 +119,7 @@ def without_boilerplate(documents: DataFrame, sites: int = SITES) -> DataFrame:
 
     A document that had text and lost all of it is dropped: each of its lines stands in another one.
     """
-    return _cleaned(documents, marked(documents, sites, WHITE))
+    return _cleaned(documents, *marked(documents, sites, WHITE))
 
 
 def without_passages(documents: DataFrame, longer: int = PASSAGE) -> DataFrame:
@@ -123,11 +129,12 @@ def without_passages(documents: DataFrame, longer: int = PASSAGE) -> DataFrame:
     """
     fail_unless(("doc_id", "text", "source"), documents, "documents")
     rows = written(_occurrences(documents, longer, WHITE), "passage-digests")
-    return _cleaned(documents, _with_places(documents, rows, written(passages_of(rows), "passages")))
+    return _cleaned(documents, *_with_places(documents, rows, written(passages_of(rows), "passages")))
 
 
-def _cleaned(documents: DataFrame, marks: DataFrame) -> DataFrame:
-    out = marks.withColumn("__clean", cleaned_text())
-    out = out.where(F.col("__gone").isNull() | (F.trim(F.regexp_replace("__clean", "\\s+", " ")) != ""))
-    counted = {"n_chars": F.char_length("__clean").cast(documents.schema["n_chars"].dataType)} if "n_chars" in documents.columns else {}
-    return out.withColumns({"text": F.col("__clean"), **counted}).select(*documents.columns)
+def _cleaned(documents: DataFrame, marks: DataFrame, gone_at: str) -> DataFrame:
+    (clean,) = free_names(marks, "clean")
+    out = marks.withColumn(clean, cleaned_text(gone_at))
+    out = out.where(F.col(gone_at).isNull() | (F.trim(F.regexp_replace(clean, "\\s+", " ")) != ""))
+    counted = {"n_chars": F.char_length(clean).cast(documents.schema["n_chars"].dataType)} if "n_chars" in documents.columns else {}
+    return out.withColumns({"text": F.col(clean), **counted}).select(*documents.columns)

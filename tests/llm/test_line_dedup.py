@@ -90,3 +90,13 @@ def test_filters_trim_all_white_space(spark):
     passage = " ".join(f"w{k}" for k in range(51))
     two = spark.createDataFrame([(1, f"a\n{passage}\r", "s"), (2, f"b\n{passage}", "s"), (3, f"c\n{' '.join(passage.split()[:50])}  \r", "s")], df.schema)
     assert sorted(len(r.text.split()) for r in L.without_passages(two).collect()) == [1, 51, 52]
+
+
+def test_salted_lines_and_clashing_names(spark, monkeypatch):
+    rows = corpus(3)
+    df = spark.createDataFrame([(i, t, s, 0, "c", 1, 2) for i, t, s in rows], "doc_id long, text string, source string, gone int, clean string, of_id int, of_hash int")
+    want = sorted(((i, c) for (i, t, _), c in zip(rows, brute(rows)) if t == c or (c or "").strip()), key=str)
+    for most in (L.BROADCAST_LINES, 1):
+        monkeypatch.setattr(L._with_places, "__defaults__", (most,))
+        got = L.without_boilerplate(df)
+        assert got.columns == df.columns and sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == want
