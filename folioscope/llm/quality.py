@@ -8,12 +8,13 @@ Features of the whole text, hashed into 2**16 places: words, shapes of words (ru
 small letters, digits and signs), pairs of shapes, repeated words, and the magnitude of the length;
 each as the square root of its share.
 
-The regression is fitted in numpy on at most ``SAMPLE_ROWS`` labelled rows (see ``labelled``).
+The regression is fitted in numpy on at most ``SAMPLE_ROWS`` labelled rows (see ``labelled``). Ratings are
+any whole numbers; ``ratings`` makes three grades of the two labels of a document.
 
-Defined cases: null text counts as empty and is scored; without labels every text has tail
-probability 1 and is selected (nothing is known against it); a single grade gives that grade;
-repeated rows are scored once each; extra columns are kept by the filter; an empty table gives an
-empty result.
+Defined cases: null text counts as empty and is scored; a word counts whole, however long; without labels
+every text has tail probability 1 and is selected (nothing is known against it); a single grade gives that
+grade; repeated rows are scored once each; extra columns are kept by the filter, whatever their names; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -126,21 +127,36 @@ def _rate(model: Ordinal, texts: list[bytes]) -> np.ndarray:
     return np.stack([base + tails @ gaps, tail], 1)
 
 
-def rated(documents: DataFrame, labels: DataFrame, grade: int = 1, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """documents with __scores: the expected grade, and the probability of ``grade`` or a higher one."""
+def ratings(labels: DataFrame) -> DataFrame:
+    """(doc_id, rating): 0 for a text of no quality, 1 for one of quality that is toxic, 2 for one that is neither.
+
+    An unknown toxicity counts as none; an unknown quality gives no rating.
+    """
+    fail_unless(("doc_id", "quality", "toxic"), labels, "labels")
+    good = F.col("quality").cast("int") > 0
+    return labels.select("doc_id", F.when(~good, 0).when(good & (F.coalesce(F.col("toxic").cast("int"), F.lit(0)) > 0), 1).when(good, 2).alias("rating"))
+
+
+def rated(documents: DataFrame, graded: DataFrame, grade: int = 1, rows: int = SAMPLE_ROWS) -> tuple[DataFrame, str]:
+    """documents with the expected grade and the probability of ``grade`` or a higher one, in a column of the name returned.
+
+    graded: (doc_id, rating), ratings being whole numbers.
+    """
     fail_unless(("doc_id", "text"), documents, "documents")
-    fail_unless(("doc_id", "quality"), labels, "labels")
-    model = fit(*sample(documents, labels, "quality", rows))
+    fail_unless(("doc_id", "rating"), graded, "ratings")
+    model = fit(*sample(documents, graded, "rating", rows))
     model.asked = max(0, min(len(model.grades) - 2, int(np.searchsorted(model.grades, grade)) - 1))
     return scored(documents, _rate, model, 2)
 
 
 def quality(documents: DataFrame, labels: DataFrame, grade: int = 1) -> DataFrame:
     """Per document: doc_id, expected_grade, tail_probability, selected."""
-    out = rated(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, grade)
-    return out.select("doc_id", F.col("__scores")[0].alias("expected_grade"), F.col("__scores")[1].alias("tail_probability"), (F.col("__scores")[1] >= 0.5).alias("selected"))
+    out, scores = rated(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ratings(labels), grade)
+    tail = F.col(scores)[1]
+    return out.select("doc_id", F.col(scores)[0].alias("expected_grade"), tail.alias("tail_probability"), (tail >= 0.5).alias("selected"))
 
 
 def selected(documents: DataFrame, labels: DataFrame, grade: int = 1) -> DataFrame:
     """The documents of the asked grade, with all their columns."""
-    return rated(documents, labels, grade).where(F.col("__scores")[1] >= 0.5).drop("__scores")
+    out, scores = rated(documents, ratings(labels), grade)
+    return out.where(F.col(scores)[1] >= 0.5).select(*documents.columns)

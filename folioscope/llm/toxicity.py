@@ -6,12 +6,14 @@ and softmax are trained together (Joulin et al., 2017). A misspelling that was n
 most n-grams with what was. Stretches, not documents, are averaged: one insult in a long text would
 vanish in its mean. A document scores as its highest stretch, through a logistic curve fitted on
 the documents of the sample. After a first pass, in which a stretch has the label of its document,
-toxic documents train with their highest stretches alone.
+toxic documents train with their highest stretches alone. Stretches of clean documents take turns over the
+epochs, ``NEGATIVES`` for each toxic one, so that none is left out before others come twice.
 
 At most ``SAMPLE_ROWS`` labelled rows outside the held-out fold are used to fit (see ``labelled``).
 Scores are computed from the whole text and nothing else.
 
-Defined cases: null and empty texts are scored as a text without words; without labels all scores
+Defined cases: null and empty texts are scored as a text without words; a word of any length counts whole, in
+overlapping pieces; without labels all scores
 are 0, with one label its value, kept within 0 to 1; repeated rows are scored once each; extra
 columns are ignored; an empty table gives an empty result.
 """
@@ -36,6 +38,8 @@ PIECE, SHARED = 64, 16
 GRAMS = (3, 4, 5)
 MOST_WORDS = 300_000
 EPOCHS, BATCH, RATE = 8, 2048, 0.08
+#: stretches of label 0 in an epoch: so many for each one of label 1, and no fewer than so many; each waits its turn in a shuffled queue
+NEGATIVES, LEAST_NEGATIVES = 12, 20_000
 _SIGNS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in LOWER_BYTES)
 
 
@@ -162,7 +166,7 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Subwords:
         return np.add.reduceat(vectors[p] * share[:, None], starts, axis=0)
 
     positive, negative = np.flatnonzero(labels[owner] == 1), np.flatnonzero(labels[owner] == 0)
-    use = positive
+    use, queue = positive, np.zeros(0, np.int64)
     for epoch in range(EPOCHS):
         if epoch >= 2:  # toxic documents now teach by their highest stretches
             difference = vectors @ (out[:, 1] - out[:, 0])
@@ -171,7 +175,10 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Subwords:
             top = np.full(len(texts), -np.inf)
             np.maximum.at(top, owner[positive], score)
             use = positive[score >= 0.5 * top[owner[positive]] + np.where(top[owner[positive]] < 0, 0.5 * top[owner[positive]], 0)]
-        order = rng.permutation(np.concatenate([use, rng.choice(negative, min(len(negative), max(12 * len(use), 20_000)), replace=False)]))
+        turn = min(len(negative), max(NEGATIVES * len(use), LEAST_NEGATIVES))
+        while len(queue) < turn:
+            queue = np.concatenate([queue, rng.permutation(negative)])
+        order, queue = rng.permutation(np.concatenate([use, queue[:turn]])), queue[turn:]
         for low in range(0, len(order), BATCH):
             chosen = order[low : low + BATCH]
             s, p, share = gathered(chosen)
@@ -200,6 +207,6 @@ def toxicity(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -
     fail_unless(("doc_id", "text"), documents, "documents")
     fail_unless(("doc_id", "toxic"), labels, "labels")
     model = fit(*sample(documents, labels, "toxic", rows))
-    out = scored(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), Subwords.scores, model, 1)
-    score = F.col("__scores")[0]
+    out, scores = scored(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), Subwords.scores, model, 1)
+    score = F.col(scores)[0]
     return out.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))

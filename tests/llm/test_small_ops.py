@@ -312,3 +312,35 @@ def test_whole_license_texts():
     for name in ("MIT", "MIT-0", "BSD-3-Clause", "BSD-2-Clause", "ISC", "0BSD", "Unlicense", "Zlib"):
         longest = max(license_scan.RULES[name], key=len)
         assert {m[0] for m in own.matches(wrapped("\n\n".join(longest)).encode())[1]} == {name}
+
+
+def test_a_long_word_is_scored_to_its_end(spark):
+    df, labels = labelled_corpus(spark)
+    glued = "fgh" * 33_334
+    two = spark.createDataFrame([(70_001, glued + "idiot"), (70_002, glued)], "doc_id long, text string")
+    scores = {x.doc_id: x.score for x in toxicity.toxicity(df.select("doc_id", "text").unionByName(two), labels_of(spark, labels)).collect()}
+    assert scores[70_001] > scores[70_002]
+
+
+def test_ratings_and_graded_selection(spark):
+    df, labels = labelled_corpus(spark)
+    table = labels_of(spark, [*labels, (None, 1, None), (5000, None, 1), (5001, 1, None), (5002, 0, None)])
+    graded = {r.doc_id: r.rating for r in quality.ratings(table).collect()}
+    assert all(graded[k] == q * (2 - t) for k, q, t in labels) and (graded[5000], graded[5001], graded[5002]) == (None, 2, 0)
+    rated = {r.doc_id: r.expected_grade for r in quality.quality(df, table).collect()}
+    mean = lambda g: np.mean([rated[k] for k in rated if k is not None and graded.get(k) == g and k < 500])
+    assert mean(0) < 0.5 < 1 < mean(1) < mean(2) <= 2
+
+
+def test_the_sample_is_bounded_and_the_same_each_time(spark):
+    rows = [(1, "same")] * 500 + [(2, f"t{k}") for k in range(500)] + [(3, "x")]
+    df, labels = spark.createDataFrame(rows, "doc_id long, text string"), labels_of(spark, [(1, 1, 0), (1, 1, 0), (2, 0, 0), (3, 1, 0)])
+    got = [labelled.sample(df.repartition(k), labels, "quality", 50, held_out=False) for k in (1, 5)]
+    assert got[0][0] == got[1][0] and len(got[0][0]) == 100
+
+
+def test_clashing_names_in_filters(spark):
+    df, labels = labelled_corpus(spark, 60)
+    own = df.selectExpr("*", "1 as scores", "2 as __scores", "3 as order")
+    kept = quality.selected(own, labels_of(spark, labels))
+    assert kept.columns == own.columns and kept.count() > 0
