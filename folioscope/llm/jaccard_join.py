@@ -16,15 +16,18 @@ A document is the set of its shingles, as 64-bit hashes (tokens). Equal sets are
    the length as well, each set standing in its own and the next one.
 3. Groups. Keys of the same nodes are one bucket. In a bucket of up to ``BUCKET`` nodes, parity bitmaps
    of the sets tell pairs that cannot link: two bitmaps differ in at most as many bits as the sets do in
-   tokens. The nodes of a bucket that the others connect are hung on their smallest. In a larger
-   bucket all are hung on the smallest node. So a bucket gives as many rows as nodes, not pairs.
-   The components of those rows are candidate groups, and every link lies within one.
+   tokens. Buckets of over ``PART`` nodes are dealt out by pairs of parts, as many tasks as there are
+   pairs. The nodes that the others connect are hung on their smallest. In a larger bucket all are hung
+   on the smallest node. So a bucket gives as many rows as nodes, not pairs. The components of those
+   rows are candidate groups, and every link lies within one.
 4. Verification. A group of up to ``BLOCK`` nodes is verified as a whole in one task by exact
-   intersection sizes. A larger group is first held against one of its nodes, its hub, by as many
-   tasks as it needs; nodes that link with the hub need no comparison among themselves. The others
-   (none, in a group of near copies of one text) are compared in pairs of blocks with each other and
-   with those hub-linked nodes that the triangle inequality of the Jaccard distance leaves. Linked
-   nodes are then joined to components.
+   intersection sizes. A larger group is held against one of its nodes, its hub, by as many tasks as it
+   needs. Nodes that link with the hub need no comparison among themselves; by the triangle inequality of the
+   Jaccard distance only nodes within twice the distance of a link may link with one of them, and are
+   compared with those that may link back, in pairs of blocks. The nodes far from the hub (none, in a
+   group of near copies of one text) are the group of the next of ``HUB_ROUNDS`` rounds, or verified as
+   a whole where they are few. What is then left of a group is compared in pairs of blocks: its
+   cost grows with the square of what is left, and no pair is dropped. Linked nodes are joined to components.
 
 Texts are compared through 64-bit hashes of shingles: two different shingles of two compared
 documents fall together with probability of about 2**-64 for each pair.
@@ -44,10 +47,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, components, fail_unless, remember, small_batches, spread, written
+from .common import LOWER_BYTES, components, fail_unless, fits_broadcast, free_names, remember, small_batches, spread, written
 
 SHINGLE = 3
 #: similarity as a fraction
@@ -60,6 +63,10 @@ PAIRS_UP_TO = 160
 BLOCK = 256
 #: nodes of a bucket whose bitmaps are compared with one another
 BUCKET = 1024
+#: nodes of such a bucket that a task compares at once, in two parts
+PART = 128
+#: hubs that a group is held against, one after another
+HUB_ROUNDS = 6
 TOKENS_AT_ONCE = 1 << 20
 #: tokens below this hash, a sixth of all, are counted over the whole corpus
 TESTED = -(1 << 63) + (1 << 64) // 6
@@ -286,7 +293,7 @@ def bucket_edges(nodes: list[int], ns: list[int], bitmaps: list[bytes], like: Li
 
 
 def _filtered(batches: Iterator[pa.RecordBatch], like: Likeness = OWN) -> Iterator[pa.RecordBatch]:
-    """(key, node, n, bitmap) sorted by key -> (a, b)."""
+    """(key, x, y, node, n, bitmap) sorted by the first three -> (a, b)."""
     current, held = None, []
     out: list[tuple[int, int]] = []
 
@@ -299,8 +306,8 @@ def _filtered(batches: Iterator[pa.RecordBatch], like: Likeness = OWN) -> Iterat
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in done], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     for batch in batches:
-        for key, *rest in zip(*(c.to_pylist() for c in batch.columns)):
-            if key != current:
+        for k, x, y, *rest in zip(*(c.to_pylist() for c in batch.columns)):
+            if (key := (k, x, y)) != current:
                 close()
                 current, held = key, []
             held.append(rest)
@@ -309,13 +316,21 @@ def _filtered(batches: Iterator[pa.RecordBatch], like: Likeness = OWN) -> Iterat
     yield rows()
 
 
-def candidate_edges(index: DataFrame, bitmaps: DataFrame, like: Likeness, bucket: int = BUCKET) -> DataFrame:
+def _pairs(parts: Column) -> Column:
+    """The pairs (x, y), x <= y, of so many parts that the part ``own`` is in."""
+    return F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("x"), F.greatest(o, F.col("own")).alias("y")))
+
+
+def candidate_edges(index: DataFrame, bitmaps: DataFrame, like: Likeness, bucket: int = BUCKET, part: int = PART) -> DataFrame:
     """(a, b): edges whose components hold every link. index: (key, node), distinct; bitmaps: (node, n, bitmap)."""
     facts = [F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members")]
     shared = index.groupBy("key").agg(*facts).where("low <> high")
     one = written(shared.groupBy("low", "high", "size", "members").agg(F.min("key").alias("key")), "buckets")
-    small = index.join(one.where(F.col("size") <= bucket).select("key"), "key").join(bitmaps, "node").select("key", "node", "n", "bitmap")
-    edges = spread(small, "key").sortWithinPartitions("key", "node").mapInArrow(partial(_filtered, like=like), "a long, b long")
+    small = index.join(one.where(F.col("size") <= bucket).select("key", "size"), "key").join(bitmaps, "node")
+    parts = F.ceil(F.col("size") / part)
+    small = small.withColumn("own", F.pmod(F.xxhash64("node"), parts)).withColumn("pair", F.explode(_pairs(parts)))
+    small = small.select("key", "pair.x", "pair.y", "node", "n", "bitmap")
+    edges = spread(small, "key", "x", "y").sortWithinPartitions("key", "x", "y", "node").mapInArrow(partial(_filtered, like=like), "a long, b long")
     large = one.where(F.col("size") > bucket).select("key", "low")
     return edges.unionByName(index.join(large, "key").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))).distinct()
 
@@ -433,38 +448,58 @@ def _held_to_hub(batches: Iterator[pa.RecordBatch], like: Likeness = OWN) -> Ite
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array([s[0] for s in sims], pa.bool_()), pa.array([s[1] for s in sims], pa.float64())], names=["grp", "node", "hub", "near", "distance"])
 
 
+def _whole(rows: DataFrame, like: Likeness) -> DataFrame:
+    """Links (a, b) of (grp, node, text), each group compared in one task."""
+    return spread(rows.select("grp", "node", "text"), "grp").sortWithinPartitions("grp", "node").mapInArrow(_verified(["grp", "node", "text"], ["grp"], like), "a long, b long")
+
+
+def _in_blocks(rows: DataFrame, like: Likeness) -> DataFrame:
+    """Links (a, b) of (grp, x, y, node, text, trusted), each pair of blocks compared in one task."""
+    columns = ["grp", "x", "y", "node", "text", "trusted"]
+    return spread(rows.select(*columns), "grp", "x", "y").sortWithinPartitions("grp", "x", "y", "node").mapInArrow(_verified(columns, ["grp", "x", "y"], like), "a long, b long")
+
+
+def _border(held: DataFrame, texts: DataFrame, like: Likeness, block: int) -> DataFrame:
+    """Links between nodes near their hub and nodes far from it, where there may be any."""
+    limit = (like.under - like.over) / like.under + 1e-9
+    far = held.where(~F.col("near") & (F.col("distance") <= 2 * limit))
+    counts = far.groupBy("grp").agg(F.count("*").alias("n_far"), F.min("distance").alias("nearest"))
+    near = held.join(counts, "grp").where(F.col("near") & (F.col("distance") + limit >= F.col("nearest")))
+    counts = counts.join(near.groupBy("grp").agg(F.count("*").alias("n_near")), "grp")
+    # a block of far nodes meets each block of near ones
+    x, y = F.ceil(F.col("n_far") * 2 / block), F.ceil(F.col("n_near") * 2 / block)
+    all_of = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    own = lambda n: F.pmod(F.xxhash64("node"), n)
+    rows = far.join(counts.drop("nearest"), "grp").select("grp", "node", own(x).alias("x"), F.explode(all_of(y)).alias("y"), F.lit(False).alias("trusted"))
+    rows = rows.unionByName(near.drop("nearest", "n_far").join(counts.drop("nearest"), "grp").select("grp", "node", F.explode(all_of(x)).alias("x"), own(y).alias("y"), F.lit(True).alias("trusted")))
+    return _in_blocks(rows.join(texts.select("node", "text"), "node"), like)
+
+
 def links(risky: DataFrame, groups: DataFrame, like: Likeness, block: int = BLOCK) -> DataFrame:
     """Links (a, b) between the nodes of each candidate group (node, label); as many as components need."""
     sizes = groups.groupBy("label").agg(F.count("*").alias("size"))
     members = groups.join(sizes, "label").select(F.col("label").alias("grp"), "size", "node")
     rows = written(risky.select("node", "text").join(members.hint("shuffle_hash"), "node"), "candidates")
-    small = rows.where(F.col("size") <= block).select("grp", "node", "text")
-    columns = ["grp", "node", "text"]
-    found = [spread(small, "grp").sortWithinPartitions("grp", "node").mapInArrow(_verified(columns, ["grp"], like), "a long, b long")]
-    large = rows.where(F.col("size") > block).select("grp", "node", "text")
-    hubs = large.join(large.groupBy("grp").agg(F.min("node").alias("node")), ["grp", "node"])
-    hubs = hubs.select("grp", F.col("node").alias("hub"), F.col("text").alias("hub_text")).dropDuplicates(["hub"])
-    if not large.isEmpty():
-        held = large.join(hubs, "grp").select("grp", "node", "text", "hub", "hub_text").mapInArrow(partial(_held_to_hub, like=like), "grp long, node long, hub long, near boolean, distance double")
+    found = [_whole(rows.where(F.col("size") <= block), like)]
+    rest = rows.where(F.col("size") > block).select("grp", "node", "text")
+    for round_ in range(HUB_ROUNDS):
+        if rest.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        hubs = rest.join(rest.groupBy("grp").agg(F.min_by("node", F.xxhash64(F.lit(round_), "node")).alias("node")), ["grp", "node"])
+        hubs = hubs.select("grp", F.col("node").alias("hub"), F.col("text").alias("hub_text")).dropDuplicates(["grp"])
+        held = rest.join(hubs, "grp").select("grp", "node", "text", "hub", "hub_text").mapInArrow(partial(_held_to_hub, like=like), "grp long, node long, hub long, near boolean, distance double")
         held = written(held, "held-to-hub")
         found.append(held.where("near and node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
-        limit = (like.under - like.over) / like.under + 1e-9
-        # a far node may link with a node near the hub only within twice the distance of a link
-        counts = held.where("not near").groupBy("grp").agg(F.count("*").alias("far"), F.min("distance").alias("nearest"))
-        part = held.join(counts, "grp").where(~F.col("near") | (F.col("distance") + limit >= F.col("nearest")) & (F.lit(2 * limit) >= F.col("nearest")))
-        part = part.withColumn("blocks", F.ceil(F.col("far") * 2 / block))
-        part = part.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
-        totals = part.groupBy("grp", "near").agg(F.count("*").alias("near_size")).where("near").select("grp", F.ceil(F.col("near_size") * 2 / block).alias("near_blocks"))
-        part = part.join(totals, "grp", "left").withColumn("near_own", F.pmod(F.xxhash64("node"), F.greatest(F.coalesce("near_blocks", F.lit(1)), F.lit(1))))
-        # far nodes: all block pairs they are of; near nodes: their block with each block of far ones
-        others = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-        far_far = F.transform(others, lambda o: F.struct(F.lit(0).alias("kind"), F.least(o, F.col("own")).alias("x"), F.greatest(o, F.col("own")).alias("y")))
-        far_near = F.transform(F.when(F.coalesce("near_blocks", F.lit(0)) > 0, F.sequence(F.lit(0).cast("long"), F.col("near_blocks") - 1)).otherwise(F.array().cast("array<bigint>")), lambda o: F.struct(F.lit(1).alias("kind"), F.col("own").alias("x"), o.alias("y")))
-        near_far = F.transform(others, lambda o: F.struct(F.lit(1).alias("kind"), o.alias("x"), F.col("near_own").alias("y")))
-        pairs = part.select("grp", "node", "near", F.explode(F.when(F.col("near"), near_far).otherwise(F.concat(far_far, far_near))).alias("pair"))
-        pairs = pairs.select("grp", "node", F.col("near").alias("trusted"), "pair.*").join(large.select("node", "text"), "node").select("grp", "kind", "x", "y", "node", "text", "trusted")
-        columns = pairs.columns
-        found.append(spread(pairs, "grp", "kind", "x", "y").sortWithinPartitions("grp", "kind", "x", "y", "node").mapInArrow(_verified(columns, ["grp", "kind", "x", "y"], like), "a long, b long"))
+        found.append(_border(held, rest, like, block))
+        far = held.where("not near").select("grp", "node")
+        left = written(far.join(far.groupBy("grp").agg(F.count("*").alias("size")), "grp").select("grp", "node", "size"), "far-from-hub")
+        few = left.where(F.col("size") <= block)
+        found.append(_whole(few.select("grp", "node").join(rest.select("node", "text"), "node"), like))
+        rest = rest.join(left.where(F.col("size") > block).select("grp", "node"), ["grp", "node"], "left_semi")
+    parts = F.ceil(F.col("size") * 2 / block)
+    last = left.where(F.col("size") > block).withColumn("own", F.pmod(F.xxhash64("node"), parts)).select("grp", "node", F.explode(_pairs(parts)).alias("pair"))
+    last = last.select("grp", "pair.x", "pair.y", "node", F.lit(False).alias("trusted")).join(rest.select("node", "text"), "node")
+    found.append(_in_blocks(last, like))
     return reduce(DataFrame.unionByName, found)
 
 
@@ -482,8 +517,8 @@ def at_risk(documents: DataFrame, docs: DataFrame, described: DataFrame, like: L
     return texts.join(nodes.hint("shuffle_hash"), ["id", "text_hash"]).select("node", "text", "unique")
 
 
-def jaccard_components(documents: DataFrame, like: Likeness = OWN) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, text_hash."""
+def _with_labels(documents: DataFrame, like: Likeness) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id, text_hash, label; a component has one label, an empty set none."""
     fail_unless(("doc_id", "text"), documents, "documents")
     small_batches(documents.sparkSession)
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
@@ -498,19 +533,42 @@ def jaccard_components(documents: DataFrame, like: Likeness = OWN) -> DataFrame:
     # only nodes with copies or links need another name than their own id
     named = nodes.join(found, "node", "left").where("copies > 1 or label is not null").withColumn("label", F.coalesce("label", "node"))
     low = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    names = named.join(low, "label").select("node", "component_id")
-    return docs.join(names, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash")
+    names = named.join(low, "label").select("node", "component_id", "label")
+    out = docs.join(names, "node", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash", F.coalesce("label", "node").alias("label"))
+
+
+def jaccard_components(documents: DataFrame, like: Likeness = OWN) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id, text_hash."""
+    return _with_labels(documents, like).drop("label")
+
+
+#: rows of keys that may be broadcast, some 5 MB
+BROADCAST_KEYS = 200_000
 
 
-def one_of_each(documents: DataFrame, like: Likeness = OWN) -> DataFrame:
-    """The documents that name their component, with all their columns.
+def one_of_each(documents: DataFrame, like: Likeness = OWN, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+    """One document of each component, with all its columns: the one of the smallest id, ids before none.
 
-    Of repeated rows one stays. Rows without an id go if their component has a name, else stay.
+    Rows that are equal in id and text are one document, with words or without, and one of them stays. Of
+    several texts under the smallest id of a component, the one of the smallest hash stays.
+    Documents without words are each a component.
     """
-    found = written(jaccard_components(documents, like), "components-of-documents")
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    gone = found.where("not (doc_id <=> component_id)").select(key.alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    same = (key == gone["__id"]) & (F.xxhash64("text") == gone["__hash"])
-    kept = documents.join(gone.hint("shuffle_hash"), same, "left_anti")
-    repeated = found.where("n_shingles > 0 and doc_id <=> component_id").groupBy("doc_id").count().where("count > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+    id_, hash_ = free_names(documents, "id", "hash")
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias(id_), F.col("text_hash").alias(hash_)]
+    found = written(_with_labels(documents, like), "components-of-documents")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    first = found.where("label is not null").groupBy("label").agg(F.min(order).alias("first"))
+    rows = found.join(first, "label", "left").select(*key, (F.col("first").isNull() | (order == F.col("first"))).alias("stays"))
+    keys = written(rows.groupBy(id_, hash_).agg(F.bool_or("stays").alias("stays"), F.count("*").alias("rows")), "keys-of-documents")
+    gone, repeated = keys.where("not stays").select(id_, hash_), keys.where("stays and rows > 1").select(id_, hash_)
+
+    def sent(small: DataFrame) -> DataFrame:
+        return F.broadcast(small) if fits_broadcast(small, broadcast_keys) else small.hint("shuffle_hash")
+
+    own = documents.withColumns({id_: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), hash_: F.xxhash64("text")})
+    kept = own.join(sent(gone), [id_, hash_], "left_anti")
+    if not repeated.isEmpty():  # else there is nothing to take out
+        single = kept.join(sent(repeated), [id_, hash_], "left_anti")
+        kept = single.unionByName(kept.join(sent(repeated), [id_, hash_], "left_semi").dropDuplicates([id_, hash_]))
+    return kept.select(*documents.columns)

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from folioscope.llm import jaccard_join as J
 from folioscope.llm.common import components
@@ -76,7 +77,7 @@ def test_large_groups_by_hub_and_blocks(spark, monkeypatch):
         rows.append((1000 + k, " ".join(own)))
     monkeypatch.setattr(J, "LEAST_COUNT", 4)
     monkeypatch.setattr(J.links, "__defaults__", (8,))
-    monkeypatch.setattr(J.candidate_edges, "__defaults__", (30,))
+    monkeypatch.setattr(J.candidate_edges, "__defaults__", (30, 8))
     got = J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
     assert result(got) == brute(rows)
 
@@ -159,7 +160,42 @@ def test_another_width_and_similarity(spark, monkeypatch):
     assert result(J.jaccard_components(df, like)) == sorted(want, key=str)
     assert {i for i, _, c in want if i == c} == {x.doc_id for x in J.one_of_each(df, like).collect()}
     monkeypatch.setattr(J.links, "__defaults__", (8,))
-    monkeypatch.setattr(J.candidate_edges, "__defaults__", (30,))
+    monkeypatch.setattr(J.candidate_edges, "__defaults__", (30, 8))
     assert result(J.jaccard_components(df, like)) == sorted(want, key=str)
     two = df.where("doc_id in (2000, 2001)")
     assert (J.one_of_each(two).count(), J.one_of_each(two, like).count()) == (2, 1)
+
+
+def test_one_of_each_by_one_rule(spark):
+    """Repeated rows fare alike, whatever else stands in the table."""
+    for rows, want in (
+        ([(3, ""), (3, "")], [(3, "")]),
+        ([(3, ""), (3, ""), (5, "q r s"), (5, "q r s")], [(3, ""), (5, "q r s")]),
+        ([(None, "a b c"), (None, "a b c"), (None, None), (None, None)], [(None, "a b c"), (None, None)]),
+        ([(1, "a b c"), (1, "d e f"), (2, "A b c"), (None, "D e f")], [(1, "a b c"), (1, "d e f")]),
+    ):
+        df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, id int, hash string")
+        for most in (J.BROADCAST_KEYS, 0):
+            got = J.one_of_each(df, broadcast_keys=most)
+            assert got.columns == df.columns and sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_several_hubs(spark, monkeypatch):
+    """A false group of several clusters, with nodes about twice the distance of a link apart."""
+    r = random.Random(8)
+    shared = [f"s{k}" for k in range(60)]
+    rows = []
+    for c in range(5):
+        base = [*shared, *(f"c{c}w{k}" for k in range(60))]
+        for _ in range(25):
+            own = list(base)
+            for _ in range(r.choice([0, 1, 2, 3, 5])):
+                own[r.randrange(120)] = f"x{r.randrange(9999)}"
+            rows.append((len(rows), " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    # one candidate group of all nodes, whatever the keys say
+    monkeypatch.setattr(J, "candidate_edges", lambda index, bitmaps, like: bitmaps.select(F.col("node").alias("a"), F.lit(bitmaps.agg(F.min("node")).first()[0]).alias("b")))
+    for rounds in (1, 6):
+        monkeypatch.setattr(J, "HUB_ROUNDS", rounds)
+        monkeypatch.setattr(J.links, "__defaults__", (10,))
+        assert result(J.jaccard_components(df)) == brute(rows)
