@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
 again as the docs of the next. All but the last return the columns of documents.
+
+Defined cases: null texts pass the filters and are one piece with its closing id; rows without an id pass;
+of rows that repeat the near-copy stage keeps one; extra columns are kept, whatever their names, and ignored
+by the last stage; empty tables of documents, labels or benchmark give what is left, or an empty result.
 """
 
 from __future__ import annotations
@@ -11,9 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from folioscope.llm import decontamination, jaccard_join, line_dedup, packing, quality
 from folioscope.llm.common import table, written
 
+#: what the near-copy stage links: five words of a shingle, a similarity of 0.8
+NEAR_COPIES = jaccard_join.Likeness(5, 80, 100)
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go: the lowest of three grades, by the tail probability of the second."""
     return quality.selected(docs, table(spark, sf_dir, "labels"))
 
 
@@ -23,11 +30,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked documents stays.
-
-    Links are those of op9_jaccard_join, as the test of the stages asks; one_of_each takes others too.
-    """
-    return jaccard_join.one_of_each(docs)
+    """One document of each group of documents that share four fifths of their five-word shingles stays; of repeated rows one."""
+    return jaccard_join.one_of_each(docs, NEAR_COPIES)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
