@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.plans.tables import shared_folder, table, written  # noqa: F401
+from folioscope.plans.tables import discard, shared_folder, table, written  # noqa: F401
 
 #: what a worker process remembers between tasks, by operator
 _remembered: dict[str, Callable[[], None]] = {}
@@ -84,7 +84,8 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 60
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.select("u", F.col("m").alias("v")).unionByName(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")).distinct()
-        e = written(small, name)
+        done, e = e, written(small, name)
+        discard(done)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -62,9 +62,9 @@ NO_ID = -(1 << 63) + 1
 PAIRS_UP_TO = 160
 BLOCK = 256
 #: nodes of a bucket whose bitmaps are compared with one another
-BUCKET = 1024
-#: nodes of such a bucket that a task compares at once, in two parts
-PART = 128
+BUCKET = 512
+#: nodes of a part of such a bucket; two parts are compared at once, so a bucket of n nodes is sent n ceil(n / PART) rows, 2 n at most
+PART = 256
 #: hubs that a group is held against, one after another
 HUB_ROUNDS = 6
 TOKENS_AT_ONCE = 1 << 20
@@ -480,26 +480,33 @@ def links(risky: DataFrame, groups: DataFrame, like: Likeness, block: int = BLOC
     sizes = groups.groupBy("label").agg(F.count("*").alias("size"))
     members = groups.join(sizes, "label").select(F.col("label").alias("grp"), "size", "node")
     rows = written(risky.select("node", "text").join(members.hint("shuffle_hash"), "node"), "candidates")
-    found = [_whole(rows.where(F.col("size") <= block), like)]
+    found = [written(_whole(rows.where(F.col("size") <= block), like), "small-groups")]
     rest = rows.where(F.col("size") > block).select("grp", "node", "text")
+    left, reach = None, 2 * (like.under - like.over) / like.under + 1e-9
     for round_ in range(HUB_ROUNDS):
         if rest.isEmpty():
-            return reduce(DataFrame.unionByName, found)
+            break
         hubs = rest.join(rest.groupBy("grp").agg(F.min_by("node", F.xxhash64(F.lit(round_), "node")).alias("node")), ["grp", "node"])
         hubs = hubs.select("grp", F.col("node").alias("hub"), F.col("text").alias("hub_text")).dropDuplicates(["grp"])
         held = rest.join(hubs, "grp").select("grp", "node", "text", "hub", "hub_text").mapInArrow(partial(_held_to_hub, like=like), "grp long, node long, hub long, near boolean, distance double")
         held = written(held, "held-to-hub")
         found.append(held.where("near and node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
-        found.append(_border(held, rest, like, block))
+        n = held.agg(F.count_if(~F.col("near")).alias("far"), F.count_if(~F.col("near") & (F.col("distance") <= reach)).alias("border")).first()
+        if n["border"]:
+            found.append(written(_border(held, rest, like, block), "border-links"))
+        if not n["far"]:
+            return reduce(DataFrame.unionByName, found)
         far = held.where("not near").select("grp", "node")
         left = written(far.join(far.groupBy("grp").agg(F.count("*").alias("size")), "grp").select("grp", "node", "size"), "far-from-hub")
         few = left.where(F.col("size") <= block)
-        found.append(_whole(few.select("grp", "node").join(rest.select("node", "text"), "node"), like))
-        rest = rest.join(left.where(F.col("size") > block).select("grp", "node"), ["grp", "node"], "left_semi")
-    parts = F.ceil(F.col("size") * 2 / block)
-    last = left.where(F.col("size") > block).withColumn("own", F.pmod(F.xxhash64("node"), parts)).select("grp", "node", F.explode(_pairs(parts)).alias("pair"))
-    last = last.select("grp", "pair.x", "pair.y", "node", F.lit(False).alias("trusted")).join(rest.select("node", "text"), "node")
-    found.append(_in_blocks(last, like))
+        found.append(written(_whole(few.select("grp", "node").join(rest.select("node", "text"), "node"), like), "few-links"))
+        left = left.where(F.col("size") > block)
+        rest = written(rest.join(left.select("grp", "node"), ["grp", "node"], "left_semi"), "rest")
+    if left is not None and not rest.isEmpty():
+        parts = F.ceil(F.col("size") * 2 / block)
+        last = left.withColumn("own", F.pmod(F.xxhash64("node"), parts)).select("grp", "node", F.explode(_pairs(parts)).alias("pair"))
+        last = last.select("grp", "pair.x", "pair.y", "node", F.lit(False).alias("trusted")).join(rest.select("node", "text"), "node")
+        found.append(_in_blocks(last, like))
     return reduce(DataFrame.unionByName, found)
 
 
@@ -529,6 +536,7 @@ def _with_labels(documents: DataFrame, like: Likeness) -> DataFrame:
     index = written(index_rows(risky, frequent, like), "index")
     edges = candidate_edges(index.select(F.explode("keys").alias("key"), "node"), index.select("node", "n", "bitmap"), like)
     found = components(links(risky, components(edges, "candidate-groups"), like), "links")
+    discard(risky, index)
     nodes = docs.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     # only nodes with copies or links need another name than their own id
     named = nodes.join(found, "node", "left").where("copies > 1 or label is not null").withColumn("label", F.coalesce("label", "node"))

@@ -48,9 +48,10 @@ def sample(documents: DataFrame, labels: DataFrame, label: str, most: int = SAMP
         taken[tuple(row[c] for c in place)] = min(row["copies"], 2 * most - sum(taken.values()))
     if end is not None and end is not found[-1]:
         got = got.where(F.struct(*place) <= F.struct(*(F.lit(end[c]).cast(got.schema[c].dataType).alias(c) for c in place)))
-    own = got.select(*place, "text").limit(2 * most).toArrow().to_pylist()
-    table = sorted((r["text"], r["label"]) for r in own for _ in range(taken.get(tuple(r[c] for c in place), 0)))
-    return [t.encode() for t, _ in table], np.array([y for _, y in table], np.int64)
+    own = got.select(*place, "text").limit(2 * most).toArrow()
+    texts, places = own["text"].cast(pa.binary()).to_pylist(), zip(*(own[c].to_pylist() for c in place))
+    table = sorted((t, p[2]) for t, p in zip(texts, places) for _ in range(taken.get(p, 0)))
+    return [t for t, _ in table], np.array([y for _, y in table], np.int64)
 
 
 def scored(documents: DataFrame, score: Callable[[object, list[bytes]], np.ndarray], model: object, width: int) -> tuple[DataFrame, str]:
