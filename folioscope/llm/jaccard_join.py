@@ -50,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, components, fail_unless, fits_broadcast, free_names, remember, small_batches, spread, written
+from .common import LOWER_BYTES, components, discard, fail_unless, fits_broadcast, free_names, remember, small_batches, spread, written
 
 SHINGLE = 3
 #: similarity as a fraction
