@@ -7,6 +7,7 @@ import json
 import sys
 from dataclasses import asdict
 
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
 from folioscope import config, seed
@@ -68,6 +69,10 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-q", "--query", required=True)
     p.add_argument("--limit", type=int, default=8)
     p.add_argument("--depth", type=int, default=1)
+    p.add_argument("--regex", action="store_true")
+    p.add_argument("--embedding", choices=("none", "local-hash"), default=None)
+    for w in ("lexical", "graph", "vector"):
+        p.add_argument(f"--{w}-weight", type=float, default=1.0)
     p.add_argument("--max-chars", type=int, default=12_000)
     p.add_argument("--format", choices=("text", "json", "prompt"), default="text")
     s = sub.add_parser("sdd").add_subparsers(dest="what", required=True)
@@ -81,6 +86,7 @@ def parser() -> argparse.ArgumentParser:
     p = sub.add_parser("read")
     p.add_argument("--no-agents", action="store_true")
     p.add_argument("--no-index", action="store_true")
+    p.add_argument("--no-strict", action="store_true")
     p.add_argument("--log-last", type=int, default=0)
     p.add_argument("--heads", type=int, default=200)
     p = sub.add_parser("search")
@@ -92,6 +98,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--per-file", type=int, default=5)
     p.add_argument("--head", type=int, default=50)
     p.add_argument("--context", type=int, default=2)
+    for command in sub.choices.values():  # the folder may be named before the command or behind it
+        command.add_argument("--path", default=argparse.SUPPRESS)
     return top
 
 
@@ -128,16 +136,26 @@ def _graph(spark: SparkSession, a: argparse.Namespace) -> str:
     return dump({"nodes": rows(nodes), "edges": rows(edges)})
 
 
+def _options(a: argparse.Namespace) -> rag.Options:
+    embedding = rag.DEFAULT_EMBEDDING if (a.embedding or config.load().embedding) == "local-hash" else None
+    return rag.Options(a.query, a.limit, a.depth, a.regex, embedding, rag.Weights(a.lexical_weight, a.graph_weight, a.vector_weight))
+
+
+def _vectors(spark: SparkSession, a: argparse.Namespace) -> tuple:
+    """The cache of vectors beside the index, if there is one, and what stores rows in it."""
+    own = index.Index(spark, f"{a.path}/{INDEX}")
+    return own.vectors(), own.keep_vectors
+
+
 def _rag(spark: SparkSession, a: argparse.Namespace) -> str:
-    settings, t = config.load(), _tables(spark, a.path)
-    embedding = rag.DEFAULT_EMBEDDING if (a.embedding or settings.embedding) == "local-hash" else None
-    options = rag.Options(a.query, a.limit, a.depth, a.regex, embedding, rag.Weights(a.lexical_weight, a.graph_weight, a.vector_weight))
+    settings, t, options = config.load(), _tables(spark, a.path), _options(a)
+    cache = _vectors(spark, a) if options.embedding else (None, None)
     if a.what == "ask":
         name = a.provider or settings.answer_provider
         more = {} if name == "extractive" else {"endpoint": a.endpoint or settings.endpoint, "model": a.model or settings.model, "key": settings.api_key, "timeout": a.timeout or settings.timeout}
-        found = answer.ask(t, a.query, options, answer.provider(name, **more), a.max_chars)
+        found = answer.ask(t, a.query, options, answer.provider(name, **more), a.max_chars, cache=cache[0], keep=cache[1])
         return answer.answer_json(found) if a.format == "json" else found.answer
-    hits = rag.hits_of(rag.search(t, options))
+    hits = rag.hits_of(rag.search(t, options, *cache))
     if a.what == "context":
         c = rag.context(a.query, hits, a.max_chars)
         return json.dumps(asdict(c), ensure_ascii=False, indent=2) if a.format == "json" else answer.prompt(a.query, c) if a.format == "prompt" else c.text
@@ -164,7 +182,11 @@ def run(a: argparse.Namespace, spark: SparkSession | None = None) -> str:
         steps = seed.plan(a.dir, a.url, a.force)
         if not a.dry_run:
             seed.commit(a.dir, steps)
-        return "\n".join(f"{s.action}: {s.path}" for s in steps)
+        listed = [f"{s.action}: {s.path}" for s in steps]
+        if a.dry_run:
+            kept = sum(s.action == "keep" for s in steps if s.content is not None)
+            listed.append(f"dry run: {sum(s.content is not None for s in steps) - kept} documents to write, {kept} to keep; nothing was written")
+        return "\n".join(listed)
     if a.command == "sdd" and a.what in ("list", "new", "archive"):
         found = spec.list_changes(a.path, a.all) if a.what == "list" else spec.new_change(a.path, a.title) if a.what == "new" else spec.archive(a.path, a.change)
         return json.dumps(found, ensure_ascii=False, indent=2)
@@ -188,10 +210,14 @@ def run(a: argparse.Namespace, spark: SparkSession | None = None) -> str:
         return _search(spark, a)
     pages = tree.pages(tree.read_tree(spark, a.path, "search"))
     if a.command == "read":
+        if not a.no_strict:
+            overview.demand_base(pages, a.path)
         return overview.text(pages, a.log_last, a.heads, not a.no_agents, not a.no_index)
     own = index.Index(spark, f"{a.path}/{INDEX}")
     own.refresh(tree.pages(tree.read_tree(spark, a.path)))
-    package = answer.harness(own.tables(), overview.text(pages, with_agents=False, with_index=False), a.query, a.limit, a.depth, a.max_chars)
+    options = _options(a)
+    cache = _vectors(spark, a) if options.embedding else (None, None)
+    package = answer.harness(own.tables(), overview.text(pages, with_agents=False, with_index=False), a.query, a.limit, a.depth, a.max_chars, options, *cache)
     if a.format == "json":
         return json.dumps(package, ensure_ascii=False, indent=2)
     return f"{package['overview']}\n{package['evidence']}" + ("\n(uncertain)" if package["uncertain"] else "") + (f"\nQuestion: {a.query}" if a.format == "prompt" else "")
@@ -203,6 +229,9 @@ def main(argv: list[str] | None = None) -> int:
     except (ValueError, LookupError, OSError) as e:
         print(e, file=sys.stderr)
         return 1
+    except PySparkException as e:
+        print(str(e).splitlines()[0], file=sys.stderr)
+        return 1
     return 0
 
 

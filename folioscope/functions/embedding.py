@@ -83,5 +83,5 @@ def cosine(a: Column, b: Column) -> Column:
     dot = total(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")))
     norm = lambda x: F.sqrt(total(F.transform(x, lambda v: v.cast("double") * v.cast("double"))))
     value = F.when((norm(a) == 0) | (norm(b) == 0), F.lit(0.0)).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot / (norm(a) * norm(b)))))
-    fine = (F.size(a) == F.size(b)) & ~F.exists(F.concat(a, b), lambda v: F.isnan(v) | v.isNull())
+    fine = (F.size(a) == F.size(b)) & ~F.exists(F.concat(a, b), lambda v: F.coalesce(~(F.abs(v) < F.lit(float("inf"))), F.lit(True)))
     return F.when(fine, value)

@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # The knowledge areas, in their order.
@@ -111,6 +113,17 @@ def quoted(literal: str) -> str:
     return re.sub(r"([\\.+*?()|\[\]{}^$#&~\-\s])", lambda m: "\\" + m[1] if not m[1].isspace() else m[1], literal)
 
 
+def compiled(pattern: str) -> None:
+    """ValueError for a pattern that the engine cannot read, before any task fails on it."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return
+    try:
+        spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
+    except (Py4JJavaError, PySparkException) as e:
+        raise ValueError(f"invalid regular expression {pattern!r}: {str(e).splitlines()[0]}") from None
+
+
 class Matcher:
     """A compiled query: a literal, literals joined by AND with a phrase for ranking, or a regular expression."""
 
@@ -122,6 +135,8 @@ class Matcher:
         if regex and re.search(r"\(\?(?:[=!]|<[=!])|(?<!\\)\\[1-9]", query):
             raise ValueError("look-around and back-references are not supported")
         self.query, self.regex, self.flags = query, regex, "(?U)" if case_sensitive else "(?iuU)"
+        if regex:
+            compiled(query)
         words = query.split()
         self.tokens = None if regex or len(words) <= 1 else words
         self.phrase = None if self.tokens is None else self.flags + self.GAP.join(map(quoted, words))

@@ -124,9 +124,20 @@ class Index:
             raise ValueError(f"the index has the newer schema {meta['schema_version']}")
         return derived({t: self.spark.read.parquet(f"{self.folder}/{meta['generation']}/{t}") for t in TABLES})
 
+    def vectors(self) -> DataFrame | None:
+        """The cache of embedded chunks, which outlives generations; rows of other texts are passed over by their hash."""
+        fs, path = self._file("vectors")
+        return self.spark.read.parquet(f"{self.folder}/vectors") if fs.exists(path) else None
+
+    def keep_vectors(self, rows: DataFrame) -> None:
+        if not rows.isEmpty():
+            rows.write.mode("append").parquet(f"{self.folder}/vectors")
+
     def refresh(self, pages: DataFrame, chunk_chars: int = chunking.DEFAULT_CHARS, rebuild: bool = False) -> dict[str, int]:
         """Bring the tables to pages; only changed pages are parsed. Returns counts by status and of rows."""
         meta = self.meta()
+        if meta and meta["schema_version"] > SCHEMA_VERSION:
+            raise ValueError(f"the index has the newer schema {meta['schema_version']}")
         forced = rebuild or meta is None or meta["indexer"] != INDEXER_VERSION or meta["chunk_chars"] != chunk_chars
         generation = f"generation-{uuid.uuid4().hex}"
         if forced:
@@ -135,10 +146,9 @@ class Index:
             counts["added"] = -1
         else:
             old = {t: self.spark.read.parquet(f"{self.folder}/{meta['generation']}/{t}") for t in TABLES}
-            steps = plan(pages, old["documents"]).persist()
+            steps = written(plan(pages, old["documents"]), "plan")
             counts = {"added": 0, "updated": 0, "unchanged": 0, "removed": 0} | {r["status"]: r["count"] for r in steps.groupBy("status").count().collect()}
             if not counts["added"] + counts["updated"] + counts["removed"]:
-                steps.unpersist()
                 return counts | {"scanned": counts["unchanged"], **meta["rows"]}
             fresh = build(pages.join(steps.where("status in ('added', 'updated')").select("id"), "id", "left_semi"), chunk_chars, True)
             gone = steps.where("status in ('updated', 'removed')").select(F.col("id").alias("gone_id"))
@@ -164,5 +174,9 @@ class Index:
         out = fs.create(staged, True)
         out.write(bytearray(json.dumps(meta).encode()))
         out.close()
-        fs.delete(path, False)
-        fs.rename(staged, path)
+        # one step, so that there is a pointer at any time
+        jvm = self.spark.sparkContext._jvm
+        over = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        whole = lambda p: fs.makeQualified(p)
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(whole(path).toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(whole(staged), whole(path), over)

@@ -20,11 +20,18 @@ def summary(pages: DataFrame) -> DataFrame:
     folder = F.when(F.col("path").contains("/"), T.category(F.col("path")))
     # of categories there are few; the set is theirs, not the pages'
     return pages.agg(
-        F.count_if(~root).alias("pages"), F.array_sort(F.collect_set(folder)).alias("categories"), F.max_by(F.when(~root, F.col("path")), F.when(~root, F.struct("modified_at", (-F.xxhash64("path")).alias("h")))).alias("newest"),
+        F.count_if(~root).alias("pages"), F.array_sort(F.collect_set(folder)).alias("categories"), F.min_by(F.when(~root, F.col("path")), F.when(~root, F.struct(-F.col("modified_at"), "path"))).alias("newest"),
         F.bool_or(F.col("path") == "AGENTS.md").alias("has_agents"), F.bool_or(F.col("path") == "index.md").alias("has_index"), (F.count_if(~root) >= MOST_PAGES).alias("truncated"),
     )
 
 
+def demand_base(pages: DataFrame, root: str) -> None:
+    """LookupError unless the folder looks like a knowledge base: a root document, or a page in an area."""
+    seen = pages.where(F.col("path").isin(*ROOT_DOCUMENTS) | T.area(F.col("path")).isNotNull()).limit(1)
+    if seen.isEmpty():
+        raise LookupError(f"{root} does not look like a knowledge base; --no-strict reads it all the same")
+
+
 def newest_page(pages: DataFrame) -> DataFrame:
     """path, modified_at, modified: the newest page, the first by path of equals."""
     rows = pages.where(~F.col("path").isin(*ROOT_DOCUMENTS)).orderBy(F.desc("modified_at"), "path").limit(1)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from functools import reduce
 
@@ -17,7 +18,7 @@ from folioscope.plans.tables import written
 
 from . import fts, graph
 
-# Caps and boosts of retrieval.
+# Caps and boosts of retrieval, and its stop words.
 MOST_HITS, RECALL, MOST_TERMS, MOST_VECTORS = 100, (20, 500), 8, 5000
 PAGE_CHUNKS, SCOPES, SCOPE_CHUNKS = 4, 64, 8
 SUBSTRING, PAGE_BOOST, MENTION, RELATED, MOST_GRAPH = 0.82, 0.36, 0.28, 0.20, 0.60
@@ -76,6 +77,7 @@ class Options:
     regex: bool = False
     embedding: EmbeddingProvider | None = None
     weights: Weights = field(default_factory=Weights)
+    most_vectors: int | None = MOST_VECTORS  # of the first chunks by id; none for all
 
 
 def recall_limit(limit: int) -> int:
@@ -145,9 +147,11 @@ def entity_signals(tables: dict[str, DataFrame], seeds: DataFrame) -> DataFrame:
     return of.withColumn("k", F.row_number().over(w)).where(F.col("k") <= SCOPE_CHUNKS).select("chunk_id", "reason", F.lit("graph").alias("kind"), "boost")
 
 
-def vectors(tables: dict[str, DataFrame], provider: EmbeddingProvider, cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(chunk_id, text_hash, vector) of all chunks, and the part that the cache lacked or held for another text."""
+def vectors(tables: dict[str, DataFrame], provider: EmbeddingProvider, cache: DataFrame | None = None, cap: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(chunk_id, text_hash, vector) of all chunks or the first ``cap`` by id, and the part that the cache lacked or held for another text."""
     chunks = tables["chunks"].select(F.col("id").alias("chunk_id"), "text_hash", "text")
+    if cap is not None:
+        chunks = chunks.orderBy("chunk_id").limit(cap)
     if cache is None:
         fresh = chunks
         known = None
@@ -180,8 +184,11 @@ def fuse(signals: DataFrame, weights: Weights) -> DataFrame:
     return rows.withColumns({"score": F.col("lexical_score") + F.col("graph_score") + F.col("vector_score"), "reasons": F.transform("provenance", lambda p: p["source"])})
 
 
-def search(tables: dict[str, DataFrame], o: Options, cache: DataFrame | None = None) -> DataFrame:
-    """The hits: at most o.limit chunks by fused score, with provenance and excerpt."""
+def search(tables: dict[str, DataFrame], o: Options, cache: DataFrame | None = None, keep: Callable[[DataFrame], None] | None = None) -> DataFrame:
+    """The hits: at most o.limit chunks by fused score, with provenance and excerpt.
+
+    ``keep`` is given the rows that the cache of vectors lacks, to be stored with it.
+    """
     if not o.query.strip():
         raise ValueError("the query must not be empty")
     weights, limit = o.weights.sane(), max(1, min(MOST_HITS, o.limit))
@@ -193,8 +200,12 @@ def search(tables: dict[str, DataFrame], o: Options, cache: DataFrame | None = N
     if not direct.isEmpty():
         signals.append(entity_signals(tables, direct))
     if o.embedding:
-        every, _ = vectors(tables, o.embedding, cache)
-        signals.append(vector_signals(every, o.embedding.embed(o.query), f"{o.embedding.name}:{o.embedding.model}", recall))
+        every, fresh = vectors(tables, o.embedding, cache, o.most_vectors)
+        if keep:
+            fresh = written(fresh, "fresh-vectors")
+            keep(fresh)
+            every, _ = vectors(tables, o.embedding, fresh if cache is None else cache.unionByName(fresh), o.most_vectors)
+        signals.append(vector_signals(every, o.embedding.embed(o.query), f"{o.embedding.name}:{o.embedding.model}", recall, None))
     fused = fuse(reduce(DataFrame.unionByName, signals), weights)
     chunk = tables["chunks"].select(F.col("id").alias("chunk_id"), "document_id", "heading_path", "start_line", "end_line", "text")
     doc = tables["documents"].select(F.col("id").alias("document_id"), "path", "title")

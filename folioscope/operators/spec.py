@@ -168,27 +168,63 @@ def unfinished(task: DataFrame) -> DataFrame:
     return task.where(~F.lower("status").isin("done", "dropped")).select("change_id", "id", "status")
 
 
-def evidence_issues(result: dict, structure_ids: dict[str, set[str]]) -> list[str]:
-    """Problems of a verification input (schema, vocabularies, references); small, on the driver."""
+def passes(word: str | None) -> bool:
+    """pass and passed say the same, in any case."""
+    return (word or "").lower() in ("pass", "passed")
+
+
+def check_counts(result: dict) -> dict[str, int]:
+    """How many checks passed, and how many did not."""
+    checks = result.get("checks") or []
+    passed = sum(passes(c.get("status")) for c in checks)
+    return {"checks": len(checks), "passed": passed, "failed": len(checks) - passed}
+
+
+def evidence_issues(result: dict, structure: dict) -> list[str]:
+    """Problems of a verification input (schema, vocabularies, references, coverage); small, on the driver.
+
+    structure: requirements (id, priority, acceptance_ids), tasks (id, priority, status) and evidence ids of the change.
+    """
     out: list[str] = []
     if result.get("schemaVersion") != 1:
         out.append("schemaVersion must be 1")
-    if result.get("result") not in ("pass", "fail"):
+    if str(result.get("result")).lower() not in ("pass", "passed", "fail", "failed"):
         out.append("result must be pass or fail")
-    checks = result.get("checks") or []
+    checks, wants_pass = result.get("checks") or [], passes(result.get("result"))
     if not checks:
         out.append("at least one check is needed")
+    tasks_ = {t["id"]: t for t in structure["tasks"]}
+    known = {
+        "requirementRefs": {r["id"] for r in structure["requirements"]}, "acceptanceRefs": {x for r in structure["requirements"] for x in r["acceptance_ids"]},
+        "taskRefs": set(tasks_), "evidenceRefs": set(structure["evidence"]),
+    }
+    # the states of tasks when the evidence was taken must be those of now
+    snapshots = {t.get("id"): t for t in result.get("tasks") or []}
+    for name, t in tasks_.items():
+        if name not in snapshots:
+            out.append(f"no state of {name} in the evidence")
+        elif str(snapshots[name].get("status")).lower() != t["status"].lower():
+            out.append(f"{name} was {snapshots[name].get('status')} in the evidence and is {t['status']}")
+    for name, t in snapshots.items():
+        if name not in tasks_:
+            out.append(f"the evidence has a state of an unknown {name}")
+        out += [f"{name}: unknown {r}" for r in t.get("evidenceRefs") or [] if r not in known["evidenceRefs"]]
     seen: set[str] = set()
     for c in checks:
-        if c.get("status") not in ("passed", "failed", "blocked"):
-            out.append(f"check {c.get('name')}: bad status")
+        label = c.get("id") or c.get("name")
+        if str(c.get("status")).lower() not in ("pass", "passed", "fail", "failed", "blocked"):
+            out.append(f"check {label}: bad status")
         if c.get("id") in seen:
             out.append(f"SDD_DUPLICATE_ID: {c['id']}")
         seen |= {c["id"]} if c.get("id") else set()
-        for key, kind in (("requirementRefs", "REQ"), ("acceptanceRefs", "AC"), ("taskRefs", "TASK"), ("evidenceRefs", "E")):
-            out += [f"check {c.get('name')}: unknown {r}" for r in c.get(key) or [] if r not in structure_ids.get(kind, set())]
-    if result.get("result") == "pass" and any(c.get("status") != "passed" for c in checks):
-        out.append("a passing result needs every check passed")
+        out += [f"check {label}: no {key}" for key in ("acceptanceRefs", *(["taskRefs"] if tasks_ else [])) if not c.get(key)]
+        out += [f"check {label}: unknown {r}" for key, own in known.items() for r in c.get(key) or [] if r not in own]
+    if wants_pass:
+        if any(not passes(c.get("status")) for c in checks):
+            out.append("SDD_VERIFICATION_RESULT_MISMATCH: a passing result needs every check passed")
+        checked = {key: {r for c in checks for r in c.get(key) or []} for key in ("acceptanceRefs", "taskRefs")}
+        out += [f"no check of {x}" for r in structure["requirements"] if r["priority"].lower() == "must" for x in r["acceptance_ids"] if x not in checked["acceptanceRefs"]]
+        out += [f"no check of {t['id']}" for t in tasks_.values() if t["priority"].lower() == "must" and t["status"].lower() != "dropped" and t["id"] not in checked["taskRefs"]]
     return out
 
 
@@ -264,18 +300,24 @@ def verify(spark: SparkSession, root: str, change: str, result: dict | None = No
     found = [f"{r['code']}: {r['message']}" for r in structure_issues(files).unionByName(issues(req, task, matrix, evidence)).orderBy("code", "message").collect()]
     found += [f"UNFINISHED: {r['id']}" for r in unfinished(task).orderBy("id").collect()]
     if result is not None:
-        ids = {"REQ": {r["id"] for r in req.collect()}, "TASK": {r["id"] for r in task.collect()}, "AC": {a for r in req.collect() for a in r["acceptance_ids"]}, "E": {r["evidence_id"] for r in evidence.collect()}}
-        found += evidence_issues(result, ids)
+        own = {"requirements": [r.asDict() for r in req.collect()], "tasks": [r.asDict() for r in task.collect()], "evidence": [r["evidence_id"] for r in evidence.collect()]}
+        found += evidence_issues(result, own)
+        found += [] if passes(result.get("result")) or found else ["the evidence asks for a failure"]
     status = "needs_fix" if found else "verified"
     meta = front_matter((folder / "change.md").read_text(encoding="utf-8"))
     meta |= {"status": status, "phase": "verify", "updated_at": _now()} | ({"verified_fingerprint": fingerprint(folder)} if not found else {})
     _save(folder, meta)
     lines = [f"# Verification of {change}", "", f"Status: {status}", *([f"Requested: {result.get('result')}"] if result else []), "", *(f"- {i}" for i in found)]
+    counts = check_counts(result) if result is not None else {}
+    if result is not None:
+        lines += ["", "## Checks", "", f"{counts['passed']} of {counts['checks']} passed", "", *(f"- {c.get('id') or c.get('name')}: {c.get('status')}" for c in result.get("checks") or [])]
     _write(folder / "verify.md", "\n".join(lines) + "\n")
-    return {"schemaVersion": VERSION, "command": "sdd.verify", "status": status, "issues": found}
+    return {"schemaVersion": VERSION, "command": "sdd.verify", "status": status, "issues": found} | counts
 
 
 def archive(root: str, change: str) -> dict:
+    if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9_-]*", change):
+        raise LookupError(f"SDD_CHANGE_NOT_FOUND: {change}")
     source, target = Path(root) / "sdd" / "changes" / change, Path(root) / "sdd" / "archives" / change
     if target.exists() and not source.exists():
         return {"schemaVersion": VERSION, "command": "sdd.archive", "status": "archived"}

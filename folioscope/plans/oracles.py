@@ -56,6 +56,32 @@ SIGNALS = f"""{RAW}, sig AS (
   UNION SELECT 'doc:' || path, 'long', 'graph', 0.28 FROM raw WHERE length(text) > 1000
 ), fused AS (SELECT chunk_id, coalesce(max(boost) FILTER (kind = 'lexical'), 0) AS lex, least(0.6, coalesce(sum(boost) FILTER (kind = 'graph'), 0)) AS gra, string_agg(reason, ';' ORDER BY reason) AS reasons FROM sig GROUP BY 1)"""
 
+MD_POSTS = POSTS.replace(RAW, MD).replace("FROM raw", "FROM md")
+ONE_SEED = "SELECT 'doc:ideas/doc-1.md' AS chunk_id"
+
+
+def best_chunks(words: list[list[str]], most: int) -> str:
+    """The chunks of full text over Markdown pages, the best first."""
+    return f"WITH {MD_POSTS}, {bm25(words)} SELECT chunk_id FROM scored ORDER BY bm25, chunk_id LIMIT {most}"
+
+
+def page_signals(seeds: str, depth: int) -> str:
+    return f"""WITH RECURSIVE {LINK_ROWS}, e AS (SELECT DISTINCT 'doc:' || l.path AS a, 'doc:' || m.path AS b FROM links l JOIN md m ON m.path = target_path || '.md' WHERE m.path <> l.path),
+both_ AS (SELECT a, b FROM e UNION SELECT b, a FROM e), walk(node, distance) AS (SELECT chunk_id, 0 FROM ({seeds}) UNION SELECT b, distance + 1 FROM walk JOIN both_ ON a = node WHERE distance < {depth})
+SELECT node AS chunk_id, 'page-link depth ' || min(distance) AS reason, 'graph' AS kind, 0.36::DOUBLE / min(distance) AS boost FROM walk GROUP BY node HAVING min(distance) >= 1"""
+
+
+def entity_signals(seeds: str) -> str:
+    return f"""WITH {PAIRS}, names AS (SELECT DISTINCT id, canonical_name FROM ment), own AS (SELECT DISTINCT id, canonical_name FROM ment WHERE document_id IN ({seeds})),
+rel AS (SELECT DISTINCT subject_entity_id AS a, object_entity_id AS b FROM pairs),
+hop AS (SELECT b AS id, a AS seed, a, b FROM rel WHERE a IN (SELECT id FROM own) AND b NOT IN (SELECT id FROM own) UNION ALL SELECT a, b, a, b FROM rel WHERE b IN (SELECT id FROM own) AND a NOT IN (SELECT id FROM own)),
+best AS (SELECT id, seed FROM hop QUALIFY row_number() OVER (PARTITION BY id ORDER BY a, b) = 1),
+scopes AS (SELECT * FROM (SELECT id, 'entity-mention: ' || canonical_name AS reason, 0.28::DOUBLE AS boost FROM own
+  UNION ALL SELECT best.id, 'candidate relation from ' || s.canonical_name || ': co_occurs_in_chunk -> ' || n.canonical_name, 0.2 FROM best JOIN names s ON s.id = seed JOIN names n ON n.id = best.id) ORDER BY id LIMIT 64),
+of_ AS (SELECT DISTINCT scopes.id, document_id, reason, boost FROM scopes JOIN ment USING (id))
+SELECT document_id AS chunk_id, reason, 'graph' AS kind, boost FROM of_ QUALIFY row_number() OVER (PARTITION BY id ORDER BY document_id) <= 8"""
+
+
 ORACLES: dict[str, str] = {
     "search_literal_and": ranked("regexp_matches(text, '(?i)worthless') AND regexp_matches(text, '(?i)clown')", hits("(?i)worthless[\\s\\p{P}\\p{S}/_-]*clown"), hits("(?i)worthless") + " + " + hits("(?i)clown")),
     "search_phrase_rank": ranked("regexp_matches(text, '(?i)the') AND regexp_matches(text, '(?i)of')", hits("(?i)the[\\s\\p{P}\\p{S}/_-]*of"), hits("(?i)the") + " + " + hits("(?i)of"), "ORDER BY area_rank, phrase_hits DESC, token_hits DESC, path LIMIT 50"),
@@ -100,7 +126,7 @@ SELECT n.id, neighbor_id, direction, max(n.confidence) AS confidence, any_value(
     "bm25_topk": f"WITH {POSTS}, {bm25([['worthless'], ['clown']])} SELECT chunk_id, round(bm25, 6) AS bm25 FROM (SELECT * FROM scored ORDER BY bm25, chunk_id LIMIT 50)",
     "like_fallback": f"WITH {RAW} SELECT 'doc:' || path AS id, length(text) AS n FROM raw WHERE text ILIKE '%tr_sh%moron%'",
     "regex_chunks": f"WITH {RAW} SELECT 'doc:' || path AS id FROM raw WHERE regexp_matches(text, '(?i)pathetic|sc[u]m')",
-    "term_fallback": f"WITH {POSTS} SELECT DISTINCT chunk_id, 'query-term: ' || term AS reason, round(least(0.9, 0.52 + 0.035 * (length(term) - 2)), 6) AS boost FROM posts WHERE term IN ('pathetic', 'clown', 'idiot')",
+    "term_fallback": f"WITH {POSTS} SELECT DISTINCT chunk_id, 'query-term: ' || term AS reason, CAST(round(least(0.9, 0.52 + 0.035 * (length(term) - 2)), 6) AS DOUBLE) AS boost FROM posts WHERE term IN ('pathetic', 'clown', 'idiot')",
     "vector_topk": "SELECT vec_id, round(sim, 5) AS sim FROM (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings ORDER BY vec_id LIMIT 1)) AS sim FROM embeddings) ORDER BY sim DESC, vec_id LIMIT 100",
     "score_fusion": f"WITH {SIGNALS} SELECT chunk_id, round(lex, 6) AS lexical_score, round(gra * 0.5, 6) AS graph_score, round(lex + gra * 0.5, 6) AS score, reasons FROM fused",
     "context_budget": f"""WITH {SIGNALS}, best AS (SELECT chunk_id, lex + gra AS score FROM fused ORDER BY score DESC, chunk_id LIMIT 100),
@@ -112,8 +138,19 @@ SELECT chunk_id, before, least(n, 8000 - before) AS taken FROM c WHERE before <
     "newest_page": f"WITH {RAW} SELECT path, length(text) * 1000 AS modified_at, strftime(to_timestamp(length(text) * 1000) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS modified FROM raw ORDER BY modified_at DESC, path LIMIT 1",
     "incremental_diff": """WITH n AS (SELECT doc_id, sha256(text) AS s FROM documents WHERE lang <> 'de'), o AS (SELECT doc_id, sha256(CASE WHEN lang = 'es' THEN 'old ' || text ELSE text END) AS s FROM documents WHERE lang <> 'fr')
 SELECT 'doc:doc-' || coalesce(n.doc_id, o.doc_id) || '.md' AS id, 'doc-' || coalesce(n.doc_id, o.doc_id) || '.md' AS path, CASE WHEN o.doc_id IS NULL THEN 'added' WHEN n.doc_id IS NULL THEN 'removed' WHEN n.s = o.s THEN 'unchanged' ELSE 'updated' END AS status FROM n FULL JOIN o ON n.doc_id = o.doc_id""",
-    "orphans_anti": f"""WITH {PAIRS} SELECT DISTINCT relation_id AS id, 'relation' AS kind FROM pairs WHERE relation_id NOT IN (SELECT relation_id FROM pairs WHERE document_id NOT LIKE 'doc:sdd/%')
-UNION SELECT id, 'entity' FROM ment WHERE id NOT IN (SELECT id FROM ment WHERE document_id NOT LIKE 'doc:sdd/%')""",
+    "orphans_anti": f"""WITH {PAIRS}, gone AS (SELECT document_id FROM ment WHERE canonical_name = 'handler_3') SELECT DISTINCT relation_id AS id, 'relation' AS kind FROM pairs WHERE relation_id NOT IN (SELECT relation_id FROM pairs WHERE document_id NOT IN (FROM gone))
+UNION SELECT id, 'entity' FROM ment WHERE id NOT IN (SELECT id FROM ment WHERE document_id NOT IN (FROM gone))""",
+    "page_expansion": f"SELECT chunk_id, reason, kind, round(boost, 6) AS boost FROM ({page_signals(ONE_SEED, 2)})",
+    "entity_expansion": f"SELECT chunk_id, reason, kind, round(boost, 6) AS boost FROM ({entity_signals(ONE_SEED)})",
+    "lexical_cascade": f"""SELECT chunk_id, 'fts5' AS reason, 'lexical' AS kind, 1.0::DOUBLE AS boost, 'worthless clown' AS query FROM ({best_chunks([['worthless'], ['clown']], 500)})
+UNION ALL SELECT chunk_id, 'substring', 'lexical', 0.82, 'rthless' FROM (WITH {MD} SELECT 'doc:' || path AS chunk_id FROM md WHERE text ILIKE '%rthless%' ORDER BY 1 LIMIT 500)
+""" + "\n".join(f"UNION ALL SELECT chunk_id, 'query-term: {t}', 'lexical', {min(0.9, 0.52 + 0.035 * (len(t) - 2)):.6f}, 'What is the pathetic clown, and why the Idiot?' FROM ({best_chunks([[t]], 500)})" for t in ("pathetic", "clown", "idiot")),
+    "rag_search": f"""WITH seeds AS ({best_chunks([['worthless'], ['clown']], 500)}), sig AS (
+  SELECT chunk_id, 'fts5' AS reason, 'lexical' AS kind, 1.0::DOUBLE AS boost FROM seeds UNION ({page_signals('SELECT chunk_id FROM seeds', 1)}) UNION ({entity_signals('SELECT chunk_id FROM seeds')})
+), fused AS (SELECT chunk_id, coalesce(max(boost) FILTER (kind = 'lexical'), 0) AS lex, least(0.6, coalesce(sum(boost) FILTER (kind = 'graph'), 0)) AS gra, string_agg(reason, ';' ORDER BY reason) AS reasons FROM sig GROUP BY 1)
+SELECT chunk_id, substr(chunk_id, 5) AS path, 'Doc ' || regexp_extract(chunk_id, 'doc-([0-9]+)', 1) AS title, round(lex, 6) AS lexical_score, round(gra, 6) AS graph_score, round(lex + gra, 6) AS score, reasons FROM fused ORDER BY round(lex + gra, 9) DESC, path LIMIT 100""",
+    "vector_signal": "SELECT CAST(vec_id AS VARCHAR) AS chunk_id, 'own:embeddings' AS reason, 'vector' AS kind, round(greatest(0, sim), 5) AS boost FROM (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings ORDER BY vec_id LIMIT 1)) AS sim FROM embeddings) ORDER BY sim DESC, CAST(vec_id AS VARCHAR) LIMIT 100",
+    "embedding_cache": f"WITH {RAW} SELECT 'doc:' || path AS chunk_id, 'local-hash' AS provider, 'token-ngram-v1' AS model, 384::BIGINT AS size FROM raw WHERE doc_id % 3 <> 0",
     "log_tail": """WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS entry, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
 SELECT CAST(conv_id AS VARCHAR) AS path, entry, '## [' || turn || '] ' || role || chr(10) || CASE WHEN entry = n THEN regexp_replace(t, '\\r?\\n$', '') ELSE t END AS body FROM c WHERE entry > n - 2""",
     "spec_coverage_gaps": "SELECT * FROM (VALUES ('c1', 'UNCOVERED', 'REQ-1 AC-2'), ('c1', 'NOT_IN_MATRIX', 'REQ-3 AC-4')) v(change_id, code, message)",

@@ -268,15 +268,83 @@ def incremental_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def orphans_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entities and relations that lose their last mention when the pages of one area go."""
+    """Entities and relations that lose their last mention when the pages of one function go."""
     mentions = written(mentions_of(spark, sf_dir), "mentions")
-    left = mentions.where(~F.col("chunk_id").startswith("doc:sdd/"))
+    page = F.regexp_replace("chunk_id", r":chunk:\d+$", "")
+    gone_pages = mentions.where("canonical_name = 'handler_3'").select(page.alias("page")).distinct()
+    left = mentions.withColumn("page", page).join(gone_pages, "page", "left_anti").drop("page")
     pairs = index.cooccurrence(left)
     evidence = pairs.select(index.relation_id().alias("relation_id"), "chunk_id")
     gone, nameless = index.orphans(index.relations(index.cooccurrence(mentions)), evidence, index.entities(mentions), left)
     return gone.select("id", F.lit("relation").alias("kind")).unionByName(nameless.select("id", F.lit("entity").alias("kind")))
 
 
+def base_of(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The tables of retrieval over the Markdown pages, each page being one chunk."""
+    pages = written(markdown(spark, sf_dir), "pages")
+    chunks = as_chunks(pages).withColumns({"start_line": F.lit(1).cast("long"), "end_line": F.size(T.lines(F.col("text"))).cast("long"), "text_hash": F.sha2("text", 256)})
+    mentions = written(chunking.mentions(chunks), "mentions")
+    return {
+        "documents": pages, "chunks": chunks, "wiki_links": written(index.wiki_links(pages), "links"), "entity_mentions": mentions, "entities": index.entities(mentions),
+        "relations": index.relations(index.cooccurrence(mentions)), "postings": written(fts.postings(chunks), "postings"),
+    }
+
+
+def one_seed(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("doc:ideas/doc-1.md",)], "chunk_id string")
+
+
+def rounded(signals: DataFrame) -> DataFrame:
+    return signals.select("chunk_id", "reason", "kind", F.round("boost", 6).alias("boost"))
+
+
+@query
+def page_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(rag.page_signals(base_of(spark, sf_dir), one_seed(spark), 2))
+
+
+@query
+def entity_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(rag.entity_signals(base_of(spark, sf_dir), one_seed(spark)))
+
+
+@query
+def lexical_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question that full text answers, one that only a substring does, and one that falls back to its terms."""
+    tables = base_of(spark, sf_dir)
+    asked = ("worthless clown", "rthless", TERMS_QUESTION)
+    found = [rounded(rag.lexical(tables, q, False, 500)).withColumn("query", F.lit(q)) for q in asked]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query
+def rag_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = rag.search(base_of(spark, sf_dir), rag.Options("worthless clown", limit=100))
+    return rows.select("chunk_id", "path", "title", F.round("lexical_score", 6).alias("lexical_score"), F.round("graph_score", 6).alias("graph_score"), F.round("score", 6).alias("score"), F.array_join("reasons", ";").alias("reasons"))
+
+
+@query
+def vector_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    asked = rows.orderBy("vec_id").limit(1).first()["embedding"]
+    found = rag.vector_signals(rows.select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("embedding").alias("vector")), [float(x) for x in asked], "own:embeddings", 100, None)
+    return found.select("chunk_id", "reason", "kind", F.round("boost", 5).alias("boost"))
+
+
+@query
+def embedding_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks that are embedded anew where a cache knows a third of them and another third with other texts."""
+    chunks = as_chunks(raw(spark, sf_dir)).withColumn("text_hash", F.sha2("text", 256))
+    own = rag.DEFAULT_EMBEDDING
+    third = F.regexp_extract("id", r"doc-(\d+)", 1).cast("long") % 3
+    cache = chunks.where(third < 2).select(
+        F.col("id").alias("chunk_id"), F.when(third == 0, F.col("text_hash")).otherwise(F.lit("old")).alias("text_hash"), F.array(F.lit(1.0).cast("float")).alias("vector"),
+        F.lit(own.name).alias("provider"), F.lit(own.model).alias("model"), F.lit(own.dimensions).alias("dimensions"),
+    )
+    _, fresh = rag.vectors({"chunks": chunks}, own, cache)
+    return fresh.select("chunk_id", "provider", "model", F.size("vector").cast("long").alias("size"))
+
+
 @query
 def spec_coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spec.coverage_gaps(*spec.fixture(spark))

@@ -21,13 +21,21 @@ SCHEMA = "path string, content binary, modified_at long"
 FILES_PER_PARTITION = 500
 
 
-def list_tree(root: str, prune: tuple[str, ...], any_case: bool) -> list[str]:
-    """Relative paths of Markdown files, sorted; links are not followed, names that start with . or _ are kept."""
+def list_tree(root: str, prune: tuple[str, ...], any_case: bool, strict: bool = True) -> list[str]:
+    """Relative paths of Markdown files, sorted; links are not followed, names that start with . or _ are kept.
+
+    A folder that cannot be listed is an error, or passed over if not strict.
+    """
+
+    def failed(e: OSError) -> None:
+        if strict:
+            raise e
+
     top = Path(root)
     if not str(root).strip() or not top.is_dir():
         raise FileNotFoundError(f"not a directory: {root!r}")
     out = []
-    for folder, names, files in os.walk(top, onerror=lambda e: (_ for _ in ()).throw(e)):
+    for folder, names, files in os.walk(top, onerror=failed):
         names[:] = [n for n in names if n not in prune and not os.path.islink(os.path.join(folder, n))]
         for f in files:
             full = os.path.join(folder, f)
@@ -50,7 +58,7 @@ class TreeReader(DataSourceReader):
         self.any_case = index
 
     def partitions(self) -> list[InputPartition]:
-        paths = list_tree(self.root, self.prune, self.any_case)
+        paths = list_tree(self.root, self.prune, self.any_case, strict=self.any_case)
         return [Files(self.root, paths[k : k + FILES_PER_PARTITION]) for k in range(0, max(1, len(paths)), FILES_PER_PARTITION)]
 
     def read(self, part: Files) -> Iterator[pa.RecordBatch]:

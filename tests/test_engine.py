@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from folioscope import cli, config, seed
 from folioscope.functions import text as T
+from folioscope.functions.embedding import cosine
 from folioscope.operators import answer, fts, graph, index, overview, rag, spec
 from folioscope.plans.tables import written
 from folioscope.sources import tree
@@ -231,7 +232,14 @@ def test_specification_lifecycle(spark, tmp_path):
         put(name, text)
     assert spec.verify(spark, root, change) == {"schemaVersion": spec.VERSION, "command": "sdd.verify", "status": "verified", "issues": []}
     bad = spec.verify(spark, root, change, {"schemaVersion": 1, "result": "pass", "checks": [{"name": "t", "status": "failed", "taskRefs": ["TASK-9"]}]})
-    assert len(bad["issues"]) == 2
+    for want in ("unknown TASK-9", "no acceptanceRefs", "RESULT_MISMATCH", "no state of TASK-1", "no check of AC-1", "no check of TASK-1"):
+        assert any(want in i for i in bad["issues"]), want
+    assert (bad["checks"], bad["passed"], bad["failed"]) == (1, 0, 1) and "0 of 1 passed" in (folder / "verify.md").read_text(encoding="utf-8")
+    status = spec.tasks(spec.files_of(spark, folder, change)).first()["status"]
+    good = {"schemaVersion": 1, "result": "Passed", "tasks": [{"id": "TASK-1", "status": status.upper()}], "checks": [{"name": "t", "status": "PASS", "acceptanceRefs": sorted(spec.requirements(spec.files_of(spark, folder, change)).first()["acceptance_ids"]), "taskRefs": ["TASK-1"]}]}
+    assert spec.verify(spark, root, change, good)["issues"] == []
+    with pytest.raises(LookupError, match="NOT_FOUND"):
+        spec.archive(root, "../" + change)
     spec.verify(spark, root, change)
     put("tasks/TASK-1.md", TASK + "edit")
     with pytest.raises(ValueError, match="STALE"):
@@ -285,3 +293,32 @@ def test_category_must_be_below_the_root(spark, root):
     with pytest.raises(ValueError):
         search.searchable(tree.pages(tree.read_tree(spark, str(root))), "../x")
     assert T.Matcher("a b").tokens == ["a", "b"]
+
+
+def test_commands_report_errors_and_counts(spark, root, tmp_path, capsys):
+    do = lambda *a: cli.run(cli.parser().parse_args([*a]), spark)
+    assert "4 documents to write, 0 to keep" in do("init", "--dir", str(tmp_path / "new"), "--dry-run")
+    do("index", "--path", str(root))
+    with pytest.raises(ValueError, match="invalid regular expression"):
+        do("search", "[", "--regex", "--path", str(root))
+    package = json.loads(do("harness", "-q", "cache", "--embedding", "local-hash", "--vector-weight", "0.5", "--format", "json", "--path", str(root)))
+    assert package["version"] == answer.VERSION
+    own = index.Index(spark, f"{root}/{cli.INDEX}")
+    n = own.vectors().count()
+    assert n > 0
+    do("rag", "search", "-q", "cache", "--limit", "3", "--embedding", "local-hash", "--path", str(root))
+    assert own.vectors().count() == n
+    (tmp_path / "plain" / "sub").mkdir(parents=True)
+    (tmp_path / "plain" / "sub" / "page.md").write_text("# Page\n", encoding="utf-8")
+    with pytest.raises(LookupError, match="no-strict"):
+        do("--path", str(tmp_path / "plain"), "read")
+    assert "Pages: 1" in do("--path", str(tmp_path / "plain"), "read", "--no-strict")
+
+
+def test_finite_vectors_and_newest_of_equals(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [([inf, 1.0], [1.0, 1.0]), ([nan, 1.0], [1.0, 1.0]), ([None, 1.0], [1.0, 1.0]), ([1.0, 1.0], [1.0, 1.0])]
+    got = [r[0] for r in spark.createDataFrame(rows, "a array<double>, b array<double>").select(cosine(F.col("a"), F.col("b"))).collect()]
+    assert got[:3] == [None] * 3 and abs(got[3] - 1) < 1e-9
+    pages = spark.createDataFrame([(p, 5, "t") for p in ("notes/b.md", "notes/a.md", "ideas/z.md")], "path string, modified_at long, text string")
+    assert overview.summary(pages).first()["newest"] == overview.newest_page(pages).first()["path"] == "ideas/z.md"
