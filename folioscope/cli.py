@@ -98,7 +98,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--per-file", type=int, default=5)
     p.add_argument("--head", type=int, default=50)
     p.add_argument("--context", type=int, default=2)
-    for command in sub.choices.values():  # the folder may be named before the command or behind it
+    # the folder may be named before the command or behind it
+    for command in (*sub.choices.values(), *g.choices.values(), *r.choices.values(), *s.choices.values()):
         command.add_argument("--path", default=argparse.SUPPRESS)
     return top
 
