@@ -476,10 +476,14 @@ def _border(held: DataFrame, texts: DataFrame, like: Likeness, block: int) -> Da
 
 
 def links(risky: DataFrame, groups: DataFrame, like: Likeness, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) between the nodes of each candidate group (node, label); as many as components need."""
+    """Links (a, b) between the nodes of each candidate group (node, label); as many as components need.
+
+    risky is a written table, and goes as soon as the texts of the groups are taken from it.
+    """
     sizes = groups.groupBy("label").agg(F.count("*").alias("size"))
     members = groups.join(sizes, "label").select(F.col("label").alias("grp"), "size", "node")
     rows = written(risky.select("node", "text").join(members.hint("shuffle_hash"), "node"), "candidates")
+    discard(risky)
     found = [written(_whole(rows.where(F.col("size") <= block), like), "small-groups")]
     rest = rows.where(F.col("size") > block).select("grp", "node", "text")
     left, reach = None, 2 * (like.under - like.over) / like.under + 1e-9
@@ -535,8 +539,9 @@ def _with_labels(documents: DataFrame, like: Likeness) -> DataFrame:
     frequent = frequent_class(risky.select("text").mapInArrow(partial(_repeated, shingle=like.shingle), "token long, c long"))
     index = written(index_rows(risky, frequent, like), "index")
     edges = candidate_edges(index.select(F.explode("keys").alias("key"), "node"), index.select("node", "n", "bitmap"), like)
-    found = components(links(risky, components(edges, "candidate-groups"), like), "links")
-    discard(risky, index)
+    groups = components(edges, "candidate-groups")
+    discard(index)
+    found = components(links(risky, groups, like), "links")
     nodes = docs.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     # only nodes with copies or links need another name than their own id
     named = nodes.join(found, "node", "left").where("copies > 1 or label is not null").withColumn("label", F.coalesce("label", "node"))
