@@ -183,7 +183,7 @@ def _repeated(batches: Iterator[pa.RecordBatch], shingle: int = SHINGLE) -> Iter
 
 def frequent_class(counted: DataFrame, most: int = MOST_FREQUENT, least: int = LEAST_COUNT) -> np.ndarray:
     """The frequent tokens, sorted: those with the highest counts, at most ``most`` of them."""
-    totals = counted.groupBy("token").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
+    totals = written(counted.groupBy("token").agg(F.sum("c").alias("c")).where(F.col("c") >= least), "frequent")  # read twice below
     by_size = {r["b"]: r["n"] for r in totals.groupBy(F.floor(F.log2("c")).cast("int").alias("b")).agg(F.count("*").alias("n")).collect()}  # 64 rows at most
     taken, bound = 0, 64
     for b in sorted(by_size, reverse=True):
@@ -191,6 +191,7 @@ def frequent_class(counted: DataFrame, most: int = MOST_FREQUENT, least: int = L
             break
         taken, bound = taken + by_size[b], b
     chosen = totals.where(F.floor(F.log2("c")) >= bound).select("token").toArrow()["token"]
+    discard(totals)
     return np.sort(chosen.to_numpy())
 
 
