@@ -16,7 +16,7 @@ from . import test_line_dedup as L
 from . import test_packing as P
 
 DATA = "/root/testdata/sf0.001"
-ROWS = {f"op{n}": "documents" for n in (1, 3, 5, 6, 7, 8, 9, 10)} | {"op2": "pages"}
+ROWS = {f"op{n}": "documents" for n in (1, 3, 5, 6, 7, 8, 9, 10, 11)} | {"op2": "pages"}
 
 
 @pytest.mark.parametrize("name", sorted(Q.queries()))
