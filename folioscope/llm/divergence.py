@@ -57,7 +57,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 counts[lang, source] = Counter(), Counter(), document
             df, n, _ = counts[lang, source]
             own = set(terms)
-            new = own.difference(df)
+            new = [t for t in own if t not in df]
             entries, size = entries + len(new), size + sum(map(len, new))
             n.update(terms)
             df.update(own)
