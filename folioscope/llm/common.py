@@ -49,6 +49,11 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def own_columns(df: DataFrame) -> list[str]:
+    """The columns of df as select takes them, whatever dots, blanks or back-ticks their names have."""
+    return ["`" + c.replace("`", "``") + "`" for c in df.columns]
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z alone; every other character stays."""
     return F.translate(text, UPPER, LOWER)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, fail_unless, fits_broadcast, free_names, remember, small_batches, written
+from .common import LOWER_BYTES, fail_unless, fits_broadcast, free_names, own_columns, remember, small_batches, written
 from .jaccard_join import NO_ID, Words, _factor
 
 WINDOW = 13
@@ -269,4 +269,4 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, share: int = SHARE
     gone = hit.where("contaminated").select(F.col("id").alias(id_), F.col("hash").alias(hash_))
     gone = F.broadcast(gone) if fits_broadcast(gone, broadcast_rows) else gone.hint("shuffle_hash")
     own = documents.withColumns({id_: _key(documents)[0], hash_: _key(documents)[1]})
-    return own.join(gone, [id_, hash_], "left_anti").select(*documents.columns)
+    return own.join(gone, [id_, hash_], "left_anti").select(*own_columns(documents))

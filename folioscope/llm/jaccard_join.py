@@ -50,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, components, discard, fail_unless, fits_broadcast, free_names, remember, small_batches, spread, written
+from .common import LOWER_BYTES, components, discard, fail_unless, fits_broadcast, free_names, own_columns, remember, small_batches, spread, written
 
 SHINGLE = 3
 #: similarity as a fraction
@@ -585,4 +585,4 @@ def one_of_each(documents: DataFrame, like: Likeness = OWN, broadcast_keys: int
     if not repeated.isEmpty():  # else there is nothing to take out
         single = kept.join(sent(repeated), [id_, hash_], "left_anti")
         kept = single.unionByName(kept.join(sent(repeated), [id_, hash_], "left_semi").dropDuplicates([id_, hash_]))
-    return kept.select(*documents.columns)
+    return kept.select(*own_columns(documents))

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import free_names, small_batches, written
 
@@ -67,5 +68,7 @@ def scored(documents: DataFrame, score: Callable[[object, list[bytes]], np.ndarr
             values = pa.FixedSizeListArray.from_arrays(pa.array(np.asarray(got, np.float64).reshape(-1)), width).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, name])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
-    return documents.mapInArrow(run, f"{kept}, `{name}` array<double>"), name
+    plain = [f"c{k}" for k in range(len(documents.columns))]  # mapInArrow looks columns up by name, and names may hold anything
+    fields = [T.StructField(c, f.dataType) for c, f in zip(plain, documents.schema.fields)]
+    out = documents.toDF(*plain).mapInArrow(run, T.StructType([*fields, T.StructField(name, T.ArrayType(T.DoubleType()))]))
+    return out.toDF(*documents.columns, name), name

@@ -54,6 +54,10 @@ _HOPE = "is distributed in the hope that it will be useful, but WITHOUT ANY WARR
 RULES: dict[str, list[tuple[str, ...]]] = {
     "Apache-2.0": [
         ("Licensed under the Apache License, Version 2.0.",),
+        (
+            '"License" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document.',
+            '"Licensor" shall mean the copyright owner or entity authorized by the copyright owner that is granting the License.',
+        ),
         (
             'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
             "You may obtain a copy of the License at",
@@ -68,6 +72,7 @@ RULES: dict[str, list[tuple[str, ...]]] = {
     ],
     "AGPL-3.0": [
         ("This work is licensed under the GNU Affero General Public License, version 3.",),
+        ("The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software.",),
         ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",),
     ],
     "LGPL-2.1": [
@@ -75,11 +80,16 @@ RULES: dict[str, list[tuple[str, ...]]] = {
     ],
     "LGPL-3.0": [
         ("This work is licensed under the GNU Lesser General Public License, version 3.",),
+        ("This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below.",),
         ("This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",),
         ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",),
     ],
     "GPL-2.0": [
         ("This work is licensed under the GNU General Public License, version 2.",),
+        (
+            "The licenses for most software are designed to take away your freedom to share and change it.",
+            "By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users.",
+        ),
         ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",),
         ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",),
     ],
@@ -142,6 +152,11 @@ RULES: dict[str, list[tuple[str, ...]]] = {
     "EPL-2.0": [("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",)],
     "GPL-3.0": [
         ("This work is licensed under the GNU General Public License, version 3.",),
+        ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",),
+        (
+            "The GNU General Public License is a free, copyleft license for software and other kinds of works.",
+            "The licenses for most software and other practical works are designed to take away your freedom to share and change the works.",
+        ),
         (
             "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
             "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",

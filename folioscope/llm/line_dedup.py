@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fail_unless, fits_broadcast, free_names, written
+from .common import fail_unless, fits_broadcast, free_names, own_columns, written
 
 #: sites on which a line must stand to be boilerplate
 SITES = 10
@@ -137,4 +137,4 @@ def _cleaned(documents: DataFrame, marks: DataFrame, gone_at: str) -> DataFrame:
     out = marks.withColumn(clean, cleaned_text(gone_at))
     out = out.where(F.col(gone_at).isNull() | (F.trim(F.regexp_replace(clean, "\\s+", " ")) != ""))
     counted = {"n_chars": F.char_length(clean).cast(documents.schema["n_chars"].dataType)} if "n_chars" in documents.columns else {}
-    return out.withColumns({"text": F.col(clean), **counted}).select(*documents.columns)
+    return out.withColumns({"text": F.col(clean), **counted}).select(*own_columns(documents))

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fail_unless, remember
+from .common import fail_unless, own_columns, remember
 from .labelled import SAMPLE_ROWS, sample, scored
 
 BITS = 16
@@ -159,4 +159,4 @@ def quality(documents: DataFrame, labels: DataFrame, grade: int = 1) -> DataFram
 def selected(documents: DataFrame, labels: DataFrame, grade: int = 1) -> DataFrame:
     """The documents of the asked grade, with all their columns."""
     out, scores = rated(documents, ratings(labels), grade)
-    return out.where(F.col(scores)[1] >= 0.5).select(*documents.columns)
+    return out.where(F.col(scores)[1] >= 0.5).select(*own_columns(documents))

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -344,3 +345,12 @@ def test_clashing_names_in_filters(spark):
     own = df.selectExpr("*", "1 as scores", "2 as __scores", "3 as order")
     kept = quality.selected(own, labels_of(spark, labels))
     assert kept.columns == own.columns and kept.count() > 0
+
+
+@pytest.mark.parametrize("name, text", [
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n"),
+    ("GPL-3.0", "Preamble\n\n  The GNU General Public License is a free, copyleft license for\nsoftware and other kinds of works.\n\n  The licenses for most software and other practical works are designed\nto take away your freedom to share and change the works.  By contrast,\n"),
+    ("Apache-2.0", '1. Definitions.\n\n"License" shall mean the terms and conditions for use, reproduction,\nand distribution as defined by Sections 1 through 9 of this document.\n\n"Licensor" shall mean the copyright owner or entity authorized by\nthe copyright owner that is granting the License.\n'),
+])
+def test_openings_of_whole_licence_texts(spark, name, text):
+    assert license_scan.license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().licenses == name
