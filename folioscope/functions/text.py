@@ -26,7 +26,8 @@ def lines(text: Column) -> Column:
 
 
 def trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Without blanks around it; a run of blanks inside is looked at once, from its first."""
+    return F.regexp_replace(c, r"(?U)^\s+|(?<!\s)\s+$", "")
 
 
 HEADING = r"^(#{1,6}) (.*)$"
@@ -91,7 +92,22 @@ def without_code(text: Column) -> Column:
     return F.array_join(clean, "")
 
 
-WIKI_LINK = r"\[\[([^\]|]+)(?:\|([^\]]+))?\]\]"
+def links_between(pieces: Column) -> Column:
+    """The links of a text cut at each closing bracket: array of (target, label), label null without a bar.
+
+    A link ends where a piece is followed by an empty one that is not the last. It begins at the piece's first two opening
+    brackets that have a target behind them, and its target ends at the first bar: one step a piece, whatever
+    else is open.
+    """
+    following = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 2, F.lit(0)))
+
+    def link(piece: Column, after: Column) -> Column:
+        rest = F.substring(piece, F.regexp_instr(piece, F.lit(r"\[\[[^|]")) + 2, F.char_length(piece))
+        bar = F.instr(rest, F.lit("|"))
+        one = F.struct(F.when(bar == 0, rest).otherwise(F.substring(rest, F.lit(1), bar - 1)).alias("target"), F.when(bar > 0, F.substring(rest, bar + 1, F.char_length(rest))).alias("label"))
+        return F.when((after == "") & piece.rlike(r"\[\[[^|]") & ((bar == 0) | (bar < F.char_length(rest))), one)
+
+    return F.filter(F.zip_with(pieces, following, link), lambda m: m.isNotNull())
 
 
 def truncated(c: Column, n: int) -> Column:

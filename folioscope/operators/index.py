@@ -18,18 +18,16 @@ from . import chunking, fts
 SCHEMA_VERSION, INDEXER_VERSION = 3, "folioscope-index-v1"
 PREDICATE = "co_occurs_in_chunk"
 TABLES = ("documents", "chunks", "wiki_links", "entity_mentions", "postings")
+VECTOR_KEY = ["chunk_id", "provider", "model", "dimensions", "text_hash"]
 OF_DOCUMENT = {"documents": "id", "chunks": "document_id", "wiki_links": "source_document_id"}
 
 
 def wiki_links(pages: DataFrame) -> DataFrame:
     """source_document_id, ordinal, target_path, link_text, link_kind; code holds no links, duplicates are kept."""
     clean = pages.select("id", T.without_code(F.col("text")).alias("t"))
-    pattern = F.lit(T.WIKI_LINK)
-    both = F.arrays_zip(F.regexp_extract_all("t", pattern, F.lit(1)).alias("target"), F.regexp_extract_all("t", pattern, F.lit(2)).alias("label"))
-    rows = clean.select("id", F.posexplode(both).alias("ordinal", "m"))
-    target = T.link_target(F.col("m.target"))
-    # a missing label is the empty string here, and no label matches empty
-    label = F.when(F.col("m.label") != "", T.trimmed(F.col("m.label")))
+    pieces = clean.select("id", F.split("t", r"\]", -1).alias("pieces"))
+    rows = pieces.select("id", F.posexplode(T.links_between(F.col("pieces"))).alias("ordinal", "m"))
+    target, label = T.link_target(F.col("m.target")), T.trimmed(F.col("m.label"))
     return rows.select(F.col("id").alias("source_document_id"), F.col("ordinal").cast("long").alias("ordinal"), target.alias("target_path"), label.alias("link_text"), F.lit("wiki").alias("link_kind")).where("target_path <> ''")
 
 
@@ -130,6 +128,11 @@ class Index:
         return self.spark.read.parquet(f"{self.folder}/vectors") if fs.exists(path) else None
 
     def keep_vectors(self, rows: DataFrame) -> None:
+        """Store the rows that are not there yet: a chunk's text has one vector of a provider, model and size."""
+        stored = self.vectors()
+        rows = rows.dropDuplicates(VECTOR_KEY)
+        if stored is not None:
+            rows = rows.join(stored.select(*VECTOR_KEY), VECTOR_KEY, "left_anti")
         if not rows.isEmpty():
             rows.write.mode("append").parquet(f"{self.folder}/vectors")
 

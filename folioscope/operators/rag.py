@@ -157,7 +157,8 @@ def vectors(tables: dict[str, DataFrame], provider: EmbeddingProvider, cache: Da
         known = None
     else:
         own = cache.where((F.col("provider") == provider.name) & (F.col("model") == provider.model) & (F.col("dimensions") == provider.dimensions))
-        known = own.join(chunks.select("chunk_id", "text_hash"), ["chunk_id", "text_hash"], "left_semi").select("chunk_id", "text_hash", "vector")
+        # searches that ran at once may each have stored a chunk's vector; it is one row here
+        known = own.join(chunks.select("chunk_id", "text_hash"), ["chunk_id", "text_hash"], "left_semi").groupBy("chunk_id", "text_hash").agg(F.first("vector").alias("vector"))
         fresh = chunks.join(known, ["chunk_id", "text_hash"], "left_anti")
     made = fresh.select("chunk_id", "text_hash", embed_column(provider)("text").alias("vector"))
     row = made.withColumns({"provider": F.lit(provider.name), "model": F.lit(provider.model), "dimensions": F.lit(provider.dimensions), "created_at": F.unix_timestamp()})

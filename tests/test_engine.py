@@ -322,3 +322,19 @@ def test_finite_vectors_and_newest_of_equals(spark):
     assert got[:3] == [None] * 3 and abs(got[3] - 1) < 1e-9
     pages = spark.createDataFrame([(p, 5, "t") for p in ("notes/b.md", "notes/a.md", "ideas/z.md")], "path string, modified_at long, text string")
     assert overview.summary(pages).first()["newest"] == overview.newest_page(pages).first()["path"] == "ideas/z.md"
+
+
+def test_vectors_of_rewrites_are_stored_once(spark, root, tmp_path):
+    """A question of several rewrites on a fresh index stores a row for each chunk, and no later search loses a hit."""
+    own = index.Index(spark, str(tmp_path / "idx"))
+    own.refresh(tree.pages(tree.read_tree(spark, str(root))))
+    tables = own.tables()
+    n = tables["chunks"].count()
+    answer.ask(tables, "xylophone quartz zeppelin", rag.Options("", embedding=rag.DEFAULT_EMBEDDING, depth=0), cache=own.vectors(), keep=own.keep_vectors)
+    assert own.vectors().count() == n
+    _, fresh = rag.vectors(tables, rag.DEFAULT_EMBEDDING)
+    fresh.write.mode("append").parquet(f"{own.folder}/vectors")  # as a search at the same time would
+    own.keep_vectors(fresh)
+    assert own.vectors().count() == 2 * n
+    every, missing = rag.vectors(tables, rag.DEFAULT_EMBEDDING, own.vectors())
+    assert missing.isEmpty() and every.count() == n == rag.vector_signals(every, rag.DEFAULT_EMBEDDING.embed("cache"), "x", n).select("chunk_id").distinct().count()

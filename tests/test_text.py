@@ -127,3 +127,49 @@ def test_quotes_and_budgets():
     assert rag.to_budget("abcdef", 5) == "ab..." and rag.to_budget("abcdef", 3) == "abc" and rag.to_budget("abc", 3) == "abc"
     assert answer.rewrites("What is the CacheKey for x1?") == ["What is the CacheKey for x1?", "cachekey x1", "cachekey", "x1"]
     assert answer.endpoint_url("http://h/v1/") == "http://h/v1/chat/completions" == answer.endpoint_url("http://h")
+
+
+# what the library's linear forms must equal
+OLD_LINK = re.compile(r"\[\[([^\]|]+)(?:\|([^\]]+))?\]\]")
+OLD_PATH = re.compile(r"((?:[A-Za-z0-9_.-]+/)+[A-Za-z0-9_.-]+\.(?i:rs|go|toml|yaml|yml|json|md|csv)\b)")
+
+
+def test_links_equal_the_plain_pattern(spark):
+    import random
+
+    random.seed(5)
+    texts = ["".join(random.choice("[[]]||ab \n") for _ in range(random.randint(0, 40))) for _ in range(3000)] + ["[[a|]] [[|b]] [[[x]]] [[a [[b|c|d]]]", "]]", "[[a]]", "[[a]", "x"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", F.split("t", r"\]", -1).alias("p")).select("id", T.links_between(F.col("p")).alias("m"))
+    got = {r.id: [(m.target, m.label) for m in r.m] for r in rows.collect()}
+    assert got == {k: [(m[1], m[2]) for m in OLD_LINK.finditer(t)] for k, t in enumerate(texts)}
+
+
+def test_paths_equal_the_plain_pattern():
+    import random
+
+    from folioscope.operators import chunking
+
+    random.seed(6)
+    pattern = next(p for _, rule, _, p in chunking._RULES if rule == "rule:path")
+    parts = ["a", "b.rs", "/", "//", ".", "..", "-", "x.md", " ", "c.go", ".md", "é", "_"]
+    for _ in range(20_000):
+        text = "".join(random.choice(parts) for _ in range(random.randint(0, 14)))
+        assert [m.span(1) for m in pattern.finditer(text)] == [m.span(1) for m in OLD_PATH.finditer(text)], text
+
+
+def test_long_runs_take_linear_time(spark):
+    import time
+
+    from folioscope.operators import chunking, index
+
+    n = 1_000_000
+    rows = spark.createDataFrame([("blanks", "x" + " " * n + "y"), ("brackets", "[[" * (n // 2)), ("bars", "[[a|" * (n // 4))], "id string, text string")
+    rows.select(F.count("text")).collect()
+    began = time.perf_counter()
+    assert rows.where("id = 'blanks'").select(F.char_length(T.title(F.col("text"), F.lit("p.md"))), F.char_length(T.excerpt(F.col("text")))).collect()[0][0] == 1
+    assert index.wiki_links(rows.where("id <> 'blanks'")).count() == 0
+    assert time.perf_counter() - began < 10
+    began = time.perf_counter()
+    for text in ("a" * n, "a/" * (n // 2), "ab12_." * (n // 6), "- " * (n // 2) + "struct " * 1000):
+        chunking.extract_entities(text)
+    assert time.perf_counter() - began < 8
