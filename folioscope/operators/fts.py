@@ -63,13 +63,18 @@ def fts(posts: DataFrame, query: str) -> DataFrame | None:
     found = reduce(lambda a, b: a.join(b, "chunk_id"), hits).join(lengths, "chunk_id")
     facts = reduce(lambda a, b: a.join(F.broadcast(b), F.lit(True)), [total, *sizes])  # one row each
     found = found.join(F.broadcast(facts), F.lit(True))
+    of_word = [(F.col(f"f{k}"), F.col(f"n{k}")) for k in range(len(words))]
+    return found.select("chunk_id", bm25(of_word, F.col("total"), F.col("len"), F.col("mean")).alias("bm25"))
 
-    def part(k: int) -> Column:
-        n, f = F.col(f"n{k}"), F.col(f"f{k}")
-        idf = F.greatest(F.ln((F.col("total") - n + 0.5) / (n + 0.5)), F.lit(LEAST_IDF))
-        return idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.col("mean")))
 
-    return found.select("chunk_id", (-reduce(lambda a, b: a + b, [part(k) for k in range(len(words))])).alias("bm25"))
+def bm25(words: list[tuple[Column, Column]], total: Column, length: Column, mean: Column) -> Column:
+    """The score of a chunk of ``length`` tokens: words are (occurrences in it, chunks that hold the word); lower is better."""
+
+    def part(f: Column, n: Column) -> Column:
+        idf = F.greatest(F.ln((total - n + 0.5) / (n + 0.5)), F.lit(LEAST_IDF))
+        return idf * f * (K1 + 1) / (f + K1 * (1 - B + B * length / mean))
+
+    return -reduce(lambda a, b: a + b, [part(f, n) for f, n in words])
 
 
 def like(chunks: DataFrame, query: str) -> DataFrame:

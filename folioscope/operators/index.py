@@ -2,24 +2,45 @@
 
 from __future__ import annotations
 
-import json
 import uuid
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
-from folioscope.plans.tables import written
+from folioscope.plans.tables import discard, written
 
-from . import chunking, fts
+from . import chunking, fts, inverted
+from .store import Store, bucket_of
 
-# Kept with the index; another version means a rebuild.
-SCHEMA_VERSION, INDEXER_VERSION = 3, "folioscope-index-v1"
+# Kept with the index; another indexer means a rebuild, an older schema an upgrade.
+SCHEMA_VERSION, INDEXER_VERSION = 4, "folioscope-index-v1"
 PREDICATE = "co_occurs_in_chunk"
-TABLES = ("documents", "chunks", "wiki_links", "entity_mentions", "postings")
 VECTOR_KEY = ["chunk_id", "provider", "model", "dimensions", "text_hash"]
-OF_DOCUMENT = {"documents": "id", "chunks": "document_id", "wiki_links": "source_document_id"}
+SUPPORT = "support array<struct<confidence:double,n:bigint>>"
+#: the tables as they are stored; support holds how many mentions, or chunks, stand behind each confidence
+SCHEMAS = {
+    "documents": "id string, path string, title string, category string, sha256 string, modified_at long, indexed_at long, status string, doc_no long",
+    "chunks": "id string, document_id string, ordinal long, start_line long, end_line long, heading_path string, text string, text_hash string, doc_no long",
+    "wiki_links": "source_document_id string, ordinal long, target_path string, link_text string, link_kind string",
+    "entity_mentions": "id string, entity_id string, chunk_id string, surface string, start_pos long, end_pos long, start_line long, end_line long, extractor string, confidence double, entity_type string, canonical_name string",
+    "relation_evidence": "relation_id string, chunk_id string, quote string, start_line long, end_line long",
+    "entities": f"id string, canonical_name string, entity_type string, aliases array<string>, confidence double, status string, {SUPPORT}",
+    "relations": f"id string, subject_entity_id string, predicate string, object_entity_id string, confidence double, extractor string, status string, {SUPPORT}",
+    "inverted": inverted.SCHEMA,
+    "gone": inverted.GONE,
+}
+#: tables of which each row belongs to one document
+OF_DOCUMENT = {"documents": "id", "chunks": "document_id", "wiki_links": "source_document_id", "entity_mentions": None, "relation_evidence": None}
+#: documents for each bucket of a new index, and its fewest and most buckets
+DOCUMENTS_PER_BUCKET, BUCKETS = 50_000, (64, 16_384)
+
+
+def document_of(table: str) -> Column:
+    name = OF_DOCUMENT[table]
+    return F.col(name) if name else F.regexp_replace("chunk_id", r":chunk:\d+$", "")
 
 
 def wiki_links(pages: DataFrame) -> DataFrame:
@@ -91,40 +112,73 @@ def plan(pages: DataFrame, stored: DataFrame) -> DataFrame:
     return new.join(old, "path", "full_outer").select(F.coalesce("new_id", "old_id").alias("id"), "path", status.alias("status"))
 
 
+class Tables(dict):
+    """Tables by name; ``inverted`` is the full text on disk, where there is one."""
+
+    inverted: inverted.Inverted | None = None
+
+
+def merged_support(old: DataFrame, delta: DataFrame, key: list[str]) -> DataFrame:
+    """(key, confidence, support): the counts by confidence of old (key, support) and delta (key, confidence, n) added up, keys without any left out."""
+    rows = old.select(*key, F.explode("support").alias("s")).select(*key, "s.confidence", "s.n").unionByName(delta.select(*key, "confidence", "n"))
+    rows = rows.groupBy(*key, "confidence").agg(F.sum("n").alias("n")).where("n > 0")
+    rows = rows.groupBy(*key).agg(F.max("confidence").alias("confidence"), F.array_sort(F.collect_list(F.struct("confidence", "n"))).alias("support"))
+    return rows
+
+
+def entity_delta(mentions: DataFrame, sign: int) -> DataFrame:
+    return mentions.groupBy(F.col("entity_id").alias("id"), "canonical_name", "entity_type", "confidence").agg((F.count("*") * sign).alias("n"))
+
+
+def relation_delta(mentions: DataFrame, sign: int) -> DataFrame:
+    return cooccurrence(mentions).groupBy("subject_entity_id", "object_entity_id", "confidence").agg((F.count("*") * sign).alias("n"))
+
+
 class Index:
-    """Tables below a folder that all nodes share; each refresh writes a new generation and then points to it.
+    """The index below a folder that all nodes share.
 
-    Until the pointer is written, readers see the generation before; a refresh that fails leaves it as it is.
+    Tables of documents lie in buckets by document, entities and relations in buckets by their own ids; a refresh rewrites
+    the buckets in which a document, an entity or a relation changed. Entities and relations carry the counts behind
+    each confidence, to which a refresh adds what came and what went: nothing else is read for them. Full text is
+    kept as segments (inverted.py).
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-
-    def _file(self, name: str):  # noqa: ANN202
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+    def __init__(self, spark: SparkSession, folder: str, buckets: int | None = None):
+        self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
+        self.store = Store(spark, folder, SCHEMAS)
 
     def meta(self) -> dict | None:
-        fs, path = self._file("current.json")
-        if not fs.exists(path):
-            return None
-        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.folder}/current.json").collect()))
+        return self.store.manifest()
 
     def exists(self) -> bool:
         return self.meta() is not None
 
-    def tables(self) -> dict[str, DataFrame]:
+    def opened(self) -> dict | None:
+        """The manifest, upgraded if its schema is older; an error if it is newer."""
         meta = self.meta()
+        if meta and meta["schema_version"] > SCHEMA_VERSION:
+            raise ValueError(f"the index has the newer schema {meta['schema_version']}")
+        while meta and meta["schema_version"] < SCHEMA_VERSION:
+            if meta["schema_version"] not in UPGRADES:
+                return None  # too old to be read: built anew
+            meta = UPGRADES[meta["schema_version"]](self, meta)
+        return meta
+
+    def tables(self) -> Tables:
+        meta = self.opened()
         if meta is None:
             raise FileNotFoundError(f"no index in {self.folder}; run the index command first")
-        if meta["schema_version"] > SCHEMA_VERSION:
-            raise ValueError(f"the index has the newer schema {meta['schema_version']}")
-        return derived({t: self.spark.read.parquet(f"{self.folder}/{meta['generation']}/{t}") for t in TABLES})
+        out = Tables({t: self.store.read(t, meta["tables"][t]) for t in (*OF_DOCUMENT, "entities", "relations")})
+        out.inverted = inverted.Inverted(self.store, meta)
+        chunks = out["chunks"]
+        out["documents"], out["chunks"] = out["documents"].drop("doc_no"), chunks.drop("doc_no")
+        out["entities"], out["relations"] = out["entities"].drop("support"), out["relations"].drop("support")
+        out["postings"] = fts.postings(chunks)  # all of them, from the texts; searches take what ``inverted`` stores
+        return out
 
     def vectors(self) -> DataFrame | None:
         """The cache of embedded chunks, which outlives generations; rows of other texts are passed over by their hash."""
-        fs, path = self._file("vectors")
+        fs, path = self.store.file("vectors")
         return self.spark.read.parquet(f"{self.folder}/vectors") if fs.exists(path) else None
 
     def keep_vectors(self, rows: DataFrame) -> None:
@@ -138,48 +192,130 @@ class Index:
 
     def refresh(self, pages: DataFrame, chunk_chars: int = chunking.DEFAULT_CHARS, rebuild: bool = False) -> dict[str, int]:
         """Bring the tables to pages; only changed pages are parsed. Returns counts by status and of rows."""
-        meta = self.meta()
-        if meta and meta["schema_version"] > SCHEMA_VERSION:
-            raise ValueError(f"the index has the newer schema {meta['schema_version']}")
-        forced = rebuild or meta is None or meta["indexer"] != INDEXER_VERSION or meta["chunk_chars"] != chunk_chars
+        meta = self.opened()
+        if rebuild or meta is None or meta["indexer"] != INDEXER_VERSION or meta["chunk_chars"] != chunk_chars:
+            old = self.meta()
+            fresh = self._parsed(pages, chunk_chars, 0)
+            found = self._apply(None, fresh, None, chunk_chars)
+            n = found["rows"]["documents"]
+            return {"updated": 0, "unchanged": 0, "removed": old["rows"]["documents"] if old else 0, "added": n, "scanned": n, **found["rows"]}
+        steps = written(plan(pages, self.store.read("documents", meta["tables"]["documents"]).select("id", "path", "sha256")), "plan")
+        counts = {"added": 0, "updated": 0, "unchanged": 0, "removed": 0} | {r["status"]: r["count"] for r in steps.groupBy("status").count().collect()}
+        scanned = counts["added"] + counts["updated"] + counts["unchanged"]
+        if scanned == counts["unchanged"] and not counts["removed"]:
+            return counts | {"scanned": scanned, **meta["rows"]}
+        new = steps.where("status in ('added', 'updated')").select("id")
+        fresh = self._parsed(pages.join(new, "id", "left_semi"), chunk_chars, meta["next_doc"])
+        found = self._apply(meta, fresh, steps.where("status <> 'unchanged'").select("id", "status"), chunk_chars)
+        return counts | {"scanned": scanned, **found["rows"]}
+
+    def _parsed(self, pages: DataFrame, chunk_chars: int, first: int) -> dict[str, DataFrame]:
+        """The tables of documents over pages, which are numbered from ``first``."""
+        pages = numbered(pages, first)
+        chunks = written(chunking.chunks(pages, chunk_chars), "chunks")
+        documents = pages.drop("text").withColumns({"indexed_at": F.unix_timestamp(), "status": F.lit("indexed")})
+        return self._with_entities({"documents": documents, "chunks": chunks, "wiki_links": wiki_links(pages)})
+
+    def _with_entities(self, fresh: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        mentions = written(fresh.get("entity_mentions", chunking.mentions(fresh["chunks"])), "mentions")
+        return fresh | {"entity_mentions": mentions, "relation_evidence": relation_evidence(cooccurrence(mentions), fresh["chunks"])}
+
+    def _apply(self, meta: dict | None, fresh: dict[str, DataFrame], changed: DataFrame | None, chunk_chars: int) -> dict:
+        """Write the buckets that fresh documents and changed ones (id, status) touch, and point to them."""
         generation = f"generation-{uuid.uuid4().hex}"
-        if forced:
-            removed = self.spark.read.parquet(f"{self.folder}/{meta['generation']}/documents").count() if meta else 0
-            tables, counts = build(pages, chunk_chars, True), {"updated": 0, "unchanged": 0, "removed": removed}
-            counts["added"] = -1
+        before = self.meta()
+        if meta is None:
+            n = fresh["documents"].count()
+            buckets = self.buckets or min(BUCKETS[1], max(BUCKETS[0], -(-n // DOCUMENTS_PER_BUCKET)))
+            tables = {t: {} for t in (*OF_DOCUMENT, "entities", "relations", "gone")}
+            meta = {"buckets": buckets, "tables": tables, "segments": [], "gone": 0, "next_doc": 0, "chunks": 0, "tokens": 0, "rows": dict.fromkeys((*OF_DOCUMENT, "entities", "relations"), 0)}
+            touched, gone = None, None
         else:
-            old = {t: self.spark.read.parquet(f"{self.folder}/{meta['generation']}/{t}") for t in TABLES}
-            steps = written(plan(pages, old["documents"]), "plan")
-            counts = {"added": 0, "updated": 0, "unchanged": 0, "removed": 0} | {r["status"]: r["count"] for r in steps.groupBy("status").count().collect()}
-            if not counts["added"] + counts["updated"] + counts["removed"]:
-                return counts | {"scanned": counts["unchanged"], **meta["rows"]}
-            fresh = build(pages.join(steps.where("status in ('added', 'updated')").select("id"), "id", "left_semi"), chunk_chars, True)
-            gone = steps.where("status in ('updated', 'removed')").select(F.col("id").alias("gone_id"))
-            tables = {}
-            for t in TABLES:
-                of = F.col(OF_DOCUMENT[t]) if t in OF_DOCUMENT else F.regexp_replace("chunk_id", r":chunk:\d+$", "")
-                tables[t] = old[t].join(gone, of == F.col("gone_id"), "left_anti").unionByName(fresh[t].select(*old[t].columns))
-
-        def store(t: str) -> int:
-            tables[t].write.parquet(f"{self.folder}/{generation}/{t}")
-            return self.spark.read.parquet(f"{self.folder}/{generation}/{t}").count()
-
-        with ThreadPoolExecutor(len(TABLES)) as pool:  # jobs of a few stages each; together they fill the cluster
-            rows = dict(zip(TABLES, pool.map(store, TABLES)))
-        if counts.get("added") == -1:
-            counts["added"] = rows["documents"]
-        self._point({"generation": generation, "schema_version": SCHEMA_VERSION, "indexer": INDEXER_VERSION, "chunk_chars": chunk_chars, "rows": rows})
-        return counts | {"scanned": rows["documents"], **rows}
-
-    def _point(self, meta: dict) -> None:
-        fs, path = self._file("current.json")
-        _, staged = self._file("current.json.new")
-        out = fs.create(staged, True)
-        out.write(bytearray(json.dumps(meta).encode()))
-        out.close()
-        # one step, so that there is a pointer at any time
-        jvm = self.spark.sparkContext._jvm
-        over = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        whole = lambda p: fs.makeQualified(p)
-        jvm.org.apache.hadoop.fs.FileContext.getFileContext(whole(path).toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(whole(staged), whole(path), over)
+            buckets = meta["buckets"]
+            touched = sorted(r[0] for r in changed.select(bucket_of(F.col("id"), buckets)).distinct().collect())  # one for each bucket at most
+            gone = written(changed.where("status in ('updated', 'removed')").select(F.col("id").alias("gone_id")), "gone-pages")
+        tables, rows = dict(meta["tables"]), dict(meta["rows"])
+
+        def lost(t: str) -> DataFrame:
+            return self.store.read(t, meta["tables"][t], touched).join(gone, document_of(t) == F.col("gone_id"), "left_semi")
+
+        def merge(t: str, old: DataFrame, new: Callable[[DataFrame], DataFrame], key: Column, own: list[int] | None) -> None:
+            at = self.store.write(new(old), generation, t, bucket_of(key, buckets), buckets)
+            left = {} if own is None else {b: g for b, g in meta["tables"][t].items() if int(b) not in own}
+            tables[t] = left | at
+            rows[t] = rows[t] - old.count() + self.store.read(t, at).count()
+
+        def of_documents(t: str) -> None:
+            old = self.store.read(t, meta["tables"][t], touched)
+            kept = lambda df: df if gone is None else df.join(gone, document_of(t) == F.col("gone_id"), "left_anti")
+            merge(t, old, lambda df: kept(df).unionByName(fresh[t].select(*df.columns)), document_of(t), touched)
+
+        def of_keys(t: str, delta: Callable[[DataFrame, int], DataFrame], key: list[str], id_: Column, made: Callable[[DataFrame], DataFrame]) -> None:
+            change = delta(fresh["entity_mentions"], 1)
+            if gone is not None:
+                change = change.unionByName(delta(lost("entity_mentions"), -1))
+                change = change.groupBy(*key, "confidence").agg(F.sum("n").alias("n")).where("n <> 0")
+            change = written(change, f"{t}-delta")
+            own = None if touched is None else sorted(r[0] for r in change.select(bucket_of(id_, buckets)).distinct().collect())
+            if own == []:
+                return
+            merge(t, self.store.read(t, meta["tables"][t], own), lambda df: made(merged_support(df, change, key)).select(*df.columns), F.col("id"), own)
+            discard(change)
+
+        def full_text() -> dict:
+            chunks, text = fresh["chunks"], {"segments": list(meta["segments"]), "gone": meta["gone"], "chunks": meta["chunks"], "tokens": meta["tokens"]}
+            if gone is not None:
+                numbers = self.store.read("documents", meta["tables"]["documents"], touched).join(gone, F.col("id") == F.col("gone_id"), "left_semi").select("doc_no")
+                at = self.store.write(numbers, generation, "gone", F.lit(len(meta["tables"]["gone"])), 1)
+                tables["gone"] = meta["tables"]["gone"] | at
+                text["gone"] += self.store.read("gone", at).count()
+                size = F.size(fts.tokens(F.col("text"))) + F.size(fts.tokens(F.col("heading_path")))
+                less = lost("chunks").select(size.alias("n")).agg(F.count_if(F.col("n") > 0).alias("chunks"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
+                text["chunks"], text["tokens"] = text["chunks"] - less["chunks"], text["tokens"] - less["tokens"]
+            documents = fresh["documents"].count()
+            if documents:
+                at = inverted.write(self.store, chunks, generation, documents)
+                more = inverted.size(self.store, chunks, at)
+                text["chunks"], text["tokens"] = text["chunks"] + more[0], text["tokens"] + more[1]
+                text["segments"].append({"at": at, "documents": documents})
+            return text
+
+        jobs: list[Callable[[], object]] = [lambda t=t: of_documents(t) for t in OF_DOCUMENT]
+        jobs.append(lambda: of_keys("entities", entity_delta, ["id", "canonical_name", "entity_type"], F.col("id"), lambda df: df.withColumns({"aliases": F.array().cast("array<string>"), "status": F.lit("candidate")})))
+        jobs.append(lambda: of_keys("relations", relation_delta, ["subject_entity_id", "object_entity_id"], relation_id(), lambda df: df.withColumns({"id": relation_id(), "predicate": F.lit(PREDICATE), "extractor": F.lit("rule:chunk-cooccurrence"), "status": F.lit("candidate")})))
+        jobs.append(full_text)
+        with ThreadPoolExecutor(len(jobs)) as pool:  # jobs of a few stages each; together they fill the cluster
+            text = [f.result() for f in [pool.submit(j) for j in jobs]][-1]
+        top = fresh["documents"].agg(F.max("doc_no")).first()[0]
+        out = {"generation": generation, "schema_version": SCHEMA_VERSION, "indexer": INDEXER_VERSION, "chunk_chars": chunk_chars, "buckets": buckets, "tables": tables, "rows": rows, "next_doc": meta["next_doc"] if top is None else top + 1, **text}
+        out = inverted.merged(self.store, out, generation)
+        self.store.point(out)
+        self.store.expire(out, before if before and "segments" in before else None)
+        return out
+
+
+def numbered(pages: DataFrame, first: int) -> DataFrame:
+    """pages with doc_no, whole numbers from ``first`` without gaps; pages are written, so that numbers stay."""
+    rows = written(pages.withColumn("at", F.monotonically_increasing_id()), "pages")
+    part = F.shiftright("at", 33)  # the task that wrote the row, and below it the row's place in the task
+    sizes = sorted((r[0], r[1]) for r in rows.groupBy(part).count().collect())  # a row for each task
+    starts, n = [], first
+    for p, size in sizes:
+        starts.append((p, n))
+        n += size
+    offsets = pages.sparkSession.createDataFrame(starts, "part long, start long")
+    out = rows.withColumn("part", part).join(F.broadcast(offsets), "part")  # as many rows as tasks
+    return out.withColumn("doc_no", F.col("start") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).drop("part", "start", "at")
+
+
+def _from_3(own: Index, meta: dict) -> dict:
+    """Version 3 had whole tables in one folder, and postings by chunk; pages are not parsed again."""
+    flat = {t: own.spark.read.parquet(f"{own.folder}/{meta['generation']}/{t}") for t in ("documents", "chunks", "wiki_links", "entity_mentions")}
+    documents = numbered(flat["documents"], 0)
+    numbers = documents.select(F.col("id").alias("document_id"), "doc_no")
+    fresh = {"documents": documents, "chunks": written(flat["chunks"].join(numbers, "document_id"), "chunks"), "wiki_links": flat["wiki_links"], "entity_mentions": flat["entity_mentions"]}
+    return own._apply(None, own._with_entities(fresh), None, meta["chunk_chars"])
+
+
+#: steps from a schema to a newer one
+UPGRADES: dict[int, Callable[[Index, dict], dict]] = {3: _from_3}

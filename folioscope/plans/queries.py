@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,11 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
 from folioscope.functions.embedding import cosine
-from folioscope.operators import chunking, fts, graph, index, overview, rag, search, spec
+from folioscope.operators import chunking, fts, graph, index, inverted, overview, rag, search, spec
+from folioscope.operators.store import Store
 
 from .projection import markdown, raw
-from .tables import table, written
+from .tables import shared_folder, table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -177,6 +179,42 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.orderBy("bm25", "chunk_id").limit(50).select("chunk_id", F.round("bm25", 6).alias("bm25"))
 
 
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A folder in the shared one that goes as the application ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return path
+
+
+@query
+def bm25_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of bm25_topk, by a stored segment of full text."""
+    pages = index.numbered(raw(spark, sf_dir).select("id", "text"), 0)
+    chunks = pages.select("doc_no", F.lit(0).cast("long").alias("ordinal"), "text", F.lit("").alias("heading_path"))
+    store = Store(spark, own_folder(spark, "full-text"), index.SCHEMAS)
+    at = inverted.write(store, chunks, "generation-0", pages.count())
+    n, tokens = inverted.size(store, chunks, at)
+    found = inverted.Inverted(store, {"segments": [{"at": at}], "gone": 0, "tables": {}, "chunks": n, "tokens": tokens}).fts("worthless clown")
+    best = found.join(pages.select(F.col("id").alias("chunk_id"), "doc_no"), "doc_no").orderBy("bm25", "chunk_id").limit(50)
+    return best.select("chunk_id", F.round("bm25", 6).alias("bm25"))
+
+
+@query
+def index_after_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities with their counted mentions in an index of all pages but the French, with other Spanish ones, that is brought to all but the German."""
+    own = index.Index(spark, own_folder(spark, "index"))
+    langs = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), "doc_id", F.lit(".md")).alias("name"), "lang")
+    of = lambda pages: pages.withColumn("name", F.element_at(F.split("path", "/"), -1)).join(langs, "name").drop("name")
+    now, bare = of(markdown(spark, sf_dir)), of(raw(spark, sf_dir))
+    own.refresh(now.where("lang not in ('fr', 'es')").unionByName(bare.where("lang = 'es'")).drop("lang"))
+    own.refresh(now.where("lang <> 'de'").drop("lang"))
+    rows = own.store.read("entities", own.meta()["tables"]["entities"])
+    return rows.select("id", "canonical_name", "entity_type", "confidence", F.aggregate("support", F.lit(0).cast("long"), lambda a, s: a + s["n"]).alias("mentions"))
+
+
 @query
 def like_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fts.like(as_chunks(raw(spark, sf_dir)), "tr_sh%moron").select("id", F.char_length("text").cast("long").alias("n"))
