@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
-from folioscope.plans.tables import written
+from folioscope.plans.tables import discard, written
 
 MOST_DEPTH = 8
 
@@ -156,17 +156,26 @@ def entity_neighbors(relations: DataFrame, evidence: DataFrame, entities: DataFr
     return rows.orderBy("neighbor_id", "direction", "predicate").limit(limit) if limit else rows
 
 
-def has_cycle(dependencies: DataFrame) -> bool:
-    """Whether (a depends on b) runs in a circle: leaves are peeled until none is left."""
-    left = written(dependencies.select("a", "b").where("a <> b").distinct(), "peeled")
+def cyclic(edges: DataFrame, group: str) -> DataFrame:
+    """The groups (one column) whose edges (group, a, b) run in a circle, all groups at once; an edge to itself is none.
+
+    Edges to nodes that lead nowhere and from nodes that nothing leads to are peeled off: what no round shortens lies on circles
+    or between them. The rounds are half the edges of the longest way in any one group, however many groups there are.
+    """
+    left = written(edges.select(group, "a", "b").where("a <> b").distinct(), "peeled")
     n = left.count()
     while n:
-        rest = written(left.join(left.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"), "peeled")
+        to_open = left.join(left.select(group, F.col("a").alias("b")).distinct(), [group, "b"], "left_semi")
+        rest = written(to_open.join(left.select(group, F.col("b").alias("a")).distinct(), [group, "a"], "left_semi").select(group, "a", "b"), "peeled")
         m = rest.count()
-        if m == n:
-            return True
-        left, n = rest, m
-    return False
+        discard(left)
+        left, n = rest, m if m < n else 0
+    return left.select(group).distinct()
+
+
+def has_cycle(dependencies: DataFrame) -> bool:
+    """Whether (a depends on b) runs in a circle."""
+    return not cyclic(dependencies.select(F.lit(0).alias("graph"), "a", "b"), "graph").isEmpty()
 
 
 def export(pages: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -102,12 +102,10 @@ def missing(refs: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def cycles(refs: DataFrame, code: str) -> DataFrame:
-    """Changes whose references (change_id, id, ref) run in a circle."""
-    from .graph import has_cycle
+    """Changes whose references (change_id, id, ref) run in a circle, found for all changes at once."""
+    from .graph import cyclic
 
-    changes = [r[0] for r in refs.select("change_id").distinct().collect()]  # changes, not documents
-    found = [(c,) for c in changes if has_cycle(refs.where(F.col("change_id") == c).select(F.col("id").alias("a"), F.col("ref").alias("b")))]
-    return issue(refs.sparkSession.createDataFrame(found, "change_id string"), code)
+    return issue(cyclic(refs.select("change_id", F.col("id").alias("a"), F.col("ref").alias("b")), "change_id"), code)
 
 
 def coverage_gaps(req: DataFrame, task: DataFrame, matrix: DataFrame) -> DataFrame:
@@ -332,10 +330,3 @@ def archive(root: str, change: str) -> dict:
     target.parent.mkdir(parents=True, exist_ok=True)
     os.replace(source, target)
     return {"schemaVersion": VERSION, "command": "sdd.archive", "status": "archived"}
-
-
-def fixture(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """A small change with one uncovered condition and one that is missing in the matrix."""
-    req = [("c1", "REQ-1", "must", "proposed", ["AC-1", "AC-2"], []), ("c1", "REQ-2", "should", "proposed", ["AC-3"], ["REQ-1"]), ("c1", "REQ-3", "MUST", "proposed", ["AC-4"], [])]
-    task = [("c1", "TASK-1", "must", "done", "code", ["REQ-1"], ["AC-1"], [], None, None, None, True), ("c1", "TASK-2", "must", "dropped", "code", ["REQ-1"], ["AC-2"], [], None, None, "x", True), ("c1", "TASK-3", "must", "done", "code", ["REQ-3"], ["AC-4"], [], None, None, None, True)]
-    return spark.createDataFrame(req, REQUIREMENTS), spark.createDataFrame(task, TASKS), spark.createDataFrame([("c1", "REQ-1", "AC-1", "TASK-1"), ("c1", "REQ-1", "AC-2", "TASK-2")], COVERAGE)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .changes import CIRCLES, GAPS, RULES, rules_sql
 from .projection import markdown_sql, raw_sql
 
 
@@ -156,7 +157,7 @@ SELECT chunk_id, substr(chunk_id, 5) AS path, 'Doc ' || regexp_extract(chunk_id,
     "embedding_cache": f"WITH {RAW} SELECT 'doc:' || path AS chunk_id, 'local-hash' AS provider, 'token-ngram-v1' AS model, 384::BIGINT AS size FROM raw WHERE doc_id % 3 <> 0",
     "log_tail": """WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS entry, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
 SELECT CAST(conv_id AS VARCHAR) AS path, entry, '## [' || turn || '] ' || role || chr(10) || CASE WHEN entry = n THEN regexp_replace(t, '\\r?\\n$', '') ELSE t END AS body FROM c WHERE entry > n - 2""",
-    "spec_coverage_gaps": "SELECT * FROM (VALUES ('c1', 'UNCOVERED', 'REQ-1 AC-2'), ('c1', 'NOT_IN_MATRIX', 'REQ-3 AC-4')) v(change_id, code, message)",
-    "spec_cycles": """WITH RECURSIVE e(name, a, b) AS (VALUES ('line', 'A', 'B'), ('line', 'B', 'C'), ('line', 'C', 'D'), ('ring', 'A', 'B'), ('ring', 'B', 'C'), ('ring', 'C', 'A'), ('ring', 'D', 'A')),
-w AS (SELECT name, a, b FROM e UNION SELECT w.name, w.a, e.b FROM w JOIN e ON e.name = w.name AND e.a = w.b) SELECT name, bool_or(a = b) AS cyclic FROM w GROUP BY name""",
+    "spec_coverage_gaps": rules_sql(GAPS),
+    "spec_cycles": rules_sql(CIRCLES),
+    "spec_issues": rules_sql(RULES),
 }

@@ -13,6 +13,7 @@ from folioscope.functions.embedding import cosine
 from folioscope.operators import chunking, fts, graph, index, inverted, overview, rag, search, spec
 from folioscope.operators.store import Store
 
+from . import changes
 from .projection import markdown, raw
 from .tables import shared_folder, table, written
 
@@ -383,12 +384,29 @@ def embedding_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fresh.select("chunk_id", "provider", "model", F.size("vector").cast("long").alias("size"))
 
 
+def change_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
+    """The files of all changes and the tables parsed out of them, each stored: the rules read them many times."""
+    files = written(changes.files(spark, sf_dir), "files")
+    return files, *(written(parse(files), "parsed") for parse in (spec.requirements, spec.tasks, spec.coverage, spec.evidence_ids))
+
+
 @query
 def spec_coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spec.coverage_gaps(*spec.fixture(spark))
+    _, req, task, matrix, _ = change_tables(spark, sf_dir)
+    return spec.coverage_gaps(req, task, matrix)
 
 
 @query
 def spec_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("line", graph.has_cycle(spark.createDataFrame([("A", "B"), ("B", "C"), ("C", "D")], "a string, b string"))), ("ring", graph.has_cycle(spark.createDataFrame([("A", "B"), ("B", "C"), ("C", "A"), ("D", "A")], "a string, b string")))]
-    return spark.createDataFrame(rows, "name string, cyclic boolean")
+    """The changes whose requirements, or whose tasks, depend on each other in a circle."""
+    files = changes.files(spark, sf_dir)
+    refs = lambda parse: parse(files).select("change_id", "id", F.explode("dependencies").alias("ref"))
+    return spec.cycles(refs(spec.requirements), "REQUIREMENT_CYCLE").unionByName(spec.cycles(refs(spec.tasks), "SDD_TASK_DEPENDENCY_CYCLE"))
+
+
+@query
+def spec_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything that the rules find in all changes, and the tasks that are not finished."""
+    files, req, task, matrix, evidence = change_tables(spark, sf_dir)
+    unfinished = spec.issue(spec.unfinished(task), "UNFINISHED", F.col("id"))
+    return spec.structure_issues(files).unionByName(spec.issues(req, task, matrix, evidence)).unionByName(unfinished).distinct()

@@ -338,3 +338,11 @@ def test_vectors_of_rewrites_are_stored_once(spark, root, tmp_path):
     assert own.vectors().count() == 2 * n
     every, missing = rag.vectors(tables, rag.DEFAULT_EMBEDDING, own.vectors())
     assert missing.isEmpty() and every.count() == n == rag.vector_signals(every, rag.DEFAULT_EMBEDDING.embed("cache"), "x", n).select("chunk_id").distinct().count()
+
+
+def test_circles_of_all_groups_at_once(spark):
+    ways = {"line": ["ab", "bc", "cd"], "ring": ["ab", "bc", "ca", "da", "ae", "ef"], "self": ["aa", "ab"], "two": ["ab", "ba", "bc", "cd", "dc"], "twice": ["ab", "ab"], "long": [f"{chr(97 + k)}{chr(98 + k)}" for k in range(9)] + ["ja"]}
+    edges = spark.createDataFrame([(g, e[0], e[1]) for g, es in ways.items() for e in es] + [("none", None, "a"), ("none", "a", None)], "g string, a string, b string")
+    assert {r.g for r in graph.cyclic(edges, "g").collect()} == {"ring", "two", "long"}
+    assert graph.cyclic(edges.where("false"), "g").collect() == []
+    assert graph.has_cycle(edges.where("g = 'ring'")) and not graph.has_cycle(edges.where("g = 'line'"))
