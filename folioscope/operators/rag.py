@@ -19,7 +19,7 @@ from folioscope.plans.tables import written
 from . import fts, graph
 
 # Caps and boosts of retrieval, and its stop words.
-MOST_HITS, RECALL, MOST_TERMS, MOST_VECTORS = 100, (20, 500), 8, 5000
+MOST_HITS, RECALL, MOST_TERMS = 100, (20, 500), 8
 PAGE_CHUNKS, SCOPES, SCOPE_CHUNKS = 4, 64, 8
 SUBSTRING, PAGE_BOOST, MENTION, RELATED, MOST_GRAPH = 0.82, 0.36, 0.28, 0.20, 0.60
 CONTEXT_CHARS, MOST_CONTEXT = 8000, 50_000
@@ -77,7 +77,7 @@ class Options:
     regex: bool = False
     embedding: EmbeddingProvider | None = None
     weights: Weights = field(default_factory=Weights)
-    most_vectors: int | None = MOST_VECTORS  # of the first chunks by id; none for all
+    most_vectors: int | None = None  # of the first chunks by id; all, if not given
 
 
 def recall_limit(limit: int) -> int:
@@ -169,8 +169,9 @@ def vectors(tables: dict[str, DataFrame], provider: EmbeddingProvider, cache: Da
     return made if known is None else known.unionByName(made), row
 
 
-def vector_signals(all_vectors: DataFrame, query_vector: list[float], label: str, limit: int, cap: int | None = MOST_VECTORS) -> DataFrame:
-    rows = all_vectors.orderBy("chunk_id").limit(cap) if cap else all_vectors
+def vector_signals(all_vectors: DataFrame, query_vector: list[float], label: str, limit: int, cap: int | None = None) -> DataFrame:
+    """The chunks nearest to the query, of all vectors or of the first ``cap`` by chunk id."""
+    rows = all_vectors.orderBy("chunk_id").limit(cap) if cap is not None else all_vectors
     value = cosine(F.col("vector"), F.array(*map(F.lit, query_vector)).cast("array<float>"))
     rows = rows.select("chunk_id", value.alias("sim")).where("sim is not null").orderBy(F.desc("sim"), "chunk_id").limit(limit)
     return rows.select("chunk_id", F.lit(label).alias("reason"), F.lit("vector").alias("kind"), F.greatest(F.lit(0.0), "sim").alias("boost"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from folioscope.operators.search import EXCERPT_CHARS
+
 from .changes import CIRCLES, GAPS, RULES, rules_sql
 from .projection import markdown_sql, raw_sql
 
@@ -83,6 +85,27 @@ of_ AS (SELECT DISTINCT scopes.id, document_id, reason, boost FROM scopes JOIN m
 SELECT document_id AS chunk_id, reason, 'graph' AS kind, boost FROM of_ QUALIFY row_number() OVER (PARTITION BY id ORDER BY document_id) <= 8"""
 
 
+# chunks line by line: the state is the open chunk (its size, lines, and where its last line that is not blank ends), e_ what a step closes
+CHUNKS = f"""{MD}, l AS (SELECT 'doc:' || path AS doc, {LINES} AS lines FROM md),
+ln AS (SELECT doc, k, length(lines[k]) + 1 AS cost, NOT regexp_matches(lines[k], '\\S') AS blank, regexp_matches(lines[k], '^\\s*#{{1,6}} ') AS head FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS k FROM l)),
+w(doc, k, size, held, chars, last_line, last_chars, e_line, e_chars) AS (
+  SELECT DISTINCT doc, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT FROM ln UNION ALL
+  SELECT doc, k, CASE WHEN shut THEN 0 ELSE size END, CASE WHEN shut THEN 0 ELSE held END, CASE WHEN shut THEN 0 ELSE chars END, CASE WHEN NOT shut THEN last_line END, CASE WHEN NOT shut THEN last_chars END,
+    CASE WHEN shut THEN last_line ELSE e_line END, CASE WHEN shut THEN last_chars ELSE e_chars END FROM (
+    SELECT *, blank AND held > 1 AND size >= 600 AS shut FROM (
+      SELECT doc, k, blank, s.size + cost AS size, s.held + 1 AS held, s.chars + cost AS chars, CASE WHEN blank THEN s.last_line ELSE k END AS last_line, CASE WHEN blank THEN s.last_chars ELSE s.chars + cost - 1 END AS last_chars, e_line, e_chars FROM (
+        SELECT ln.*, CASE WHEN opens THEN {{'size': 0::BIGINT, 'held': 0::BIGINT, 'chars': 0::BIGINT, 'last_line': NULL::BIGINT, 'last_chars': NULL::BIGINT}} ELSE st END AS s, CASE WHEN opens THEN st.last_line END AS e_line, CASE WHEN opens THEN st.last_chars END AS e_chars FROM (
+          SELECT w.doc, w.k + 1 AS upto, n.head OR (w.size > 0 AND w.size + n.cost > 1200) AS opens, {{'size': w.size, 'held': w.held, 'chars': w.chars, 'last_line': w.last_line, 'last_chars': w.last_chars}} AS st FROM w JOIN ln n ON n.doc = w.doc AND n.k = w.k + 1) x JOIN ln ON ln.doc = x.doc AND ln.k = x.upto)))),
+closed AS (SELECT doc, e_line AS line, e_chars AS chars FROM w WHERE e_line IS NOT NULL UNION ALL SELECT doc, last_line, last_chars FROM (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY doc ORDER BY k DESC) = 1) WHERE last_line IS NOT NULL)"""
+
+
+def starts(pattern: str) -> str:
+    """Character places (from 0) of the matches of a pattern."""
+    pieces, found = f"regexp_split_to_array(text, '{pattern}')", f"regexp_extract_all(text, '{pattern}')"
+    size = lambda x: f"coalesce(list_sum(list_transform({x}, lambda s: length(s))), 0)"
+    return f"list_transform(range(1, len({found}) + 1), lambda j: CAST({size(pieces + '[1:j]')} + {size(found + '[1:j - 1]')} AS BIGINT))"
+
+
 ORACLES: dict[str, str] = {
     "search_literal_and": ranked("regexp_matches(text, '(?i)worthless') AND regexp_matches(text, '(?i)clown')", hits("(?i)worthless[\\s\\p{P}\\p{S}/_-]*clown"), hits("(?i)worthless") + " + " + hits("(?i)clown")),
     "search_phrase_rank": ranked("regexp_matches(text, '(?i)the') AND regexp_matches(text, '(?i)of')", hits("(?i)the[\\s\\p{P}\\p{S}/_-]*of"), hits("(?i)the") + " + " + hits("(?i)of"), "ORDER BY area_rank, phrase_hits DESC, token_hits DESC, path LIMIT 50"),
@@ -93,6 +116,13 @@ ORACLES: dict[str, str] = {
 n AS (SELECT path, k, lines[k] AS line FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS k FROM l)),
 h AS (SELECT DISTINCT path, k + o AS k FROM n, (VALUES (-1), (0), (1)) v(o) WHERE regexp_matches(line, '(?i)disgusting'))
 SELECT path, k AS line_number, line FROM n SEMI JOIN h USING (path, k)""",
+    "search_excerpts": f"""WITH {RAW}, m AS (SELECT path, text, {starts("(?i)licensed[\\s\\p{P}\\p{S}/_-]*under")} AS whole, list_sort(list_distinct(list_concat({starts('(?i)licensed')}, {starts('(?i)under')}))) AS words
+  FROM raw WHERE regexp_matches(text, '(?i)licensed') AND regexp_matches(text, '(?i)under')),
+s AS (SELECT path, text, (CASE WHEN len(whole) > 0 THEN whole ELSE words END)[1:5] AS places FROM m), x AS (SELECT path, text, unnest(range(1, len(places) + 1)) AS j, places FROM s),
+y AS (SELECT path, j - 1 AS ordinal, string_split(text, chr(10)) AS lines, len(string_split(substr(text, 1, places[j]), chr(10))) - 1 AS k FROM x),
+z AS (SELECT path, ordinal, CASE WHEN k > 0 THEN array_to_string(list_transform(lines[greatest(k - 1, 1):k], lambda l: l || chr(10) || chr(10)), '') ELSE '' END || lines[k + 1] || chr(10) AS body FROM y)
+SELECT path, ordinal, CASE WHEN length(body) > EXCERPT THEN substr(body, 1, EXCERPT) || '...' ELSE body END AS body FROM z""".replace("EXCERPT", str(EXCERPT_CHARS)),
+    "chunk_stats": f"WITH RECURSIVE {CHUNKS} SELECT doc AS document_id, count(*) AS chunks, max(line) AS end_line, max(chars) AS longest FROM closed GROUP BY doc",
     "lines_explode": f"WITH {RAW}, l AS (SELECT path, {LINES} AS lines FROM raw) SELECT path, k AS line_number, lines[k] AS line FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS k FROM l)",
     "headings": f"""WITH {MD}, l AS (SELECT path, {LINES} AS lines FROM md), n AS (SELECT path, k, lines[k] AS line FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS k FROM l)),
 h AS (SELECT path, k AS line_number, length(regexp_extract(line, '^\\s*(#{{1,6}}) ', 1)) AS level, trim(regexp_extract(line, '^\\s*#{{1,6}} (.*)$', 1)) AS heading FROM n WHERE regexp_matches(line, '^\\s*#{{1,6}} '))

@@ -84,7 +84,7 @@ def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.chunks(markdown(spark, sf_dir)).groupBy("document_id").agg(F.count("*").alias("chunks"), F.max("end_line").alias("end_line"), F.max(F.char_length("text")).alias("longest"))
+    return chunking.chunks(markdown(spark, sf_dir)).groupBy("document_id").agg(F.count("*").alias("chunks"), F.max("end_line").alias("end_line"), F.max(F.char_length("text").cast("long")).alias("longest"))
 
 
 @query
@@ -366,7 +366,7 @@ def rag_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vector_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     asked = rows.orderBy("vec_id").limit(1).first()["embedding"]
-    found = rag.vector_signals(rows.select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("embedding").alias("vector")), [float(x) for x in asked], "own:embeddings", 100, None)
+    found = rag.vector_signals(rows.select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("embedding").alias("vector")), [float(x) for x in asked], "own:embeddings", 100)
     return found.select("chunk_id", "reason", "kind", F.round("boost", 5).alias("boost"))
 
 
