@@ -9,10 +9,11 @@ from dataclasses import asdict
 
 from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from folioscope import config, seed
 from folioscope.functions import text as T
-from folioscope.operators import answer, graph, index, overview, rag, search, spec
+from folioscope.operators import answer, graph, index, overview, rag, report, search, spec
 from folioscope.plans.tables import session
 from folioscope.sources import tree
 
@@ -50,6 +51,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--max-depth", type=int, default=4)
     p = g.add_parser("export")
     p.add_argument("--format", choices=("json", "dot"), default="json")
+    p.add_argument("--out", help="a new folder for a graph of any size; without it the graph is printed")
+    for name in ("stats", "entities", "entity-neighbors", "neighbors", "path"):
+        g.choices[name].add_argument("--format", choices=("json", "text"), default="json")
     r = sub.add_parser("rag").add_subparsers(dest="what", required=True)
     for name in ("search", "context", "ask"):
         p = r.add_parser(name)
@@ -60,6 +64,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--embedding", choices=("none", "local-hash"), default=None)
         for w in ("lexical", "graph", "vector"):
             p.add_argument(f"--{w}-weight", type=float, default=1.0)
+        p.add_argument("--most-vectors", type=int)
         p.add_argument("--max-chars", type=int, default=8000)
         p.add_argument("--format", choices=("text", "json", "prompt"), default="text")
         for o in ("provider", "endpoint", "model"):
@@ -73,6 +78,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--embedding", choices=("none", "local-hash"), default=None)
     for w in ("lexical", "graph", "vector"):
         p.add_argument(f"--{w}-weight", type=float, default=1.0)
+    p.add_argument("--most-vectors", type=int)
     p.add_argument("--max-chars", type=int, default=12_000)
     p.add_argument("--format", choices=("text", "json", "prompt"), default="text")
     s = sub.add_parser("sdd").add_subparsers(dest="what", required=True)
@@ -98,6 +104,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--per-file", type=int, default=5)
     p.add_argument("--head", type=int, default=50)
     p.add_argument("--context", type=int, default=2)
+    p.add_argument("--most-pages", type=int, help="look at so many pages only, the first by path")
     # the folder may be named before the command or behind it
     for command in (*sub.choices.values(), *g.choices.values(), *r.choices.values(), *s.choices.values()):
         command.add_argument("--path", default=argparse.SUPPRESS)
@@ -119,18 +126,27 @@ def _graph(spark: SparkSession, a: argparse.Namespace) -> str:
     rows = lambda df: [r.asDict(recursive=True) for r in df.collect()]
     if a.what == "stats":
         extra = {k: t[k].count() for k in ("entities", "entity_mentions", "relations")}
-        return dump(rows(graph.stats(pages, links))[0] | extra)
+        found = rows(graph.stats(pages, links))[0] | extra
+        return report.stats(found) if a.format == "text" else dump(found)
     if a.what == "entities":
-        return dump(rows(graph.entity_list(t["entities"], t["entity_mentions"], a.query, a.type, a.limit)))
+        found = rows(graph.entity_list(t["entities"], t["entity_mentions"], a.query, a.type, a.limit))
+        return report.entities(found) if a.format == "text" else dump(found)
     if a.what == "entity-neighbors":
         one = spark.createDataFrame([(graph.resolve_entity(t["entities"], a.entity),)], "id string")
-        return dump(rows(graph.entity_neighbors(t["relations"], t["relation_evidence"], t["entities"], one, a.limit)))
+        found = rows(graph.entity_neighbors(t["relations"], t["relation_evidence"], t["entities"], one, a.limit))
+        return report.entity_neighbors(a.entity, found) if a.format == "text" else dump(found)
     edges = graph.edges(pages, links)
     if a.what == "neighbors":
-        found = graph.neighbors(edges, graph.resolve(pages, a.page), a.depth, a.direction)
-        return dump(rows(found.orderBy("depth", "direction", "source", "target", "link_text")))
+        page = graph.resolve(pages, a.page)
+        found = rows(graph.neighbors(edges, page, a.depth, a.direction).orderBy("depth", "direction", "source", "target", "link_text"))
+        return report.neighbors(page, a.depth, a.direction, found) if a.format == "text" else dump(found)
     if a.what == "path":
-        return dump(graph.shortest_path(edges, graph.resolve(pages, a.source), graph.resolve(pages, a.target), a.max_depth))
+        source, target = graph.resolve(pages, a.source), graph.resolve(pages, a.target)
+        steps = graph.shortest_path(edges, source, target, a.max_depth)
+        return report.path(source, target, steps) if a.format == "text" else dump(steps)
+    if a.out:
+        graph.write_export(pages, links, a.out, a.format)
+        return f"written: {a.out}"
     nodes, edges = graph.export(pages, links)
     if a.format == "dot":
         return graph.dot([r.asDict() for r in nodes.collect()], [r.asDict() for r in edges.collect()])
@@ -139,7 +155,7 @@ def _graph(spark: SparkSession, a: argparse.Namespace) -> str:
 
 def _options(a: argparse.Namespace) -> rag.Options:
     embedding = rag.DEFAULT_EMBEDDING if (a.embedding or config.load().embedding) == "local-hash" else None
-    return rag.Options(a.query, a.limit, a.depth, a.regex, embedding, rag.Weights(a.lexical_weight, a.graph_weight, a.vector_weight))
+    return rag.Options(a.query, a.limit, a.depth, a.regex, embedding, rag.Weights(a.lexical_weight, a.graph_weight, a.vector_weight), a.most_vectors)
 
 
 def _vectors(spark: SparkSession, a: argparse.Namespace) -> tuple:
@@ -155,7 +171,7 @@ def _rag(spark: SparkSession, a: argparse.Namespace) -> str:
         name = a.provider or settings.answer_provider
         more = {} if name == "extractive" else {"endpoint": a.endpoint or settings.endpoint, "model": a.model or settings.model, "key": settings.api_key, "timeout": a.timeout or settings.timeout}
         found = answer.ask(t, a.query, options, answer.provider(name, **more), a.max_chars, cache=cache[0], keep=cache[1])
-        return answer.answer_json(found) if a.format == "json" else found.answer
+        return answer.answer_json(found) if a.format == "json" else answer.answer_text(found)
     hits = rag.hits_of(rag.search(t, options, *cache))
     if a.what == "context":
         c = rag.context(a.query, hits, a.max_chars)
@@ -165,17 +181,20 @@ def _rag(spark: SparkSession, a: argparse.Namespace) -> str:
 
 def _search(spark: SparkSession, a: argparse.Namespace) -> str:
     m = T.Matcher(a.query, a.regex, a.case_sensitive)
-    pages = search.searchable(tree.pages(tree.read_tree(spark, a.path, "search")), a.category, search.MOST_PAGES)
+    pages = search.searchable(tree.pages(tree.read_tree(spark, a.path, "search")), a.category, a.most_pages)
     if a.mode == "files":
         return "\n".join(r["path"] for r in search.files(pages, m, a.head).collect())
-    top = search.top_pages(pages, m, a.head)
+    top = search.top_pages(pages, m, a.head, 1).select("path").collect()  # bounded, and one more, to tell whether others match
+    head = max(1, min(search.MOST_HEAD, a.head))
+    own = pages.where(F.col("path").isin([r["path"] for r in top[:head]]))
     if a.mode == "content":
-        rows = search.content_lines(pages.join(top.select("path"), "path", "left_semi"), m, a.context).orderBy("path", "line_number").collect()
-        return "\n".join(f"{r['path']}:{r['line_number']}: {r['line']}" for r in rows)
-    found: dict[str, list[str]] = {r["path"]: [] for r in top.collect()}
-    for r in search.excerpts(pages.join(top.select("path"), "path", "left_semi"), m, a.per_file).orderBy("path", "ordinal").collect():
+        lines = search.content_lines(own, m, a.context).orderBy("path", "line_number").collect()
+        return report.search_content(m, [(r["path"], r["line_number"], r["line"]) for r in lines], len(top) > head, head)
+    found: dict[str, list[str]] = {r["path"]: [] for r in top}
+    for r in search.excerpts(own, m, a.per_file).orderBy("path", "ordinal").collect():
         found[r["path"]].append(r["body"])
-    return f"{len(found)} pages, {sum(map(len, found.values()))} matches\n" + "\n".join(f"\n## {p}\n" + "\n".join(b) for p, b in found.items())
+    area = lambda p: p.split("/")[0] if p.split("/")[0] in T.AREAS and "/" in p else None
+    return report.search_summary(m, [(p, area(p), bodies) for p, bodies in found.items()], head)
 
 
 def run(a: argparse.Namespace, spark: SparkSession | None = None) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -182,6 +184,31 @@ def export(pages: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes(pages).orderBy("name"), edges(pages, links).orderBy("source", "target", F.asc_nulls_first("link_text"))
 
 
+def dot_lines(pages: DataFrame, links: DataFrame) -> DataFrame:
+    """The lines (line) of ``dot`` as a table in their order, sorted over all tasks, so that a graph of any size can be written."""
+    quote = lambda c: F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    col, all_edges = F.col, edges(pages, links)
+    none = F.lit(None).cast("string")
+    line = lambda rows, part, a, b, c, text: rows.select(F.lit(part).alias("part"), a.alias("a"), b.alias("b"), c.alias("c"), text.alias("line"))
+    ends = lambda part, text: line(pages.sparkSession.range(1), part, none, none, none, F.lit(text))
+    label = F.when(F.coalesce(col("link_text"), F.lit("")) != "", F.concat(F.lit(" [label="), quote(col("link_text")), F.lit("]"))).otherwise("")
+    parts = [
+        ends(0, "digraph pages {"), line(nodes(pages), 1, col("name"), none, none, F.concat(F.lit("  "), quote(col("name")), F.lit(" [label="), quote(col("title")), F.lit("];"))),
+        line(all_edges.where("not resolved").select("target").distinct(), 2, col("target"), none, none, F.concat(F.lit("  "), quote(col("target")), F.lit(" [style=dashed];"))),
+        line(all_edges, 3, col("source"), col("target"), col("link_text"), F.concat(F.lit("  "), quote(col("source")), F.lit(" -> "), quote(col("target")), label, F.lit(";"))), ends(4, "}"),
+    ]
+    return reduce(DataFrame.unionByName, parts).orderBy("part", F.asc_nulls_first("a"), F.asc_nulls_first("b"), F.asc_nulls_first("c")).select("line")
+
+
+def write_export(pages: DataFrame, links: DataFrame, folder: str, form: str) -> None:
+    """The whole graph into a new folder, by the tasks: DOT as text, else nodes and edges as JSON lines."""
+    if form == "dot":
+        dot_lines(pages, links).write.text(folder)
+        return
+    for name, rows in zip(("nodes", "edges"), export(pages, links)):
+        rows.write.json(f"{folder}/{name}")
+
+
 def dot(node_rows: list, edge_rows: list) -> str:
     """The graph in DOT; dangling targets are dashed."""
     esc = lambda s: s.replace("\\", "\\\\").replace('"', '\\"')

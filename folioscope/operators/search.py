@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import text as T
 
 # Caps and defaults of the command.
-MOST_PAGES, MOST_HEAD, MOST_PER_FILE = 5000, 500, 50
+MOST_HEAD, MOST_PER_FILE = 500, 50
 HEAD, PER_FILE, CONTEXT, EXCERPT_CHARS = 50, 5, 2, 200
 
 
@@ -32,9 +32,10 @@ def order(df: DataFrame) -> list[Column]:
     return [F.asc("area_rank"), F.desc("phrase_hits"), F.desc("token_hits"), F.asc("path")]
 
 
-def top_pages(pages: DataFrame, m: T.Matcher, head: int = HEAD) -> DataFrame:
+def top_pages(pages: DataFrame, m: T.Matcher, head: int = HEAD, more: int = 0) -> DataFrame:
+    """The best ``head`` pages, and so many ``more`` behind them."""
     rows = ranked(pages, m)
-    return rows.orderBy(*order(rows)).limit(max(1, min(MOST_HEAD, head)))
+    return rows.orderBy(*order(rows)).limit(max(1, min(MOST_HEAD, head)) + more)
 
 
 def files(pages: DataFrame, m: T.Matcher, head: int = HEAD) -> DataFrame:

@@ -346,3 +346,51 @@ def test_circles_of_all_groups_at_once(spark):
     assert {r.g for r in graph.cyclic(edges, "g").collect()} == {"ring", "two", "long"}
     assert graph.cyclic(edges.where("false"), "g").collect() == []
     assert graph.has_cycle(edges.where("g = 'ring'")) and not graph.has_cycle(edges.where("g = 'line'"))
+
+
+def test_text_forms(spark, root):
+    from folioscope.operators import report
+
+    do = lambda *a: cli.run(cli.parser().parse_args(["--path", str(root), *a]), spark)
+    do("index")
+    said = do("search", "cache service")
+    assert said.startswith('Search for "cache service" (all of 2 words in any order, the phrase first: cache, service)') and "## notes/service.md (notes)" in said and said.endswith("all matching pages are shown\n")
+    assert "more than 1 pages match" in do("search", "cache", "--head", "1") and "1 page, " in do("search", "cache", "--head", "1") and "no page matches" in do("search", "zzzz")
+    assert "(literal, case as given)" in do("search", "cache", "--case-sensitive") and "(regular expression, any case)" in do("search", "c.che", "--regex")
+    content = do("search", "uses", "--mode", "content")
+    assert "\nnotes/service.md\nnotes/service.md:" in content and "no line matches" in do("search", "zzzz", "--mode", "content")
+    assert do("search", "cache", "--most-pages", "1", "--mode", "files") in ("", "notes/service.md")
+    stats = json.loads(do("graph", "stats"))
+    assert f"to no page: {stats['dangling']}\n" in do("graph", "stats", "--format", "text")
+    near = do("graph", "neighbors", "Guide", "--format", "text")
+    assert near.startswith("Around ") and "1 incoming: " in near
+    assert "2 steps" in do("graph", "path", "_draft", "Guide", "--format", "text")
+    assert report.path("a", "a", []) == "From a to a: the same page\n" and report.path("a", "b", None).endswith("no way over links\n")
+    assert "Cache_Key (identifier): " in do("graph", "entities", "--format", "text") and " in " in do("graph", "entity-neighbors", "Cache_Key", "--format", "text")
+    assert report.neighbors("x", 1, "in", []) == "Around x, 1 step, direction in\nno links\n" and report.entities([]) == "no entities\n"
+
+
+def test_export_is_written_by_the_tasks(spark, tmp_path):
+    pages = spark.createDataFrame([("doc:a.md", "a.md", 'A "one"'), ("doc:b.md", "b.md", "B\\")], "id string, path string, title string")
+    links = spark.createDataFrame([("doc:a.md", "b", "next"), ("doc:a.md", "none", None), ("doc:b.md", "a", "")], "source_document_id string, target_path string, link_text string")
+    nodes, edges = graph.export(pages, links)
+    want = graph.dot([r.asDict() for r in nodes.collect()], [r.asDict() for r in edges.collect()])
+    assert "\n".join(r.line for r in graph.dot_lines(pages, links).collect()) + "\n" == want
+    graph.write_export(pages, links, str(tmp_path / "dot"), "dot")
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "dot")).collect()) == sorted(want.splitlines())
+    graph.write_export(pages, links, str(tmp_path / "json"), "json")
+    assert spark.read.json(str(tmp_path / "json/nodes")).count() == 2 and spark.read.json(str(tmp_path / "json/edges")).count() == 3
+
+
+def test_vectors_of_all_chunks_unless_bounded(spark):
+    rows = spark.createDataFrame([(f"c{k}", [1.0, float(k)]) for k in range(9)], "chunk_id string, vector array<float>")
+    assert rag.Options("q").most_vectors is None
+    assert rag.vector_signals(rows, [0.0, 1.0], "own", 1).first()["chunk_id"] == "c8"
+    assert rag.vector_signals(rows, [0.0, 1.0], "own", 1, 3).first()["chunk_id"] == "c2"
+
+
+def test_answers_name_their_sources():
+    one = {"index": 1, "path": "notes/a.md", "title": "A", "heading_path": "", "start_line": 3, "end_line": 9, "score": 1.0, "reasons": [], "quote": "q"}
+    a = answer.Answer("q", "extractive", "It is so [1].\n", [one], True, False, True)
+    assert answer.answer_text(a) == "It is so [1].\n\n(uncertain)\n\nSources:\n[1] notes/a.md:3-9 A\n\n(cut to the budget)"
+    assert answer.answer_text(answer.Answer("q", "extractive", "No.", [], False, False, False)) == "No."
