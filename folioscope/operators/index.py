@@ -16,7 +16,7 @@ from . import chunking, fts, inverted
 from .store import Store, bucket_of
 
 # Kept with the index; another indexer means a rebuild, an older schema an upgrade.
-SCHEMA_VERSION, INDEXER_VERSION = 4, "folioscope-index-v1"
+SCHEMA_VERSION, INDEXER_VERSION = 5, "folioscope-index-v1"
 PREDICATE = "co_occurs_in_chunk"
 VECTOR_KEY = ["chunk_id", "provider", "model", "dimensions", "text_hash"]
 SUPPORT = "support array<struct<confidence:double,n:bigint>>"
@@ -30,6 +30,7 @@ SCHEMAS = {
     "entities": f"id string, canonical_name string, entity_type string, aliases array<string>, confidence double, status string, {SUPPORT}",
     "relations": f"id string, subject_entity_id string, predicate string, object_entity_id string, confidence double, extractor string, status string, {SUPPORT}",
     "inverted": inverted.SCHEMA,
+    "blocks": inverted.BLOCKS,
     "gone": inverted.GONE,
 }
 #: tables of which each row belongs to one document
@@ -274,10 +275,10 @@ class Index:
                 text["chunks"], text["tokens"] = text["chunks"] - less["chunks"], text["tokens"] - less["tokens"]
             documents = fresh["documents"].count()
             if documents:
-                at = inverted.write(self.store, chunks, generation, documents)
-                more = inverted.size(self.store, chunks, at)
+                segment = inverted.write(self.store, inverted.entries(chunks), generation, documents)
+                more = inverted.size(self.store, chunks, segment["at"])
                 text["chunks"], text["tokens"] = text["chunks"] + more[0], text["tokens"] + more[1]
-                text["segments"].append({"at": at, "documents": documents})
+                text["segments"].append(segment)
             return text
 
         jobs: list[Callable[[], object]] = [lambda t=t: of_documents(t) for t in OF_DOCUMENT]
@@ -317,5 +318,14 @@ def _from_3(own: Index, meta: dict) -> dict:
     return own._apply(None, own._with_entities(fresh), None, meta["chunk_chars"])
 
 
+def _from_4(own: Index, meta: dict) -> dict:
+    """Version 4 had no blocks beside its segments."""
+    generation = f"generation-{uuid.uuid4().hex}"
+    segments = [inverted.with_blocks(own.store, s, f"{generation}-{k}") for k, s in enumerate(meta["segments"])]
+    out = meta | {"schema_version": 5, "segments": segments}
+    own.store.point(out)
+    return out
+
+
 #: steps from a schema to a newer one
-UPGRADES: dict[int, Callable[[Index, dict], dict]] = {3: _from_3}
+UPGRADES: dict[int, Callable[[Index, dict], dict]] = {3: _from_3, 4: _from_4}

@@ -92,8 +92,8 @@ def lexical(tables: dict[str, DataFrame], query: str, regex: bool, limit: int) -
     def full(q: str) -> DataFrame | None:
         stored = getattr(tables, "inverted", None)  # the index on disk, where there is one
         if stored is not None:
-            found = stored.fts(q)
-            return None if found is None else stored.named(found, limit).select("chunk_id")
+            best = stored.best(q, limit)
+            return None if best is None else best[0].select("chunk_id")
         found = fts.fts(posts, q)
         return None if found is None else found.orderBy("bm25", "chunk_id").limit(limit).select("chunk_id")
 

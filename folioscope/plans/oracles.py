@@ -156,6 +156,7 @@ SELECT n.id, neighbor_id, direction, max(n.confidence) AS confidence, any_value(
     "fts_and_phrase": f"WITH {POSTS}, {bm25([['apache'], ['version', '2', '0']])} SELECT chunk_id, round(bm25, 6) AS bm25 FROM scored",
     "bm25_topk": f"WITH {POSTS}, {bm25([['worthless'], ['clown']])} SELECT chunk_id, round(bm25, 6) AS bm25 FROM (SELECT * FROM scored ORDER BY bm25, chunk_id LIMIT 50)",
     "bm25_stored": f"WITH {POSTS}, {bm25([['worthless'], ['clown']])} SELECT chunk_id, round(bm25, 6) AS bm25 FROM (SELECT * FROM scored ORDER BY bm25, chunk_id LIMIT 50)",
+    "bm25_blocks": f"WITH {POSTS}, {bm25([['from'], ['this']])} SELECT chunk_id, round(bm25, 6) AS bm25 FROM (SELECT * FROM scored ORDER BY bm25, chunk_id LIMIT 10)",
     "index_after_refresh": f"""WITH {ENTITIES} SELECT id, canonical_name, entity_type, max(confidence) AS confidence, count(*) AS mentions FROM ment
 WHERE document_id IN (SELECT 'doc:' || md.path FROM md JOIN documents d ON d.doc_id = md.doc_id WHERE d.lang <> 'de') GROUP BY ALL""",
     "like_fallback": f"WITH {RAW} SELECT 'doc:' || path AS id, length(text) AS n FROM raw WHERE text ILIKE '%tr_sh%moron%'",

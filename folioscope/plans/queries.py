@@ -190,19 +190,35 @@ def own_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-@query
-def bm25_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages of bm25_topk, by a stored segment of full text."""
+def stored_text(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, inverted.Inverted]:
+    """The pages of bm25_topk as numbered documents, and their stored segment of full text."""
     pages = index.numbered(raw(spark, sf_dir).select("id", "text"), 0)
     chunks = pages.select("doc_no", F.lit(0).cast("long").alias("ordinal"), "text", F.lit("").alias("heading_path"))
     store = Store(spark, own_folder(spark, "full-text"), index.SCHEMAS)
-    at = inverted.write(store, chunks, "generation-0", pages.count())
-    n, tokens = inverted.size(store, chunks, at)
-    found = inverted.Inverted(store, {"segments": [{"at": at}], "gone": 0, "tables": {}, "chunks": n, "tokens": tokens}).fts("worthless clown")
-    best = found.join(pages.select(F.col("id").alias("chunk_id"), "doc_no"), "doc_no").orderBy("bm25", "chunk_id").limit(50)
+    segment = inverted.write(store, inverted.entries(chunks), "generation-0", pages.count())
+    n, tokens = inverted.size(store, chunks, segment["at"])
+    documents = store.write(pages.select("id", "doc_no"), "generation-0", "documents", F.lit(0), 1)
+    return pages, inverted.Inverted(store, {"segments": [segment], "gone": 0, "tables": {"documents": documents}, "chunks": n, "tokens": tokens})
+
+
+@query
+def bm25_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of bm25_topk, by a stored segment of full text."""
+    pages, stored = stored_text(spark, sf_dir)
+    best = stored.fts("worthless clown").join(pages.select(F.col("id").alias("chunk_id"), "doc_no"), "doc_no").orderBy("bm25", "chunk_id").limit(50)
     return best.select("chunk_id", F.round("bm25", 6).alias("bm25"))
 
 
+FREQUENT = "from this"
+
+
+@query
+def bm25_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best pages of two frequent words, by blocks: those that cannot reach the tenth are not opened."""
+    best, _ = stored_text(spark, sf_dir)[1].best(FREQUENT, 10, whole_rows=0)
+    return best.select(F.regexp_replace("chunk_id", r":chunk:\d+$", "").alias("chunk_id"), F.round("bm25", 6).alias("bm25"))
+
+
 @query
 def index_after_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities with their counted mentions in an index of all pages but the French, with other Spanish ones, that is brought to all but the German."""
