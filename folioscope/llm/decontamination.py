@@ -7,7 +7,9 @@ stands in no document are done.
 
 The documents' shingles are equi-joined with the prefixes. A task sends on only shingles that a bitmap
 of the wanted ones lets through (of bounded size; what it lets through wrongly the join drops), each
-with its place and the words around it. The prefix's place in the window gives the only possible
+with its place and the words around it. Texts are read in stretches of bounded size that overlap by a
+window, and what is sent of a text is cut into rows of bounded size, so that a task holds no more
+for a very long text, unless one word of it is longer. The prefix's place in the window gives the only possible
 start, the window must fit between the document's ends, and then its words are compared. Documents
 are read twice, for the counts and for the join, whatever the size of the benchmark. Prefixes up to
 ``BROADCAST_ROWS`` are broadcast, a checked size; beyond, both sides are dealt out by shingle and a salt,
@@ -46,6 +48,8 @@ PLACES_EACH, LEAST_BITS, MOST_BITS = 64, 16, 27
 #: item words that are sent to the tasks; beyond, all words of documents are hashed
 MOST_VOCABULARY = 500_000
 COUNTED_AT_ONCE = 1 << 20
+#: bytes of text that are cut into words at once, and bytes of words that one row, and one batch, of what was found holds
+STRETCH_BYTES, ROW_BYTES, SENT_BYTES = 1 << 22, 1 << 19, 1 << 22
 
 _words = Words()
 
@@ -55,6 +59,34 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(WORD_BYTES).split()
 
 
+def stretches(text: bytes, before: int, after: int) -> Iterator[tuple[int, int, int, list[bytes]]]:
+    """(first, own, upto, words): the words of a text in stretches of about STRETCH_BYTES. words start with the word ``first`` of the
+    text; the stretch's own are those from place own to upto, with up to ``before`` words in front and ``after`` behind them."""
+    kept: list[bytes] = []
+    first, own, at = 0, 0, 0
+    while True:
+        end = min(len(text), at + STRETCH_BYTES)
+        piece = text[at:end].translate(WORD_BYTES)
+        if end < len(text):
+            # the stretch ends where a word does; a word longer than it goes on until there is an end
+            cut = piece.rfind(b" ")
+            while cut < 0 and end < len(text):
+                end = min(len(text), at + 2 * (end - at))
+                piece = text[at:end].translate(WORD_BYTES)
+                cut = piece.rfind(b" ")
+            if end < len(text):
+                piece, end = piece[: cut + 1], at + cut + 1
+        kept += piece.split()
+        at = end
+        last = at >= len(text)
+        upto = len(kept) if last else max(own, len(kept) - after)
+        yield first, own, upto, kept
+        if last:
+            return
+        drop = max(0, upto - before)
+        kept, first, own = kept[drop:], first + drop, upto - drop
+
+
 def hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
 
@@ -155,13 +187,15 @@ def shingle_counts(documents: DataFrame, sought: Wanted) -> DataFrame:
 
         for batch in batches:
             for text in batch.column(0).cast(pa.binary()).fill_null(b"").to_pylist():
-                h = own.hashed(words_of(text))
-                for k in own.widths:
-                    pending.append(own.standing(h, k)[1])
-                    size += len(pending[-1])
-            if size >= COUNTED_AT_ONCE:
-                size = 0
-                yield flush()
+                for _, low, upto, words in stretches(text, 0, SHINGLE - 1):
+                    h = own.hashed(words)
+                    for k in own.widths:
+                        at, shingles = own.standing(h, k)
+                        pending.append(shingles[(at >= low) & (at < upto)])
+                        size += len(pending[-1])
+                    if size >= COUNTED_AT_ONCE:
+                        size = 0
+                        yield flush()
         yield flush()
 
     return documents.select("text").mapInArrow(count, "shingle long, c long").groupBy("shingle").agg(F.sum("c").alias("c"))
@@ -175,43 +209,71 @@ def prefixes(windows: DataFrame, counts: DataFrame) -> DataFrame:
     return best.where("best.c > 0").select(F.col("best.shingle").alias("shingle"), F.col("best.place").alias("place"), "window", "length")
 
 
-_FOUND = "id long, hash long, n_words long, found array<struct<shingle: long, at: int, before: int, words: string>>"
+_FOUND = "id long, hash long, part int, some boolean, n_words long, found array<struct<shingle: long, at: int, before: int, words: string>>"
 
 
 def described(documents: DataFrame, sought: Wanted, window: int = WINDOW) -> DataFrame:
-    """(id, hash, n_words, found) of (id, hash, text): the shingles that may be wanted, their places, and the words around them."""
+    """(id, hash, part, some, n_words, found) of (id, hash, text): the shingles that may be wanted, their places, and the words around them.
+
+    A text is one row of part 0, with the count of its words and whether any row of it holds a shingle, and rows of further parts where
+    ROW_BYTES are passed.
+    """
     sent = documents.sparkSession.sparkContext.broadcast(sought)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         remember("benchmark words", _words.clear)
         own = sent.value
         kind = pa.list_(pa.struct([("shingle", pa.int64()), ("at", pa.int32()), ("before", pa.int32()), ("words", pa.string())]))
+        rows: list[tuple] = []
+        held = 0
+
+        def flush() -> pa.RecordBatch:
+            columns = list(zip(*rows)) or [()] * 6
+            rows.clear()
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), kind)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["id", "hash", "part", "some", "n_words", "found"])
+
         for batch in batches:
-            n_words, found = [], []
-            for text in batch.column(2).cast(pa.binary()).fill_null(b"").to_pylist():
-                words = words_of(text)
-                h, rows = own.hashed(words), []
-                for k in own.widths:
-                    for at, shingle in zip(*(x.tolist() for x in own.standing(h, k))):
-                        low = max(0, at - window + k)
-                        rows.append({"shingle": shingle, "at": at, "before": at - low, "words": b" ".join(words[low : at + window]).decode("utf-8", "replace")})
-                n_words.append(len(words))
-                found.append(rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(found, kind)], names=["id", "hash", "n_words", "found"])
+            for id_, hash_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).fill_null(b"")):
+                found, size, part, n_words = [], 0, 1, 0
+                for first, start, upto, words in stretches(text.as_py(), window, window):
+                    h = own.hashed(words)
+                    for k in own.widths:
+                        for at, shingle in zip(*(x.tolist() for x in own.standing(h, k))):
+                            if not start <= at < upto:
+                                continue
+                            low = max(0, at - window + k)
+                            around = b" ".join(words[low : at + window])
+                            found.append({"shingle": shingle, "at": first + at, "before": at - low, "words": around.decode("utf-8", "replace")})
+                            size += len(around)
+                            if size >= ROW_BYTES:
+                                rows.append((id_, hash_, part, True, None, found))
+                                found, held, size, part = [], held + size, 0, part + 1
+                                if held >= SENT_BYTES:
+                                    held = 0
+                                    yield flush()
+                    n_words = first + len(words)
+                rows.append((id_, hash_, 0, part > 1 or bool(found), n_words, found))
+                held += size
+                if held >= SENT_BYTES:
+                    held = 0
+                    yield flush()
+            yield flush()
 
     return documents.mapInArrow(scan, _FOUND)
 
 
 def hits(scanned: DataFrame, prefix: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(id, hash, start, end, window): the windows that occur in a document, verified word by word."""
-    rows = scanned.select("id", "hash", "n_words", F.explode("found").alias("f")).select("id", "hash", "n_words", "f.*")
+    rows = scanned.select("id", "hash", F.explode("found").alias("f")).select("id", "hash", "f.*")
     if fits_broadcast(prefix, broadcast_rows):
         pairs = rows.join(F.broadcast(prefix), "shingle")
     else:
         copies = prefix.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         pairs = rows.withColumn("salt", F.pmod(F.xxhash64("id", "hash", "at"), F.lit(SALTS)).cast("int")).join(copies.hint("shuffle_hash"), ["shingle", "salt"])
     start = F.col("at") - F.col("place")
-    pairs = pairs.where((start >= 0) & (start + F.col("length") <= F.col("n_words")) & (F.col("before") >= F.col("place")))
+    # the words around a place end with the text, so a window that passes its end is cut short and does not match
+    pairs = pairs.where((start >= 0) & (F.col("before") >= F.col("place")))
     same = F.array_join(F.slice(F.split("words", " ", -1), F.col("before") - F.col("place") + 1, F.col("length")), " ") == F.col("window")
     return pairs.where(same).select("id", "hash", start.cast("long").alias("start"), (start + F.col("length")).cast("long").alias("end"), "window")
 
@@ -246,9 +308,9 @@ def judged(documents: DataFrame, benchmark: DataFrame, share: int = SHARE, broad
     owners = windows.select("window", "item_id").distinct()
     items = spans.select("id", "hash", F.explode("windows").alias("window")).join(owners, "window").groupBy("id", "hash").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     hit = spans.select("id", "hash", covered(F.col("spans")).alias("n_hit")).join(items, ["id", "hash"])
-    words = scanned.select("id", "hash", F.col("n_words").alias("of")).where(F.size("found") > 0).distinct()
+    words = scanned.where("part = 0 and some").select("id", "hash", F.col("n_words").alias("of")).distinct()
     hit = hit.join(words, ["id", "hash"]).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("of"))).drop("of")
-    return scanned.select("id", "hash", "n_words"), written(hit, "hit")
+    return scanned.where("part = 0").select("id", "hash", "n_words"), written(hit, "hit")
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, share: int = SHARE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -79,5 +79,35 @@ def test_a_frequent_shingle_in_a_very_long_text(spark):
     assert kept.columns == d.columns and sorted((r.doc_id or 0, r.text) for r in kept.collect() if r.text) == [(2, "b a")]
 
 
+def test_stretches_are_the_words_of_the_text(monkeypatch):
+    """Each word is one stretch's own, with its neighbours on both sides; words longer than a stretch stay whole."""
+    r = random.Random(6)
+    for size in (1, 2, 7, 40):
+        monkeypatch.setattr(D, "STRETCH_BYTES", size)
+        for before, after in ((0, 2), (3, 3), (13, 13)):
+            for n in (0, 1, 2, 30, 200):
+                text = "".join(r.choice(["a", "Bb", "日本", "long" * 5, " ", ", ", "  "]) for _ in range(n)).encode()
+                want, own = D.words_of(text), []
+                for first, low, upto, kept in D.stretches(text, before, after):
+                    assert kept == want[first : first + len(kept)] and 0 <= low <= upto <= len(kept)
+                    assert first == 0 or low >= before
+                    assert first + len(kept) == len(want) or upto == low or upto + after <= len(kept)
+                    own += range(first + low, first + upto)
+                assert own == list(range(len(want)))
+
+
+def test_texts_of_several_stretches_and_rows(spark):
+    """Items around the end of a stretch, in a text of two, and a wanted shingle at each place of a text, beyond what one row holds."""
+    item = " ".join(f"i{k}" for k in range(40))
+    filler = "w " * (D.STRETCH_BYTES // 2)
+    docs = [(k, filler[: D.STRETCH_BYTES - back] + item + " " + filler[:200_000] + item) for k, back in enumerate((0, 2, 30, 60, 150, 400))]
+    docs += [(10, "a " * 60_000), (11, item), (12, "x" * (D.STRETCH_BYTES + 5) + " " + item)]
+    assert 60_000 * 25 * 2 > 4 * D.ROW_BYTES
+    d, b = spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame([(1, item), (2, "a " * 20)], "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.contaminated) for r in D.contamination(d, b).collect()}
+    want = {k: (len(words(t)), 80, 1, False) for k, t in docs[:6]} | {10: (60_000, 60_000, 1, True), 11: (40, 40, 1, True), 12: (41, 40, 1, True)}
+    assert got == want
+
+
 def test_words():
     assert D.words_of("Ab-C 9_é\x7f日本 x".encode()) == [w.encode() for w in words("Ab-C 9_é\x7f日本 x")]
