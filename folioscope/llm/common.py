@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.plans.tables import discard, shared_folder, table, written  # noqa: F401
+from folioscope.plans.tables import BATCH_BYTES, BATCH_ROWS, discard, shared_folder, small_batches, table, written  # noqa: F401
 
 #: what a worker process remembers between tasks, by operator
 _remembered: dict[str, Callable[[], None]] = {}
@@ -26,18 +26,6 @@ LOWER = UPPER.lower()
 LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
-#: what one Arrow batch holds at most, since texts may be very long
-BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of the session, alike for every operator; a lower bound of the caller stays."""
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        set_to = int(spark.conf.get(key).rstrip("b"))
-        if not 0 < set_to <= most:
-            spark.conf.set(key, str(most))
-
-
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores behind it as no column of df needs."""
     taken, out = {c.lower() for c in df.columns}, []
