@@ -4,7 +4,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.operators import chunking, rag
+from folioscope.operators import chunking, inverted, rag
 from folioscope.plans.tables import BATCH_ROWS
 
 ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -41,3 +41,19 @@ def test_vectors_are_made_of_few_texts_at_once(wide):
     chunks = wide.createDataFrame([("a:chunk:0", "x", "some text")], "id string, text_hash string, text string")
     every, _ = rag.vectors({"chunks": chunks}, rag.DEFAULT_EMBEDDING)
     assert int(wide.conf.get(ROWS)) <= BATCH_ROWS and len(every.first()["vector"]) == 384
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_full_text_is_made_without_sending_tokens(spark):
+    chunks = spark.createDataFrame([(7, 0, "b a, b c", "A x"), (8, 0, "", ""), (70, 1, "a", "")], "doc_no long, ordinal long, text string, heading_path string")
+    rows = inverted.entries(chunks)
+    assert exchanges(rows) == 0
+    got = sorted(tuple(r) for r in rows.collect())
+    assert got == [("a", 7, 0, 6, [1], [0]), ("a", 70, 1, 1, [0], []), ("b", 7, 0, 6, [0, 2], []), ("c", 7, 0, 6, [3], []), ("x", 7, 0, 6, [], [1])]
+    for parts in (1, 3):
+        of = inverted.blocks(rows, parts)
+        assert exchanges(of) == 1
+        assert sorted((r.term, r.block, r.n, r.most, r.tightest) for r in of.collect()) == [("a", 0, 1, 2, 3.0), ("a", 1, 1, 1, 1.0), ("b", 0, 1, 2, 3.0), ("c", 0, 1, 1, 6.0), ("x", 0, 1, 1, 6.0)]
