@@ -1,10 +1,12 @@
 """What grows with the input alone: batches that Python holds, rows that are shuffled."""
 
+import re
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.operators import chunking, inverted, rag
+from folioscope.operators import chunking, fts, inverted, rag
 from folioscope.plans.tables import BATCH_ROWS
 
 ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -57,3 +59,11 @@ def test_full_text_is_made_without_sending_tokens(spark):
         of = inverted.blocks(rows, parts)
         assert exchanges(of) == 1
         assert sorted((r.term, r.block, r.n, r.most, r.tightest) for r in of.collect()) == [("a", 0, 1, 2, 3.0), ("a", 1, 1, 1, 1.0), ("b", 0, 1, 2, 3.0), ("c", 0, 1, 1, 6.0), ("x", 0, 1, 1, 6.0)]
+
+
+def test_terms_are_counted_without_sending_them_by_chunk(spark):
+    chunks = spark.createDataFrame([("p", "b a b", "a"), ("p", "a", ""), ("q", "", ""), (None, "b", "")], "id string, text string, heading_path string")
+    got = fts.term_counts(chunks)
+    sent = re.findall(r"Exchange hashpartitioning\(([^()]*),", got._jdf.queryExecution().executedPlan().toString())
+    assert sorted(re.sub(r"#\d+", "", s).split(",")[0] for s in sent) == ["id", "term"] and all("id" not in s or "term" not in s for s in sent)
+    assert sorted(tuple(r) for r in got.collect()) == [("a", 3, 1, 1), ("b", 3, 1, 2)]
