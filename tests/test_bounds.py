@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.operators import chunking, fts, inverted, rag
+from folioscope.operators import chunking, fts, index, inverted, rag
 from folioscope.plans.tables import BATCH_ROWS
 
 ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -67,3 +67,17 @@ def test_terms_are_counted_without_sending_them_by_chunk(spark):
     sent = re.findall(r"Exchange hashpartitioning\(([^()]*),", got._jdf.queryExecution().executedPlan().toString())
     assert sorted(re.sub(r"#\d+", "", s).split(",")[0] for s in sent) == ["id", "term"] and all("id" not in s or "term" not in s for s in sent)
     assert sorted(tuple(r) for r in got.collect()) == [("a", 3, 1, 1), ("b", 3, 1, 2)]
+
+
+def test_a_refresh_that_merges_writes_its_full_text_once(spark, tmp_path, monkeypatch):
+    calls, write = [], inverted.write
+    monkeypatch.setattr(inverted, "write", lambda *a: calls.append(a[3]) or write(*a))
+    page = lambda k, text: (f"doc:{k}.md", f"{k}.md", str(k), str(k), text, text, 0)
+    pages = lambda *rows: spark.createDataFrame(list(rows), "id string, path string, title string, category string, text string, sha256 string, modified_at long")
+    own = index.Index(spark, str(tmp_path), 2)
+    own.refresh(pages(page(1, "red fox"), page(2, "red hen")))
+    own.refresh(pages(page(1, "red fox"), page(3, "red old cow")))
+    meta = own.meta()
+    assert calls == [2, 2] and len(meta["segments"]) == 1 and meta["gone"] == 0 and (meta["chunks"], meta["tokens"]) == (2, 5)
+    stored = own.tables().inverted
+    assert {r.chunk_id for r in stored.named(stored.fts("red")).collect()} == {"doc:1.md:chunk:0", "doc:3.md:chunk:0"}
