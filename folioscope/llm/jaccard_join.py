@@ -2,10 +2,11 @@
 
 A document is the set of its shingles, as 64-bit hashes (tokens). Equal sets are one class, a node.
 
-1. Rarity. The tokens with the lowest hashes, a fixed share ``TESTED`` of all, are counted over the
+1. Rarity. The tokens with the lowest hashes, a fixed share of all (``tested_below``), are counted over the
    whole corpus; those of a single node are unique and in no intersection. A set of n tokens links
    only with sets that hold ceil(t n) of its tokens: with more unique tokens than the others can
-   spare it links with none, and is done. That ends the search for most documents of a corpus.
+   spare it links with none, and is done. That ends the search for most documents of a corpus, if the
+   share is well above what a set may spare, 1 - t.
 2. Keys. Of the others, without their known unique tokens, a prefix is indexed. Tokens are ordered
    rare class before frequent class (those that repeat most among these documents, a list of
    bounded size), by hash within a class. Sets that link share one token among their first
@@ -25,8 +26,8 @@ A document is the set of its shingles, as 64-bit hashes (tokens). Equal sets are
    needs. Nodes that link with the hub need no comparison among themselves; by the triangle inequality of the
    Jaccard distance only nodes within twice the distance of a link may link with one of them, and are
    compared with those that may link back, in pairs of blocks. The nodes far from the hub (none, in a
-   group of near copies of one text) are the group of the next of ``HUB_ROUNDS`` rounds, or verified as
-   a whole where they are few. What is then left of a group is compared in pairs of blocks: its
+   group of near copies of one text) are the group of the next of ``HUB_ROUNDS`` rounds, or compared in pairs
+   of blocks where they are few (``FEW_BLOCKS``). What is then left of a group is compared in pairs of blocks: its
    cost grows with the square of what is left, and no pair is dropped. Linked nodes are joined to components.
 
 Texts are compared through 64-bit hashes of shingles: two different shingles of two compared
@@ -67,9 +68,11 @@ BUCKET = 512
 PART = 256
 #: hubs that a group is held against, one after another
 HUB_ROUNDS = 6
+#: what a round leaves of a group, up to so many blocks, is compared in pairs of blocks: each text is sent eight times at most, fewer than by more rounds
+FEW_BLOCKS = 4
 TOKENS_AT_ONCE = 1 << 20
-#: tokens below this hash, a sixth of all, are counted over the whole corpus
-TESTED = -(1 << 63) + (1 << 64) // 6
+#: tokens counted over the whole corpus, as a multiple of the share of its tokens that a set may spare: a sixth of all at 0.9
+TESTED = (5, 3)
 MOST_WORDS = 300_000
 
 _MUL = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
@@ -86,6 +89,11 @@ class Likeness(NamedTuple):
 OWN = Likeness()
 
 
+def tested_below(like: Likeness = OWN) -> int:
+    """Tokens below this hash are counted over the whole corpus."""
+    return -(1 << 63) + min((1 << 64) - 1, (1 << 64) * TESTED[0] * (like.under - like.over) // (TESTED[1] * like.under))
+
+
 def _factor(j: int) -> np.uint64:
     """The odd number that the j-th word of a shingle is multiplied with."""
     return _MUL[j] if j < len(_MUL) else np.uint64(pow(int(_MUL[1]), j, 1 << 64))
@@ -145,16 +153,17 @@ def digest(own: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63)
 
 
-def _described(batches: Iterator[pa.RecordBatch], shingle: int = SHINGLE) -> Iterator[pa.RecordBatch]:
+def _described(batches: Iterator[pa.RecordBatch], like: Likeness = OWN) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, text_hash) -> (doc_id, node, n, text_hash, tested): the set's size and its tested tokens."""
     at_work()
+    below = tested_below(like)
     for batch in batches:
         nodes, ns, tested = [], [], []
         for text in batch.column(1).cast(pa.binary()).fill_null(b"").to_pylist():
-            own = tokens(text, shingle)
+            own = tokens(text, like.shingle)
             nodes.append(digest(own) if len(own) else None)
             ns.append(len(own))
-            tested.append(own[: np.searchsorted(own, TESTED)] if len(own) > 1 else own[:0])
+            tested.append(own[: np.searchsorted(own, below)] if len(own) > 1 else own[:0])
         ends = np.concatenate([[0], np.cumsum([len(t) for t in tested])]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *tested])))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(ns, pa.int64()), batch.column(2), lists], names=["doc_id", "node", "n", "text_hash", "tested"])
@@ -249,7 +258,7 @@ def index_rows(risky: DataFrame, frequent: np.ndarray, like: Likeness = OWN) ->
             for text, unique in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2)):
                 own = tokens(text, like.shingle)
                 ns.append(len(own))
-                bitmaps.append(bitmap(own))
+                bitmaps.append(bitmap(own, like))
                 keys.append(keys_of(own, sent.value, unique.values.to_numpy() if unique.is_valid else None, like))
             ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
@@ -258,9 +267,12 @@ def index_rows(risky: DataFrame, frequent: np.ndarray, like: Likeness = OWN) ->
     return risky.select("node", "text", "unique").mapInArrow(keyed, "node long, n long, bitmap binary, keys array<long>")
 
 
-def bitmap(own: np.ndarray) -> bytes:
-    """The parity of the tokens at each of a power of two of places, half as many as tokens or more."""
-    bits = 1 << max(8, (len(own) // 2).bit_length())
+def bitmap(own: np.ndarray, like: Likeness = OWN) -> bytes:
+    """The parity of the tokens at each of a power of two of places: half as many as tokens or more at 0.9, twice as many at 0.8.
+
+    Two sets that have nothing in common must differ at far more places than two that link.
+    """
+    bits = 1 << max(8, (50 * len(own) * (like.under - like.over) ** 2 // like.under**2).bit_length())
     odd = np.bincount((own & (bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -460,6 +472,14 @@ def _in_blocks(rows: DataFrame, like: Likeness) -> DataFrame:
     return spread(rows.select(*columns), "grp", "x", "y").sortWithinPartitions("grp", "x", "y", "node").mapInArrow(_verified(columns, ["grp", "x", "y"], like), "a long, b long")
 
 
+def _all_blocks(left: DataFrame, texts: DataFrame, like: Likeness, block: int) -> DataFrame:
+    """Links (a, b) of groups (grp, node, size), each pair of blocks of a group compared in one task; a group of one block as a whole."""
+    parts = F.when(F.col("size") <= block, F.lit(1).cast("long")).otherwise(F.ceil(F.col("size") * 2 / block))
+    rows = left.withColumn("own", F.pmod(F.xxhash64("node"), parts)).select("grp", "node", F.explode(_pairs(parts)).alias("pair"))
+    rows = rows.select("grp", "pair.x", "pair.y", "node", F.lit(False).alias("trusted"))
+    return _in_blocks(rows.join(texts.select("node", "text"), "node"), like)
+
+
 def _border(held: DataFrame, texts: DataFrame, like: Likeness, block: int) -> DataFrame:
     """Links between nodes near their hub and nodes far from it, where there may be any."""
     limit = (like.under - like.over) / like.under + 1e-9
@@ -503,15 +523,12 @@ def links(risky: DataFrame, groups: DataFrame, like: Likeness, block: int = BLOC
             return reduce(DataFrame.unionByName, found)
         far = held.where("not near").select("grp", "node")
         left = written(far.join(far.groupBy("grp").agg(F.count("*").alias("size")), "grp").select("grp", "node", "size"), "far-from-hub")
-        few = left.where(F.col("size") <= block)
-        found.append(written(_whole(few.select("grp", "node").join(rest.select("node", "text"), "node"), like), "few-links"))
-        left = left.where(F.col("size") > block)
+        few = left.where(F.col("size") <= FEW_BLOCKS * block)
+        found.append(written(_all_blocks(few, rest, like, block), "few-links"))
+        left = left.where(F.col("size") > FEW_BLOCKS * block)
         rest = written(rest.join(left.select("grp", "node"), ["grp", "node"], "left_semi"), "rest")
     if left is not None and not rest.isEmpty():
-        parts = F.ceil(F.col("size") * 2 / block)
-        last = left.withColumn("own", F.pmod(F.xxhash64("node"), parts)).select("grp", "node", F.explode(_pairs(parts)).alias("pair"))
-        last = last.select("grp", "pair.x", "pair.y", "node", F.lit(False).alias("trusted")).join(rest.select("node", "text"), "node")
-        found.append(_in_blocks(last, like))
+        found.append(_all_blocks(left, rest, like, block))
     return reduce(DataFrame.unionByName, found)
 
 
@@ -534,7 +551,7 @@ def _with_labels(documents: DataFrame, like: Likeness) -> DataFrame:
     fail_unless(("doc_id", "text"), documents, "documents")
     small_batches(documents.sparkSession)
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    described = written(documents.mapInArrow(partial(_described, shingle=like.shingle), "doc_id long, node long, n long, text_hash long, tested array<long>"), "described")
+    described = written(documents.mapInArrow(partial(_described, like=like), "doc_id long, node long, n long, text_hash long, tested array<long>"), "described")
     docs = described.select("doc_id", "node", "n", "text_hash")
     risky = written(at_risk(documents, docs, described, like), "at-risk")
     frequent = frequent_class(risky.select("text").mapInArrow(partial(_repeated, shingle=like.shingle), "token long, c long"))

@@ -199,3 +199,26 @@ def test_several_hubs(spark, monkeypatch):
         monkeypatch.setattr(J, "HUB_ROUNDS", rounds)
         monkeypatch.setattr(J.links, "__defaults__", (10,))
         assert result(J.jaccard_components(df)) == brute(rows)
+
+
+@pytest.mark.parametrize("like", [J.OWN, J.Likeness(5, 80, 100)])
+def test_texts_of_their_own_end_early_at_any_similarity(spark, like):
+    """Of texts that share nothing none is indexed; the share of counted tokens is above what a set may spare."""
+    r = random.Random(3)
+    rows = [(k, " ".join(f"w{r.randrange(10**9)}" for _ in range(400))) for k in range(60)]
+    df = spark.createDataFrame([*rows, (100, rows[0][1] + " more")], "doc_id long, text string").withColumn("text_hash", F.xxhash64("text"))
+    described = df.mapInArrow(lambda batches: J._described(batches, like=like), "doc_id long, node long, n long, text_hash long, tested array<long>")
+    risky = J.at_risk(df, described.select("doc_id", "node", "n", "text_hash"), described, like)
+    assert {x.text for x in risky.select("text").collect()} == {rows[0][1], rows[0][1] + " more"}
+
+
+def test_bitmaps_part_unlike_sets_at_lower_similarity():
+    like, r = J.Likeness(5, 80, 100), np.random.default_rng(4)
+    new = lambda n: r.integers(-(1 << 62), 1 << 62, n)
+    apart = [np.unique(new(int(n))) for n in r.integers(330, 511, 40)]
+    assert J.bucket_edges(list(range(40)), [len(x) for x in apart], [J.bitmap(x, like) for x in apart], like) == []
+    for n in [10, 300, 2000]:
+        a = np.unique(new(n))
+        b = np.unique(np.concatenate([a[n // 10 :], new(n // 10)]))
+        assert J.linked(len(np.intersect1d(a, b)), len(a), len(b), like)
+        assert J.bucket_edges([7, 3], [len(a), len(b)], [J.bitmap(a, like), J.bitmap(b, like)], like) == [(7, 3)]
