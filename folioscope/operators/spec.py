@@ -21,6 +21,7 @@ PRIORITIES, REQUIREMENT_STATES = ("must", "should", "may"), ("proposed", "implem
 TASK_STATES = ("todo", "doing", "blocked", "done", "dropped")
 TASK_TYPES = ("code", "test", "config", "data", "docs", "review", "release")
 ACCEPTANCE_HEADING, DEFINITION_HEADINGS = "## 验收条件", ("## completion definition", "## 完成定义")
+TASK_FIELDS = ("priority", "status", "type", "requirement refs", "acceptance refs", "depends on", "blocked reason", "unblock condition", "dropped reason")
 EVIDENCE_MARKS = ("[CODE]", "[SDD]", "[CMD]")
 VERSION, MOST_INPUT = "wiki.sdd/v1", 1_048_576
 
@@ -47,27 +48,38 @@ def field(text: Column, name: str) -> Column:
     return F.when(F.size(hit) > 0, T.trimmed(F.regexp_extract(hit[0], key, 1)))
 
 
+def narrowed(text: Column, *names: str) -> Column:
+    """The lines of a text that may be headings or hold one of the fields, with their ends, and its last line: one fast pass, after which the patterns of
+    each field and heading read a few lines in the place of the whole text."""
+    parts, of_field = F.split(text, "\n", -1), rf"(?iu)(?:^|[|｜])[\s-]*(?:{'|'.join(map(re.escape, names))})\s*[:：]"
+    may = lambda line: line.contains("#") | ((line.contains(":") | line.contains("：")) & line.rlike(of_field))
+    return F.array_join(F.concat(F.filter(F.slice(parts, F.lit(1), F.size(parts) - 1), may), F.array(F.element_at(parts, -1))), "\n")
+
+
 def headings_of(text: Column) -> Column:
     return F.array_join(F.filter(T.lines(text), lambda line: line.rlike(r"^\s*#")), "\n")
 
 
 def requirements(files: DataFrame) -> DataFrame:
     """requirements of files (change_id, path, text) below spec/requirements."""
-    t, rows = F.col("text"), files.where(F.col("path").rlike(r"^spec/requirements/[^/]+\.md$"))
+    t, rows = F.col("short"), files.where(F.col("path").rlike(r"^spec/requirements/[^/]+\.md$"))
+    rows = rows.select("change_id", "path", narrowed(F.col("text"), "priority", "status", "dependencies").alias("short"))
     stem = F.regexp_extract("path", r"([^/]+)\.md$", 1)
     first = F.get(F.regexp_extract_all(headings_of(t), F.lit(r"(?<![A-Za-z0-9_-])(REQ-[A-Za-z0-9_-]+)"), F.lit(1)), F.lit(0))
     return rows.select("change_id", F.coalesce(first, stem).alias("id"), F.coalesce(field(t, "priority"), F.lit("must")).alias("priority"), F.coalesce(field(t, "status"), F.lit("proposed")).alias("status"), ids_in(headings_of(t), "AC-", "ACC-").alias("acceptance_ids"), F.coalesce(ids_in(field(t, "dependencies"), "REQ-"), F.array().cast("array<string>")).alias("dependencies"))
 
 
 def tasks(files: DataFrame) -> DataFrame:
-    t, rows = F.col("text"), files.where(F.col("path").rlike(r"^tasks/[^/]+\.md$") & (F.col("path") != "tasks/index.md"))
+    t, rows = F.col("short"), files.where(F.col("path").rlike(r"^tasks/[^/]+\.md$") & (F.col("path") != "tasks/index.md"))
     none = F.array().cast("array<string>")
     first = F.get(F.regexp_extract_all(headings_of(t), F.lit(r"(?<![A-Za-z0-9_-])(TASK-[A-Za-z0-9_-]+)"), F.lit(1)), F.lit(0))
-    defined = F.lower(t).contains(DEFINITION_HEADINGS[0]) | t.contains(DEFINITION_HEADINGS[1])
+    text = F.col("text")
+    defined = F.lower(text).contains(DEFINITION_HEADINGS[0]) | text.contains(DEFINITION_HEADINGS[1])
+    rows = rows.select("change_id", defined.alias("defined"), narrowed(text, *TASK_FIELDS).alias("short"))
     return rows.select(
         "change_id", first.alias("id"), F.coalesce(field(t, "priority"), F.lit("must")).alias("priority"), F.coalesce(field(t, "status"), F.lit("todo")).alias("status"), F.coalesce(field(t, "type"), F.lit("code")).alias("task_type"),
         F.coalesce(ids_in(field(t, "requirement refs"), "REQ-"), none).alias("requirement_refs"), F.coalesce(ids_in(field(t, "acceptance refs"), "AC-", "ACC-"), none).alias("acceptance_refs"), F.coalesce(ids_in(field(t, "depends on"), "TASK-"), none).alias("dependencies"),
-        field(t, "blocked reason").alias("blocked_reason"), field(t, "unblock condition").alias("unblock_condition"), field(t, "dropped reason").alias("dropped_reason"), defined.alias("has_definition"),
+        field(t, "blocked reason").alias("blocked_reason"), field(t, "unblock condition").alias("unblock_condition"), field(t, "dropped reason").alias("dropped_reason"), F.col("defined").alias("has_definition"),
     ).where("id is not null")
 
 
@@ -80,8 +92,8 @@ def coverage(files: DataFrame) -> DataFrame:
 
 
 def evidence_ids(files: DataFrame) -> DataFrame:
-    marked = reduce(lambda a, b: a | b, [F.col("line").contains(m) for m in EVIDENCE_MARKS])
-    rows = files.select("change_id", F.explode(T.lines(F.col("text"))).alias("line")).where(marked)
+    marked = lambda c: reduce(lambda a, b: a | b, [F.col(c).contains(m) for m in EVIDENCE_MARKS])
+    rows = files.where(marked("text")).select("change_id", F.explode(T.lines(F.col("text"))).alias("line")).where(marked("line"))
     return rows.select("change_id", F.explode(ids_in(F.col("line"), "E-")).alias("evidence_id"))
 
 
@@ -122,12 +134,12 @@ def structure_issues(files: DataFrame) -> DataFrame:
     has = lambda pattern: files.where(F.col("path").rlike(pattern)).select("change_id").distinct()
     lacks = lambda pattern, what: issue(changes.join(has(pattern), "change_id", "left_anti"), "MISSING", F.lit(what))
     reqs = files.where(F.col("path").rlike(r"^spec/requirements/[^/]+\.md$"))
-    empty = files.where(F.col("path").rlike(r"^(spec/index|spec/requirements/[^/]+|tasks/[^/]+)\.md$") & (T.trimmed(F.col("text")) == ""))
+    empty = files.where(F.col("path").rlike(r"^(spec/index|spec/requirements/[^/]+|tasks/[^/]+)\.md$") & ~F.col("text").rlike(r"(?U)\S"))
     index = files.where("path = 'tasks/index.md'").select("change_id", (F.lower(F.coalesce(field(F.col("text"), "has tasks"), F.lit(""))) == "false").alias("without"))
     task_files = has(r"^tasks/TASK-[^/]*\.md$")
     parts = [
         lacks(r"^spec/index\.md$", "spec/index.md"), lacks(r"^spec/requirements/", "spec/requirements"), lacks(r"^tasks/index\.md$", "tasks/index.md"), issue(empty, "EMPTY", F.col("path")),
-        issue(reqs.where(~F.col("text").contains(ACCEPTANCE_HEADING)), "NO_ACCEPTANCE", F.col("path")), issue(reqs.where(~headings_of(F.col("text")).rlike(r"REQ-[A-Za-z0-9_-]") & ~F.col("path").rlike("/REQ-[^/]+$")), "NO_REQUIREMENT_ID", F.col("path")),
+        issue(reqs.where(~F.col("text").contains(ACCEPTANCE_HEADING)), "NO_ACCEPTANCE", F.col("path")), issue(reqs.where(~F.col("path").rlike("/REQ-[^/]+$")).where(~headings_of(F.col("text")).rlike(r"REQ-[A-Za-z0-9_-]")), "NO_REQUIREMENT_ID", F.col("path")),
         issue(index.where("without").join(task_files, "change_id", "left_semi"), "TASKS_DECLARED_ABSENT"), issue(changes.join(index.where("without"), "change_id", "left_anti").join(task_files, "change_id", "left_anti"), "NO_TASKS"),
     ]
     return reduce(DataFrame.unionByName, parts)

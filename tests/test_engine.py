@@ -394,3 +394,14 @@ def test_answers_name_their_sources():
     a = answer.Answer("q", "extractive", "It is so [1].\n", [one], True, False, True)
     assert answer.answer_text(a) == "It is so [1].\n\n(uncertain)\n\nSources:\n[1] notes/a.md:3-9 A\n\n(cut to the budget)"
     assert answer.answer_text(answer.Answer("q", "extractive", "No.", [], False, False, False)) == "No."
+
+
+def test_specification_fields_read_few_lines(spark):
+    """What fields and headings give is that of the whole text, and the patterns are not run over prose."""
+    odd = ["# REQ-1 x\r\n- Priority: must | Status: new\r\n", "prose\n" * 500 + "status：a\rb", "｜status: x\r", "ſtatus: long", "\n \n-- PRIORITY : p\r\r\nstatus: s\r\r", "status\n: no", "  # AC-2 late\rPriority: q", "", None, "a: b\nhttp://status: u | priority: v", "priority: x\n# ACC-3\r"]
+    rows = spark.createDataFrame(list(enumerate(odd)), "k int, text string").withColumn("short", spec.narrowed(F.col("text"), "priority", "status"))
+    of = lambda c: [spec.field(F.col(c), "priority"), spec.field(F.col(c), "status"), spec.headings_of(F.col(c))]
+    got = rows.select("k", F.array(*of("text")).alias("whole"), F.array(*of("short")).alias("short"), F.char_length("short").alias("n")).collect()
+    for r in got:
+        assert r["whole"] == r["short"], odd[r["k"]]
+    assert [r["n"] for r in got if r["k"] == 1] == [len("status：a\rb")]
