@@ -121,7 +121,8 @@ def retrieval_edges(pages: DataFrame, links: DataFrame) -> DataFrame:
     """(a, b) document ids: resolved links by the retrieval rule, no loops, no duplicates."""
     known = pages.select(T.retrieval_path(F.col("path")).alias("name"), F.col("id").alias("b"), "path").groupBy("name").agg(F.max_by("b", "path").alias("b"))
     rows = links.select(F.col("source_document_id").alias("a"), T.retrieval_path(F.col("target_path")).alias("name"))
-    return rows.join(known, "name").where("a <> b").select("a", "b").distinct()
+    # stored links are small as files and many times that in memory: neither side is to be sent whole through the driver
+    return rows.join(known.hint("merge"), "name").where("a <> b").select("a", "b").distinct()
 
 
 def entity_list(entities: DataFrame, mentions: DataFrame, query: str | None = None, kind: str | None = None, limit: int | None = 50) -> DataFrame:

@@ -405,3 +405,12 @@ def test_specification_fields_read_few_lines(spark):
     for r in got:
         assert r["whole"] == r["short"], odd[r["k"]]
     assert [r["n"] for r in got if r["k"] == 1] == [len("status：a\rb")]
+
+
+def test_links_are_not_broadcast(spark):
+    """Neither links nor names of pages are sent through the driver, however small their files are."""
+    pages = spark.createDataFrame([(f"doc:{k}.md", f"{k}.md", f"t{k}") for k in range(4)], "id string, path string, title string")
+    links = spark.createDataFrame([("doc:0.md", "1"), ("doc:1.md", "2"), ("doc:2.md", "2"), ("doc:3.md", "9")], "source_document_id string, target_path string")
+    found = graph.retrieval_edges(written(pages, "pages"), written(links, "links"))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [("doc:0.md", "doc:1.md"), ("doc:1.md", "doc:2.md")]
