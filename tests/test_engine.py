@@ -414,3 +414,12 @@ def test_links_are_not_broadcast(spark):
     found = graph.retrieval_edges(written(pages, "pages"), written(links, "links"))
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, found.collect())) == [("doc:0.md", "doc:1.md"), ("doc:1.md", "doc:2.md")]
+
+
+def test_scores_by_known_lengths(spark):
+    """With all lengths given, the rows of a query's terms are enough, and the scores are the same."""
+    chunks = spark.createDataFrame([("a", "red fox and red hen", "H"), ("b", "fox", ""), ("c", "hen hen fox red", "Fox"), ("d", "", "")], "id string, text string, heading_path string")
+    posts = fts.postings(chunks)
+    for q in ("red", "red fox", "fox-and hen", "none"):
+        few = posts.where(F.col("term").isin(fts.query_tokens(q)))
+        assert sorted(map(tuple, fts.fts(few, q, fts.lengths(posts)).collect())) == sorted(map(tuple, fts.fts(posts, q).collect()))
